@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachway.llm import decontaminate, licenses, line_dedup, packing, pii, rules
+from reachway.llm import decontaminate, licenses, line_dedup, packing, pii, quality, rules, simhash, warc
 from reachway.llm.common import table
 
 
@@ -17,6 +17,9 @@ def _over(f: Callable[..., DataFrame], *names: str) -> Callable[[SparkSession, s
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": _over(pii.pii_report, "documents"),
+        "op2_simhash": _over(simhash.simhash_report, "documents"),
+        "op3_quality": _over(quality.quality_report, "documents", "labels"),
+        "op4_warc": _over(warc.round_trip, "pages"),
         "op5_rules": _over(rules.quality_rules, "documents"),
         "op7_line_dedup": _over(line_dedup.line_report, "documents"),
         "op8_decontaminate": _over(decontaminate.leak_report, "documents", "benchmark"),
