@@ -120,10 +120,12 @@ def remainder(doc_id: Column, parts: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts)), F.lit(0))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, rows: int) -> DataFrame:
-    """y and text of at most this many labelled documents outside the held-out part: those with the least hashes of their ids."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, rows: int, balanced: bool = False) -> DataFrame:
+    """y and text of at most this many labelled documents outside the held-out part: those with the least hashes of their ids; balanced: half the rows for each label at most."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), parts) != held))
-    chosen = known.groupBy("doc_id").agg(F.max(label).cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    known = known.groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
+    pick = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    chosen = pick(known.filter("y > 0"), rows // 2).unionByName(pick(known.filter("y <= 0"), rows // 2)) if balanced else pick(known, rows)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", F.col("text").cast("string").alias("text"))
 
 
