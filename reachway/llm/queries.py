@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachway.llm import decontaminate, licenses, line_dedup, packing, pii, quality, rules, simhash, warc
+from reachway.llm import decontaminate, licenses, line_dedup, packing, pii, quality, rules, simhash, toxicity, warc
 from reachway.llm.common import table
 
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": _over(quality.quality_report, "documents", "labels"),
         "op4_warc": _over(warc.round_trip, "pages"),
         "op5_rules": _over(rules.quality_rules, "documents"),
+        "op6_toxicity": _over(toxicity.toxicity_report, "documents", "labels"),
         "op7_line_dedup": _over(line_dedup.line_report, "documents"),
         "op8_decontaminate": _over(decontaminate.leak_report, "documents", "benchmark"),
         "op9_packing": _over(packing.pack_documents, "documents"),
