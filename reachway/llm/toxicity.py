@@ -32,6 +32,8 @@ TOP_WINDOWS = {1: 2, 0: 2}
 CUT = 0.7
 #: Words whose inputs a worker keeps before it starts anew.
 CACHE_WORDS = 200_000
+#: Words that are embedded at once.
+CHUNK_WORDS = 20_000
 #: Windows that are scored at once.
 CHUNK_WINDOWS = 4_096
 _WORD = re.compile(r"\w+")
@@ -52,6 +54,10 @@ def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of all words, and where each word's start: its hash, its first letters, its trigrams (with marks at both ends)."""
     n = len(words)
+    if n > CHUNK_WORDS:
+        parts = [word_features(words[i : i + CHUNK_WORDS]) for i in range(0, n, CHUNK_WORDS)]
+        sizes = np.concatenate([np.diff(starts) for _, starts in parts])
+        return np.concatenate([f for f, _ in parts]), np.r_[0, np.cumsum(sizes)]
     codes = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     sizes = np.fromiter((len(w) + 2 for w in words), np.int64, n)
     starts = np.cumsum(sizes) - sizes
@@ -73,7 +79,7 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     feats.append(_bucket(h, 2))
     which, feats = np.concatenate(which), np.concatenate(feats).astype(np.int64)
     order = np.argsort(which, kind="stable")
-    return feats[order], np.searchsorted(which[order], np.arange(n + 1))
+    return feats[order].astype(np.int32), np.searchsorted(which[order], np.arange(n + 1))
 
 
 def windows(sizes: np.ndarray, offset: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,6 +92,11 @@ def windows(sizes: np.ndarray, offset: int = 0) -> tuple[np.ndarray, np.ndarray,
     return base[doc] + start + offset, np.minimum(WINDOW, sizes[doc] - start), doc
 
 
+def _spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All places of spans with these starts and lengths."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -170,14 +181,16 @@ class Network:
             self.seen, self.table = {}, np.zeros((1, 6 * HIDDEN), np.float32)
         fresh = list({w for w in words if w not in self.seen})
         if fresh:
-            e = self.embed(fresh)
             start = len(self.seen) + 1
             self.seen.update(zip(fresh, range(start, start + len(fresh)), strict=True))
             if start + len(fresh) > len(self.table):
-                grown = np.zeros((2 * (start + len(fresh)), 6 * HIDDEN), np.float32)
+                grown = np.zeros((max(start + len(fresh), min(2 * len(self.table), CACHE_WORDS)), 6 * HIDDEN), np.float32)
                 grown[:start] = self.table[:start]
                 self.table = grown
-            self.table[start : start + len(fresh)] = np.concatenate([e @ self.p["wf"] + self.p["bf"], e @ self.p["wb"] + self.p["bb"]], 1)
+            for i in range(0, len(fresh), CHUNK_WORDS):
+                e = self.embed(fresh[i : i + CHUNK_WORDS])
+                for d, at in (("f", 0), ("b", 3 * HIDDEN)):
+                    self.table[start + i : start + i + len(e), at : at + 3 * HIDDEN] = e @ self.p["w" + d] + self.p["b" + d]
         return np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
 
     def logits(self, rows: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -208,27 +221,25 @@ class Network:
 def fit(texts: list[str | None], y: np.ndarray, share: float | None = None, seed: int = 7) -> Network:
     """A network from documents and labels; share: of label 1 among all documents, where these are a sample by label. Without rows, or with one label only, its score is a constant."""
     net, rng = Network.new(seed), np.random.default_rng(seed)
-    docs = [tokens(t) for t in texts]
+    vocabulary: dict[str, int] = {}
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in tokens(t)], np.int32) for t in texts]
     sizes = np.array([len(d) for d in docs], np.int64)
     own = (y.sum() + 1) / (len(y) + 2)
     share = own if share is None else share
     if not len(y) or y.min() == y.max() or not sizes.sum():
         net.scale, net.shift = 0.0, float(np.log(share / (1 - share)))
         return net
-    vocabulary: dict[str, int] = {}
-    ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for d in docs for w in d], np.int64)
+    ids = np.concatenate(docs)
     feats, starts = word_features(list(vocabulary))
     root = np.sqrt(np.diff(starts))[:, None].astype(np.float32)
     start, length, doc = windows(sizes)
     # naive Bayes weights of features, by documents that have them
-    owner = np.repeat(np.arange(len(docs)), sizes)
-    pairs = np.unique(owner * len(vocabulary) + ids)
-    counts = np.diff(starts)
-    word = pairs % len(vocabulary)
-    at = np.repeat(starts[word] - (np.cumsum(counts[word]) - counts[word]), counts[word]) + np.arange(counts[word].sum())
-    seen = np.unique(np.repeat(pairs // len(vocabulary), counts[word]) * BUCKETS + feats[at])
-    pos = y[seen // BUCKETS] == 1
-    n1, n0 = (np.bincount((seen % BUCKETS)[m], minlength=BUCKETS) for m in (pos, ~pos))
+    counts, ends = np.diff(starts), np.cumsum(sizes)
+    n1, n0 = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for k in range(len(docs)):
+        word = np.unique(ids[ends[k] - sizes[k] : ends[k]])
+        own_feats = np.unique(feats[_spans(starts[word], counts[word])])
+        (n1 if y[k] == 1 else n0)[own_feats] += 1
     r1, r0 = (n1 + 0.5) / (y.sum() + 1), (n0 + 0.5) / (len(y) - y.sum() + 1)
     weight = np.log(r1 / r0) * np.minimum(1, n1 / 5)
     by_word = np.maximum.reduceat(weight[feats], starts[:-1])
@@ -260,7 +271,7 @@ def fit(texts: list[str | None], y: np.ndarray, share: float | None = None, seed
                 used, back = np.unique(ids[np.minimum(s + steps[:, None], len(ids) - 1)], return_inverse=True)
                 back = back.reshape(mask.shape)
                 cnt = counts[used]
-                fa = feats[np.repeat(starts[used] - (np.cumsum(cnt) - cnt), cnt) + np.arange(cnt.sum())]
+                fa = feats[_spans(starts[used], cnt)]
                 first_of = np.cumsum(cnt) - cnt
                 e = np.add.reduceat(net.p["e"][fa], first_of, axis=0) / root[used]
                 live = mask[:, :, None].astype(np.float32)
