@@ -48,10 +48,10 @@ def demand(spark: SparkSession, role: str, n: int = 200, seed: int = 42) -> Data
     box = config.DEPARTMENTS[role]
     short = box["nombre"][:3].upper()
     rows = _placed(spark.range(n), box, seed)
-    rows = thirds(thirds(rows, "lat", ["1", "2", "3"], "__la"), "lon", ["A", "B", "C"], "__lo")
+    rows = thirds(thirds(rows, "lat", ["1", "2", "3"], "fila"), "lon", ["A", "B", "C"], "columna")
     rows = rows.select(
         "id", F.concat(F.lit(f"{role[:3].upper()}-CP-"), F.format_string("%04d", "id")).alias("cp_id"), F.concat(F.lit("Centro Poblado "), "id").alias("nombre"), (20 + F.floor(unit(seed, "pop") * 4980)).cast("long").alias("poblacion"), F.lit(box["nombre"]).alias("departamento"),
-        F.round(50 + unit(seed, "alt") * 4450).alias("altitud_m"), F.concat(F.lit(f"{short}-"), "__la", "__lo").alias("distrito"), F.concat(F.lit(f"{short}-PROV-"), "__la").alias("provincia"), "lon", "lat", F.lit(role).alias("rol"),
+        F.round(50 + unit(seed, "alt") * 4450).alias("altitud_m"), F.concat(F.lit(f"{short}-"), "fila", "columna").alias("distrito"), F.concat(F.lit(f"{short}-PROV-"), "fila").alias("provincia"), "lon", "lat", F.lit(role).alias("rol"),
     )
     return soiled(rows).drop("id")
 
