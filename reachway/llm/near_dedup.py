@@ -150,10 +150,10 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY, chunk
     prints = slim.mapInArrow(_prints, _PRINT).checkpoint()
     fs = [f"f{i}" for i in range(1, 5)]
     one = prints.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n", *fs)]).checkpoint()
-    dealt = one.select("id", *fs).mapInArrow(replicate(4), "anchor long, id long, home boolean").repartition("anchor").sortWithinPartitions("anchor")
+    dealt = one.select("id", *fs).mapInArrow(replicate(4), "anchor long, id long, home boolean").repartition("anchor").sortWithinPartitions("anchor", "id")
     met = dealt.mapInArrow(_prune, "anchor long, id long").checkpoint()
     known = met.join(one.select("id", *fs), "id").select("anchor", "id", *fs)
-    pairs = known.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_candidates, "a long, b long")
+    pairs = known.repartition("anchor").sortWithinPartitions("anchor", "id").mapInArrow(_candidates, "a long, b long")
     classes = components(pairs.distinct())
     found = classes.join(one.select("id", "k1", "k2", "n"), F.col("node") == F.col("id")).select("id", "root", "k1", "k2", "n")
     chunks = found.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(chunk_shingles)).cast("int").alias("chunks"))
@@ -164,7 +164,7 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY, chunk
     sets = slim.withColumnRenamed("doc_id", "id").join(wanted, "id").select("id", "k1", "k2", "text").mapInArrow(_shingled, "id long, shingles array<long>")
     cells = found.withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cells = cells.select("id", F.concat_ws(":", "root", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
-    rows = cells.join(sets, "id").select("cell", "id", "shingles").repartition("cell").sortWithinPartitions("cell")
+    rows = cells.join(sets, "id").select("cell", "id", "shingles").repartition("cell").sortWithinPartitions("cell", "id")
     near = components(rows.mapInArrow(_verify(similarity), "a long, b long").distinct())
     # copies follow their first one
     named = one.select("k1", "k2", "id").join(near, F.col("id") == F.col("node"), "left").select("k1", "k2", F.coalesce("root", "id").alias("group_id"))
@@ -174,4 +174,4 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY, chunk
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs less all documents of a group but the one of least doc_id. Rows without an id stay; rows that share an id stay or go together."""
     gone = near_duplicate_groups(docs, similarity).filter("doc_id <> group_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")

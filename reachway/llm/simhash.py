@@ -156,7 +156,8 @@ def grown(f: np.ndarray, threshold: int) -> list[np.ndarray]:
 
 
 def star_links(ids: np.ndarray, f: np.ndarray, starts: np.ndarray, threshold: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links (each linked id to the first of its component) within groups that start at these rows."""
+    """Links (each linked id to the first of its component) within groups that start at these rows. Where ids are sorted in groups, a component has the
+    same first id at most of its anchors, so that equal links fall together."""
     sizes = np.diff(np.r_[starts, len(ids)])
     a, b = [], []
     group = np.repeat(np.arange(len(starts)), sizes)
@@ -198,7 +199,7 @@ def linked(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     if not 0 <= threshold <= 3:
         raise ValueError("two blocks cover at most 3 bits")
     rows = prints.select(F.col("f").alias("id"), "f").mapInArrow(replicate(1), "anchor long, id long, home boolean")
-    dealt = rows.repartition("anchor").sortWithinPartitions("anchor")
+    dealt = rows.repartition("anchor").sortWithinPartitions("anchor", "id")
     return components(dealt.mapInArrow(compare(threshold), "a long, b long").distinct())
 
 
