@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from reachway import config
+from reachway.functions.workers import ready
 
 
 def _pct(part: Column, whole: Column) -> Column:
@@ -74,15 +75,15 @@ _BUCKETS = 256
 def gini_weighted(df: DataFrame, time: str = "t_min", weight: str = "poblacion") -> DataFrame:
     """gini (double): of times by population, from the Lorenz curve; null without rows, weight or time.
 
-    Running sums go over distinct values, in two levels: sums by bucket of values, then within buckets. So no task sorts all values. The area
+    Running sums go over distinct values, in two levels: sums by bucket of values, then within buckets. So no task sorts all values. Sums by value are checkpointed: four steps read them. The area
     below the curve doesn't depend on the order of ties.
     """
+    ready(df.sparkSession)
     valid = df.filter(F.col(time).isNotNull() & F.col(weight).isNotNull())
-    by_value = valid.groupBy(F.col(time).cast("double").alias("v")).agg(F.sum(F.col(weight).cast("double")).alias("w"))
-    cuts = by_value.stat.approxQuantile("v", [i / _BUCKETS for i in range(1, _BUCKETS)], 0.001)
-    edges = sorted(set(cuts))
-    bucket = F.coalesce(F.array_size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("v"))), F.lit(0)) if edges else F.lit(0)
-    rows = by_value.withColumn("b", bucket).withColumn("vw", F.col("v") * F.col("w"))
+    by_value = valid.groupBy(F.col(time).cast("double").alias("v")).agg(F.sum(F.col(weight).cast("double")).alias("w")).checkpoint()
+    cuts = by_value.agg(F.percentile_approx("v", [i / _BUCKETS for i in range(1, _BUCKETS)], 10_000).alias("cuts"))  # one row
+    bucket = F.coalesce(F.array_size(F.filter(F.array_distinct("cuts"), lambda e: e < F.col("v"))), F.lit(0))
+    rows = by_value.crossJoin(F.broadcast(cuts)).select("v", "w", bucket.alias("b"), (F.col("v") * F.col("w")).alias("vw"))
     before = W.Window.orderBy("b").rowsBetween(W.Window.unboundedPreceding, -1)  # over at most _BUCKETS rows
     offsets = rows.groupBy("b").agg(F.sum("vw").alias("part")).select("b", F.coalesce(F.sum("part").over(before), F.lit(0.0)).alias("offset"))
     within = W.Window.partitionBy("b").orderBy("v").rowsBetween(W.Window.unboundedPreceding, 0)
