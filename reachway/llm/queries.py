@@ -30,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": line_dedup.ORACLE, "op10_licenses": licenses.ORACLE}
+    return {"op4_warc": warc.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op10_licenses": licenses.ORACLE}
