@@ -78,3 +78,14 @@ def upgrade_gain(changed: DataFrame, demand: DataFrame) -> DataFrame:
 def upgradable(facilities: DataFrame) -> DataFrame:
     """Facilities of the categories that the simulator offers, active or not."""
     return facilities.filter(F.col("categoria").isin(*config.UPGRADABLE_CATEGORIES))
+
+
+def bounds(points: DataFrame) -> DataFrame:
+    """One row: the box of points with coordinates and its centre."""
+    box = points.agg(*[f(c).alias(f"{n}_{c}") for c in ("lon", "lat") for n, f in (("min", F.min), ("max", F.max))])
+    return box.withColumns({f"centro_{c}": (F.col(f"min_{c}") + F.col(f"max_{c}")) / 2 for c in ("lon", "lat")})
+
+
+def overlay(layer: DataFrame, facilities: DataFrame) -> DataFrame:
+    """The rows of a layer (isochrones, a matrix) that belong to the chosen facilities."""
+    return layer.join(facilities.select("facility_id").distinct(), "facility_id", "left_semi")

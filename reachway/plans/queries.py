@@ -542,6 +542,30 @@ def choropleth_join(s: SparkSession, d: str) -> DataFrame:
     return _rounded(out, "t_min_ponderado", "pct_estimado")
 
 
+@_query("histogram_urban", _sql(_DM + """, e AS (SELECT min(t_min) AS lo, (max(t_min) - min(t_min)) / 30 AS w FROM dm), h AS (SELECT coalesce(poblacion >= 2000, false) AS es_urbano, CAST(least(floor((t_min - lo) / w), 29) AS INT) AS bin, lo, w FROM dm, e WHERE t_min IS NOT NULL)
+SELECT es_urbano, bin, count(*) AS n, round(max(lo + bin * w), 6) AS desde FROM h GROUP BY es_urbano, bin"""))
+def histogram_urban(s: SparkSession, d: str) -> DataFrame:
+    return _rounded(access.histogram(_points(s, d).withColumn("es_urbano", access.urban(F.col("poblacion"))), "t_min", 30, ["es_urbano"]))
+
+
+@_query("map_bounds", _sql(" SELECT min(lon) AS min_lon, max(lon) AS max_lon, min(lat) AS min_lat, max(lat) AS max_lat, round((min(lon) + max(lon)) / 2, 6) AS centro_lon, round((min(lat) + max(lat)) / 2, 6) AS centro_lat FROM fx_demand", "fx_demand"))
+def map_bounds(s: SparkSession, d: str) -> DataFrame:
+    return _rounded(scenario.bounds(fixture(s, d, "fx_demand")), "centro_lon", "centro_lat")
+
+
+@_query("facility_overlay", _sql(_OK + " SELECT facility_id, count(*) AS pares, count(t_min) AS con_ruta FROM fx_matrix WHERE profile = 'drive' AND facility_id IN (SELECT facility_id FROM ok WHERE institucion IN ('MINSA', 'PRIVADO')) GROUP BY facility_id", "fx_facility", "fx_matrix"))
+def facility_overlay(s: SparkSession, d: str) -> DataFrame:
+    picked = scenario.chosen(_surgical(s, d), institucion=["MINSA", "PRIVADO"])
+    return scenario.overlay(fixture(s, d, "fx_matrix").filter("profile = 'drive'"), picked).groupBy("facility_id").agg(F.count("*").alias("pares"), F.count("t_min").alias("con_ruta"))
+
+
+@_query("candidate_times", _sql(f""", cand AS (SELECT * FROM fx_facility WHERE activo AND {_CATEGORY} NOT IN {_IN}), m AS (SELECT cp_id, facility_id, t_min, row_number() OVER (PARTITION BY cp_id ORDER BY t_min, facility_id) AS rn FROM fx_matrix WHERE profile = 'drive' AND t_min IS NOT NULL AND facility_id IN (SELECT facility_id FROM cand))
+SELECT cp_id, facility_id, t_min FROM m WHERE rn = 1""", "fx_facility", "fx_matrix"))
+def candidate_times(s: SparkSession, d: str) -> DataFrame:
+    able = quality.candidates(fixture(s, d, "fx_facility"))
+    return modes.nearest_facility(scenario.overlay(fixture(s, d, "fx_matrix").filter("profile = 'drive'").drop("profile"), able))
+
+
 @_query("union_departments", _sql(_BEST + " SELECT cp_id, facility_id, t_min, departamento AS departamento_rol FROM best JOIN fx_demand USING (cp_id)"))
 def union_departments(s: SparkSession, d: str) -> DataFrame:
     """The reference's loop over departments, as partitioned Parquet that is read back as one table."""

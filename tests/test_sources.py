@@ -128,3 +128,16 @@ def test_downloads(tmp_path):
         z.writestr("../b.txt", "x")
     with pytest.raises(ValueError):
         download.unzip(source, tmp_path / "out2")
+
+
+def test_graphs_fall_back_and_are_cached(spark, tmp_path):
+    from reachway.functions.workers import ready
+    from reachway.sources import graphs
+
+    ready(spark)
+    bad = tmp_path / "bad.osm.pbf"
+    bad.write_bytes(struct.pack(">I", 3) + b"abc")
+    nodes, edges, source = graphs.get_graph(spark, "costa", "walk", str(tmp_path / "c"), str(bad))
+    assert source == "synthetic" and nodes.count() == 250 and edges.count() == 2 * 5 * 250
+    again = graphs.get_graph(spark, "costa", "walk", str(tmp_path / "c"), str(bad))
+    assert again[2] == "synthetic" and sorted(again[1].collect()) == sorted(edges.collect())
