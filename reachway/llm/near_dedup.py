@@ -1,9 +1,9 @@
 """Near-duplicate removal for whole corpora: wide SimHash fingerprints, anchor-point covering, and an exact check.
 
-Texts that are equal word for word are one to begin with. For the rest, a 256-bit SimHash over distinct words (eight blocks of 32 bits) is replicated to
-anchors as in simhash.py: any two fingerprints within 15 bits meet for certain (one block differs in one bit at most), and texts whose five-word
-shingles reach a Jaccard similarity of 0.8 differ in 6 % of the bits or fewer as a rule, so that one of eight blocks meets with a
-probability of 0.98 at that border. What meets within HAMMING bits becomes a candidate class; inside classes the shingle sets are
+Texts that are equal word for word are one to begin with. For the rest, a 384-bit SimHash over distinct words (twelve blocks of 32 bits) is replicated to
+anchors as in simhash.py: any two fingerprints within 23 bits meet for certain (one block differs in one bit at most), and texts whose five-word
+shingles reach a Jaccard similarity of 0.8 differ in 6 % of the bits or fewer as a rule, so that one of twelve blocks meets with a
+probability of about 0.99 at that border. What meets within HAMMING bits becomes a candidate class; inside classes the shingle sets are
 compared exactly, and only pairs of the wanted similarity link documents. Large classes are compared in cells of bounded size, two chunks at a time.
 """
 
@@ -22,14 +22,16 @@ from reachway.llm.components import components
 from reachway.llm.simhash import _BITS, _WORDS, _met, groups, replicate, shingle_hashes, star_links
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bits of 256 within which fingerprints are candidates.
-HAMMING = 56
+#: Words of 64 bits in a fingerprint (an even number of blocks), and the bits within which fingerprints are candidates: 22 %.
+WIDE = 6
+HAMMING = 84
 #: Shingles that one chunk of a class holds at most (but for one text that has more): 8 bytes each.
 CHUNK_SHINGLES = 2_000_000
 #: Candidate ids up to this number (16 bytes each) are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-_PRINT = "doc_id long, k1 long, k2 long, n long, f1 long, f2 long, f3 long, f4 long"
+_PARTS = [f"f{i}" for i in range(1, WIDE + 1)]
+_PRINT = ", ".join(f"{c} long" for c in ("doc_id", "k1", "k2", "n", *_PARTS))
 
 
 def keyed(words: list[bytes]) -> tuple[int, int]:
@@ -38,12 +40,12 @@ def keyed(words: list[bytes]) -> tuple[int, int]:
 
 
 def wide_print(words: list[bytes]) -> np.ndarray:
-    """Four words of 64 bits over the distinct words."""
+    """WIDE words of 64 bits over the distinct words."""
     own = sorted(set(words))
     if not own:
-        return np.zeros(4, np.int64)
-    raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w, s) for w in own for s in (1, 2)), np.uint8).reshape(len(own), 32)
-    seen = np.bincount((raw + np.arange(32) * 256).ravel(), minlength=32 * 256).reshape(32, 256) @ _BITS
+        return np.zeros(WIDE, np.int64)
+    raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w, s) for w in own for s in range(WIDE // 2)), np.uint8).reshape(len(own), 8 * WIDE)
+    seen = np.bincount((raw + np.arange(8 * WIDE) * 256).ravel(), minlength=8 * WIDE * 256).reshape(8 * WIDE, 256) @ _BITS
     return np.packbits((2 * seen > len(own)).ravel(), bitorder="little").view("<i8")
 
 
@@ -53,7 +55,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             words = _WORDS.findall((text or "").encode("utf-8", "replace").lower())
             rows.append((doc_id, *keyed(words), max(1, len(words) - SHINGLE + 1), *wide_print(words).tolist()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 8)], names=[x.split()[0] for x in _PRINT.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * (4 + WIDE))], names=[x.split()[0] for x in _PRINT.split(", ")])
 
 
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +67,7 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (anchor, id, f1 .. f4) to links between ids."""
+    """Sorted rows (anchor, id, parts of fingerprints) to links between ids."""
     for cols, starts in groups(batches):
         a, b = star_links(cols[1], np.stack(cols[2:], 1).view(np.uint64), starts, HAMMING)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (a, b)], schema=_EDGES)
@@ -148,11 +150,10 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY, chunk
     prepare(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
     prints = slim.mapInArrow(_prints, _PRINT).checkpoint()
-    fs = [f"f{i}" for i in range(1, 5)]
-    one = prints.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n", *fs)]).checkpoint()
-    dealt = one.select("id", *fs).mapInArrow(replicate(4), "anchor long, id long, home boolean").repartition("anchor").sortWithinPartitions("anchor", "id")
+    one = prints.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n", *_PARTS)]).checkpoint()
+    dealt = one.select("id", *_PARTS).mapInArrow(replicate(WIDE), "anchor long, id long, home boolean").repartition("anchor").sortWithinPartitions("anchor", "id")
     met = dealt.mapInArrow(_prune, "anchor long, id long").checkpoint()
-    known = met.join(one.select("id", *fs), "id").select("anchor", "id", *fs)
+    known = met.join(one.select("id", *_PARTS), "id").select("anchor", "id", *_PARTS)
     pairs = known.repartition("anchor").sortWithinPartitions("anchor", "id").mapInArrow(_candidates, "a long, b long")
     classes = components(pairs.distinct())
     found = classes.join(one.select("id", "k1", "k2", "n"), F.col("node") == F.col("id")).select("id", "root", "k1", "k2", "n")
