@@ -568,7 +568,7 @@ def candidate_times(s: SparkSession, d: str) -> DataFrame:
 
 @_query("union_departments", _sql(_BEST + " SELECT cp_id, facility_id, t_min, departamento AS departamento_rol FROM best JOIN fx_demand USING (cp_id)"))
 def union_departments(s: SparkSession, d: str) -> DataFrame:
-    """The reference's loop over departments, as partitioned Parquet that is read back as one table."""
+    """Departments as partitions of one Parquet table, read back as one."""
     import uuid
 
     from reachway.functions.workers import ready
