@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reachway.llm.common import SPACE, prepare, replaced, row_key
+from reachway.llm.common import SPACE, prepare, row_key
 
 #: Frequent line keys up to this many (16 bytes each) are broadcast; more of them are joined by a salted shuffle.
 BROADCAST_KEYS = 500_000

@@ -14,8 +14,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reachway.llm.common import replaced
-
 KEY = "reachway-demo-key"
 ROUNDS = 8
 #: Symbols by code: digits, lower-case and upper-case letters.

@@ -11,7 +11,6 @@ network itself, and the network is fitted to them by Adam.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
