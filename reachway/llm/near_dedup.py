@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from reachway.llm.common import prepare
 from reachway.llm.components import components
-from reachway.llm.simhash import _BITS, _WORDS, _met, groups, replicate, shingle_hashes, star_links
+from reachway.llm.simhash import _BITS, _WORDS, _met, groups, needed, replicate, shingle_hashes, star_links
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Words of 64 bits in a fingerprint (an even number of blocks), and the bits within which fingerprints are candidates: 22 %.
@@ -69,8 +69,10 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows (anchor, id, parts of fingerprints) to links between ids."""
     for cols, starts in groups(batches):
-        a, b = star_links(cols[1], np.stack(cols[2:], 1).view(np.uint64), starts, HAMMING)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (a, b)], schema=_EDGES)
+        f = np.stack(cols[2:], 1).view(np.uint64)
+        a, b = star_links(f, starts, HAMMING)
+        use = needed(cols[0], f, a, b, HAMMING)
+        yield pa.RecordBatch.from_arrays([pa.array(cols[1][x[use]]) for x in (a, b)], schema=_EDGES)
 
 
 def similar(sets: list[np.ndarray], similarity: float) -> list[list[int]]:

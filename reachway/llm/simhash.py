@@ -88,11 +88,16 @@ _PAIRS = np.array([[0] * 15] + [[int(_FLIP[i] | _FLIP[i ^ s]) for i in range(1,
 _FREE = np.uint32(1 << 31)
 
 
-def anchors(block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All (row, anchor, home) of 32-bit blocks: anchors within two bits; home marks the nearest one."""
+def nearest_anchor(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The home of 32-bit blocks, and their syndromes (0: the block is its own home)."""
     raw = np.ascontiguousarray(block, "<u4").view(np.uint8).reshape(-1, 4)
     s = _SYNDROME[0][raw[:, 0]] ^ _SYNDROME[1][raw[:, 1]] ^ _SYNDROME[2][raw[:, 2]] ^ _SYNDROME[3][raw[:, 3]]
-    near = block ^ _FLIP[s]
+    return block ^ _FLIP[s], s
+
+
+def anchors(block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All (row, anchor, home) of 32-bit blocks: anchors within two bits; home marks the nearest one."""
+    near, s = nearest_anchor(block)
     rows = np.arange(len(block))
     off = np.flatnonzero(s)
     far = (block[off, None] ^ _PAIRS[s[off]]).ravel()
@@ -155,23 +160,39 @@ def grown(f: np.ndarray, threshold: int) -> list[np.ndarray]:
     return out
 
 
-def star_links(ids: np.ndarray, f: np.ndarray, starts: np.ndarray, threshold: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links (each linked id to the first of its component) within groups that start at these rows. Where ids are sorted in groups, a component has the
-    same first id at most of its anchors, so that equal links fall together."""
-    sizes = np.diff(np.r_[starts, len(ids)])
-    a, b = [], []
+def star_links(f: np.ndarray, starts: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links as row numbers (each linked row with the first of its component) within groups that start at these rows. Where ids are sorted in groups, a
+    component has the same first id at most of its anchors, so that equal links fall together."""
+    sizes = np.diff(np.r_[starts, len(f)])
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     group = np.repeat(np.arange(len(starts)), sizes)
     small = np.repeat(sizes <= SMALL_GROUP, sizes)
     for shift in range(1, int(min(SMALL_GROUP, sizes.max(initial=0)))):
         i = np.flatnonzero((group[:-shift] == group[shift:]) & small[shift:])
         near = i[np.bitwise_count(f[i] ^ f[i + shift]).sum(1) <= threshold]
-        a.append(ids[near])
-        b.append(ids[near + shift])
+        a.append(near)
+        b.append(near + shift)
     for s, n in zip(starts[sizes > SMALL_GROUP].tolist(), sizes[sizes > SMALL_GROUP].tolist(), strict=True):
         for own in grown(f[s : s + n], threshold):
-            a.append(ids[s + own[1:]])
-            b.append(np.repeat(ids[s + own[0]], len(own) - 1))
-    return a, b
+            a.append(np.full(len(own) - 1, s + own[0]))
+            b.append(s + own[1:])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def needed(anchor: np.ndarray, f: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
+    """Which links (rows a, b) are not sure to be found elsewhere too.
+
+    A pair within the threshold that differs in one bit at most in an earlier block is linked at the home of b there; one that does so in this block, at the home of b in this
+    block. Links go to the first row of a component, so that what such a link would connect is connected by those: blocks and first rows only decrease.
+    """
+    blocks = np.ascontiguousarray(f, "<u8").view("<u4").reshape(len(f), -1)
+    at = (anchor[a] >> 32).astype(np.int64)
+    close = np.bitwise_count(blocks[a] ^ blocks[b]) <= 1
+    direct = np.bitwise_count(f[a] ^ f[b]).sum(1) <= threshold
+    earlier = (close & (np.arange(blocks.shape[1]) < at[:, None])).any(1)
+    home = nearest_anchor(blocks[b, at])[0].astype(np.int64)
+    here = close[np.arange(len(a)), at] & (home != (anchor[a] & 0xFFFFFFFF))
+    return ~(direct & (earlier | here))
 
 
 def _met(cols: list[np.ndarray], starts: np.ndarray) -> np.ndarray:
@@ -188,8 +209,10 @@ def compare(threshold: int) -> Callable:
             keep = _met(cols, starts)
             key, f = cols[0][keep], cols[1][keep]
             if len(key):
-                a, b = star_links(f, f.view(np.uint64)[:, None], np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], schema=_EDGES)
+                wide = f.view(np.uint64)[:, None]
+                a, b = star_links(wide, np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), threshold)
+                use = needed(key, wide, a, b, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(f[x[use]]) for x in (a, b)], schema=_EDGES)
 
     return run
 

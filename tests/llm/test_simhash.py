@@ -113,12 +113,35 @@ def test_large_groups_equal_small_ones():
     rnd = np.random.default_rng(3)
     f = np.unique(np.uint64(12345) ^ (np.uint64(1) << rnd.integers(0, 64, 400, dtype=np.uint64)) ^ (np.uint64(1) << rnd.integers(0, 64, 400, dtype=np.uint64)))
     ids = np.arange(len(f))
-    a, b = simhash.star_links(ids, f[:, None], np.zeros(1, np.int64), 3)
-    links = [*zip(np.concatenate(a).tolist(), np.concatenate(b).tolist(), strict=True)]
+    a, b = simhash.star_links(f[:, None], np.zeros(1, np.int64), 3)
+    links = [*zip(a.tolist(), b.tolist(), strict=True)]
     every = [(i, j) for i in ids for j in ids[:i] if int(f[i] ^ f[j]).bit_count() <= 3]
     assert classes(len(f), links, ids.tolist()) == classes(len(f), every, ids.tolist()) and len(links) < len(f)
 
 
+def test_links_left_out_are_found_elsewhere():
+    rnd = np.random.default_rng(11)
+    for wide, threshold, flips in ((1, 3, 4), (6, 84, 30)):
+        base = rnd.integers(0, 1 << 63, (4, wide), dtype=np.uint64)
+        f = base[rnd.integers(0, 4, 160)]
+        for _ in range(flips):
+            f[np.arange(160), rnd.integers(0, wide, 160)] ^= np.where(rnd.random(160) < 0.5, np.uint64(1) << rnd.integers(0, 64, 160, dtype=np.uint64), np.uint64(0))
+        f = np.unique(f, axis=0)
+        rows = []
+        for block in range(2 * wide):
+            r, anchor, home = simhash.anchors((f[:, block // 2] >> np.uint64(32 * (block % 2))).astype(np.uint32))
+            rows += [((block << 32) + int(c), int(i), bool(h)) for i, c, h in zip(r, anchor, home, strict=True)]
+        rows.sort()
+        key, ids = np.array([x[0] for x in rows]), np.array([x[1] for x in rows])
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        keep = simhash._met([key, ids, np.array([x[2] for x in rows])], starts)
+        key, ids = key[keep], ids[keep]
+        a, b = simhash.star_links(f[ids], np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), threshold)
+        use = simhash.needed(key, f[ids], a, b, threshold)
+        every, some = ([*zip(ids[x].tolist(), ids[y].tolist(), strict=True)] for x, y in ((a, b), (a[use], b[use])))
+        assert classes(len(f), every, list(range(len(f)))) == classes(len(f), some, list(range(len(f)))) and len(some) < 0.7 * len(every)
+
+
 def test_components(spark):
     rnd = random.Random(1)
     e = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 480)] + [(900, i) for i in range(901, 980)] + [(None, 1), (5, 5)]
