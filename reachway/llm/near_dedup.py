@@ -1,10 +1,11 @@
 """Near-duplicate removal for whole corpora: wide SimHash fingerprints, anchor-point covering, and an exact check.
 
-Texts that are equal word for word are one to begin with. For the rest, a 384-bit SimHash over distinct words (twelve blocks of 32 bits) is replicated to
-anchors as in simhash.py: any two fingerprints within 23 bits meet for certain (one block differs in one bit at most), and texts whose five-word
-shingles reach a Jaccard similarity of 0.8 differ in 6 % of the bits or fewer as a rule, so that one of twelve blocks meets with a
-probability of about 0.99 at that border. What meets within HAMMING bits becomes a candidate class; inside classes the shingle sets are
-compared exactly, and only pairs of the wanted similarity link documents. Large classes are compared in cells of bounded size, two chunks at a time.
+Texts that are equal word for word are one to begin with. For the rest, candidates come in two ways. A 384-bit SimHash over distinct words (twelve
+blocks of 32 bits) is replicated to anchors as in simhash.py: any two fingerprints within 23 bits meet for certain, farther ones with a probability;
+what meets within HAMMING bits is linked. Beside it an exact way misses no pair of the wanted similarity: of n shingles in a fixed order, two such
+sets share one of their first n - ceil(similarity * n) + 1. Pairs that meet there are left out only where sizes or parity bitmaps prove them too
+different. Links make candidate classes; inside classes the shingle sets are compared exactly, and only pairs of the wanted similarity link
+documents. Large classes are compared in cells of bounded size, two chunks at a time.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ HAMMING = 84
 CHUNK_SHINGLES = 2_000_000
 #: Candidate ids up to this number (16 bytes each) are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Least bits of a parity bitmap over shingles (a power of two, over 1.5 bits a shingle): each bit that differs stands for a shingle that only one of two sets has.
+BITMAP = 1024
+#: Documents whose shingles are counted to find common ones, and the number of these that are put last in the order. Any order is exact; this one keeps groups small.
+HEAT_DOCS, HEAT_SHINGLES = 10_000, 32_768
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _PARTS = [f"f{i}" for i in range(1, WIDE + 1)]
 _PRINT = ", ".join(f"{c} long" for c in ("doc_id", "k1", "k2", "n", *_PARTS))
@@ -75,6 +80,126 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cols[1][x[use]]) for x in (a, b)], schema=_EDGES)
 
 
+def _hashes(text: str | None) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, SHINGLE), np.uint64))
+
+
+def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for text in b.column(0).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(_hashes(text).view(np.int64))], names=["h"])
+
+
+def bitmap(hashes: np.ndarray) -> bytes:
+    width = max(BITMAP, 1 << (3 * len(hashes) // 2).bit_length())
+    return np.packbits(np.bincount((hashes % np.uint64(width)).astype(np.int64), minlength=width) & 1).tobytes()
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) as they are with so many words."""
+    while bits.shape[1] > words:
+        bits = bits[:, : bits.shape[1] // 2] ^ bits[:, bits.shape[1] // 2 :]
+    return bits
+
+
+def _same_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (token, id) in groups of several, named by their ids: groups of the same ids become one."""
+    for cols, starts in groups(batches):
+        x = cols[1].astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        sizes = np.diff(np.r_[starts, len(x)])
+        name = np.repeat(np.add.reduceat(x ^ (x >> np.uint64(31)), starts), sizes).view(np.int64)
+        keep = np.repeat(sizes > 1, sizes)
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(name[keep]), pa.array(cols[1][keep])], names=["anchor", "id"])
+
+
+def _prefixes(similarity: float, common: np.ndarray, counts: np.ndarray):
+    """Rows (id, text) to (id, k1, k2, size, bits, tokens): the first shingles by count in the sample, then by hash. common: sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                h = _hashes(text)
+                if not len(h):
+                    continue
+                heat = np.zeros(len(h), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    heat = np.where(common[at] == h, counts[at], 0)
+                first = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
+                tokens = h[np.lexsort((h, heat))[:first]].view(np.int64)
+                rows.append((doc_id, *keyed(_WORDS.findall(text.encode("utf-8", "replace").lower())), len(h), bitmap(h), tokens))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            types = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["id", "k1", "k2", "size", "bits", "tokens"])
+
+    return run
+
+
+def token_links(size: np.ndarray, bits: list[bytes], starts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links as row numbers within groups that start at these rows, between sets that sizes and bitmaps allow to be similar."""
+    allowed = (1 - similarity) / (1 + similarity)
+    words = np.array([len(x) // 8 for x in bits])
+    maps, at = {}, np.zeros(len(bits), np.int64)
+    for w in np.unique(words):
+        rows = np.flatnonzero(words == w)
+        maps[w], at[rows] = np.frombuffer(b"".join([bits[r] for r in rows]), np.uint64).reshape(len(rows), w), np.arange(len(rows))
+
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6
+        for u, v in {*zip(words[i[out]].tolist(), words[j[out]].tolist(), strict=True)}:
+            own = np.flatnonzero(out & (words[i] == u) & (words[j] == v))
+            x, y = (_folded(maps[w][at[k[own]]], min(u, v)) for w, k in ((u, i), (v, j)))
+            out[own] = np.bitwise_count(x ^ y).sum(1) <= allowed * (size[i[own]] + size[j[own]]) + 1e-6
+        return out
+
+    ends = np.r_[starts[1:], len(size)]
+    pairs = starts[ends - starts == 2]
+    pairs = pairs[near(pairs, pairs + 1)]
+    a, b = [pairs], [pairs + 1]
+    for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
+        left = np.arange(s, e)
+        while len(left):
+            first, queue, left = left[0], [left[0]], left[1:]
+            while queue and len(left):
+                hit = near(left, np.full(len(left), queue.pop()))
+                if hit.any():
+                    a.append(np.full(int(hit.sum()), first))
+                    b.append(left[hit])
+                    queue.extend(left[hit])
+                    left = left[~hit]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _token_candidates(similarity: float):
+    """Sorted rows (anchor, id, size, bits) to links between ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, starts in groups(batches):
+            a, b = token_links(cols[2], cols[3].tolist(), starts, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[1][x]) for x in (a, b)], schema=_EDGES)
+
+    return run
+
+
+def prefix_pairs(slim: DataFrame, one: DataFrame, similarity: float) -> DataFrame:
+    """a, b (long): links that hold every pair of the wanted similarity in a chain. one: the first row of equal texts (id, k1, k2)."""
+    n = slim.count()
+    some = slim.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(min(1.0, HEAT_DOCS / max(n, 1)) * (1 << 20))))
+    heat = some.select("text").mapInArrow(_all_shingles, "h long").groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(HEAT_SHINGLES).collect()
+    common, counts = np.array([r[0] for r in heat], np.int64).view(np.uint64), np.array([r[1] for r in heat], np.int64)
+    order = np.argsort(common)
+    found = slim.select("doc_id", "text").mapInArrow(_prefixes(similarity, common[order], counts[order]), "id long, k1 long, k2 long, size long, bits binary, tokens array<long>")
+    found = found.join(one.select("id", "k1", "k2"), ["id", "k1", "k2"]).checkpoint()
+    dealt = found.select(F.explode("tokens").alias("anchor"), "id").repartition("anchor").sortWithinPartitions("anchor", "id")
+    met = dealt.mapInArrow(_same_once, "anchor long, id long").distinct().checkpoint()
+    known = met.join(found.select("id", "size", "bits"), "id").select("anchor", "id", "size", "bits")
+    return known.repartition("anchor").sortWithinPartitions("anchor", "id").mapInArrow(_token_candidates(similarity), "a long, b long")
+
+
 def similar(sets: list[np.ndarray], similarity: float) -> list[list[int]]:
     """Components of sorted sets that are linked by a Jaccard similarity of at least this. A set is compared with those not yet reached."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -157,7 +282,7 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY, chunk
     met = dealt.mapInArrow(_prune, "anchor long, id long").checkpoint()
     known = met.join(one.select("id", *_PARTS), "id").select("anchor", "id", *_PARTS)
     pairs = known.repartition("anchor").sortWithinPartitions("anchor", "id").mapInArrow(_candidates, "a long, b long")
-    classes = components(pairs.distinct())
+    classes = components(pairs.unionByName(prefix_pairs(slim, one, similarity)).distinct())
     found = classes.join(one.select("id", "k1", "k2", "n"), F.col("node") == F.col("id")).select("id", "root", "k1", "k2", "n")
     chunks = found.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(chunk_shingles)).cast("int").alias("chunks"))
     found = found.join(chunks, "root").checkpoint()
