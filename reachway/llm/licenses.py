@@ -1,7 +1,7 @@
 """Licence recognition by sentences and rules, in DataFrame functions only.
 
-A text is split into sentences, each sentence is normalised and mapped to the identifier of a known licence sentence, and the sequence of
-identifiers is matched against ordered rules: a rule is a sequence of identifiers that must occur one after another, other
+A text is split into sentences, sentences and runs of adjacent ones are normalised and mapped to the identifier of a known licence sentence, and the
+sequence of identifiers is matched against ordered rules: a rule is a sequence of identifiers that must occur one after another, other
 sentences between them aside.
 """
 
@@ -66,13 +66,20 @@ def normalised(sentence: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
+#: Words of which every known sentence has one (tested).
+_HINT = "(?i)licen[cs]e|rights|permission|redistribut|warrant"
+#: Marks the ends of sentences in normalised text.
+_MARK = "\x01"
+#: A known sentence that starts and stops at ends of sentences, whatever ends lie within: wrapped lines, comment marks, semicolons. Longer ones first.
+_RUN = f"{_MARK} ?(" + "|".join(s.replace(" ", f"[ {_MARK}]+") for s in sorted(_KNOWN, key=len, reverse=True)) + f") ?(?={_MARK})"
+
+
 def identifiers(text: Column) -> Column:
-    """The identifiers of a text's known sentences, in order."""
-    ends = F.split(F.coalesce(text, F.lit("")), _END)
-    # only sentences with a word that every known sentence has one of are normalised and looked up
-    hint = F.filter(ends, lambda s: s.rlike("(?i)licen[cs]e|copyright|permi|redistribut|software|rights|endorse"))
+    """The identifiers of a text's known sentences, in order. A known sentence is one sentence or a run of adjacent ones."""
+    marked = F.concat(F.lit(_MARK), F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _MARK, "_"), _END, _MARK), F.lit(_MARK))
+    plain = F.regexp_replace(F.lower(marked), f"[^a-z0-9{_MARK}]+", " ")
     known = F.create_map(*[x for k, v in _KNOWN.items() for x in (F.lit(k), F.lit(v))])
-    return F.filter(F.transform(hint, lambda s: F.element_at(known, normalised(s))), lambda x: x.isNotNull())
+    return F.transform(F.regexp_extract_all(plain, F.lit(_RUN), F.lit(1)), lambda s: F.element_at(known, normalised(s)))
 
 
 def _pattern(ids: list[str]) -> str:
@@ -89,7 +96,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     the same licence, which holds all its sentences, matches.
     """
     # sentence ids are made from text in one expression that is evaluated once for each row: rlike keeps most rows from it
-    hinted = F.coalesce(F.col(f"`{text}`").rlike("(?i)licen[cs]e|rights|permission|redistribut|free software|as is"), F.lit(False))
+    hinted = F.coalesce(F.col(f"`{text}`").rlike(_HINT), F.lit(False))
     joined = F.when(hinted, F.array_join(F.transform(identifiers(F.col(f"`{text}`")), lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")).otherwise("")
     out = replaced(docs, sentence_ids=joined)
     seq = F.col("sentence_ids")
