@@ -33,6 +33,8 @@ FORMS = {
 PATTERN = "|".join(f"{before}(?:{form}){after}" for before, form, after in FORMS.values())
 #: What any candidate has: an at sign or two digits.
 _HINT = r"@|[0-9]{2}|[0-9]\.[0-9]"
+#: Country codes by the ITU's list (E.164), which is free of prefixes: those of one and two digits, all others have three.
+_LANDS = "^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: Days from 1700-01-01 to 2099-12-31: 400 Gregorian years, in two factors for the halves of a Feistel network.
 FIRST_DAY, DAYS = "1700-01-01", (189, 773)
 
@@ -179,11 +181,10 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The country code stays; it is what stands before the first separator, or 1."""
+    """The country code stays; it is read from the digits, so that it is the same in all layouts."""
 
     def of(d: Column) -> Column:
-        land = F.regexp_extract(m, r"^\+([0-9]{1,3})(?=[ .(-])", 1)
-        land = F.when(land == "", F.substring(d, 1, 1)).otherwise(land)
+        land = F.regexp_extract(d, _LANDS, 0)
 
         def changed(code: Column) -> Column:
             rest = F.substring(d, F.length(code) + 1, F.length(d))
