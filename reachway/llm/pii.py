@@ -244,18 +244,56 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(let(let(bare(name), lambda n: feistel(_codes(n, _plain), "email", key)), lambda s: laid_out(name, s)), F.regexp_extract(m, "(@.*)$", 1))
 
 
+def _card_spans(m: Column) -> Column:
+    """(minus length, start) of the parts of a run between separators that may be a card: all groups but the last have four digits or more."""
+    at = F.sequence(F.lit(1), F.length(m))
+    starts = F.filter(at, lambda i: (i == 1) | F.substring(m, i - 1, F.lit(1)).isin(" ", "-"))
+    ends = F.filter(at, lambda i: (i == F.length(m)) | F.substring(m, i + 1, F.lit(1)).isin(" ", "-"))
+    both = F.flatten(F.transform(starts, lambda i: F.transform(ends, lambda e: F.struct((i - e - 1).alias("n"), i.alias("i")))))
+    likely = lambda part: part.rlike("^(?:[0-9]{4,}[ -])*[0-9]+$") & F.length(bare(part)).between(13, 19)
+    return F.filter(both, lambda s: (s["n"] <= -13) & likely(F.substring(m, s["i"], -s["n"])))
+
+
+def _iban_spans(m: Column) -> Column:
+    """(minus length, start) of the beginnings that stop before a blank."""
+    ends = F.filter(F.sequence(F.lit(1), F.length(m)), lambda i: (i >= 15) & (F.substring(m, i + 1, F.lit(1)) == " "))
+    return F.transform(ends, lambda e: F.struct((-e).alias("n"), F.lit(1).alias("i")))
+
+
+def _within(m: Column, spans: Column, maker: Callable[[Column, str], Column], kind: Column, key: str) -> Column:
+    """A candidate that fails as a whole, cut around the longest of these parts that is valid."""
+    made = F.transform(F.array_sort(spans), lambda s: F.struct(s["n"].alias("n"), s["i"].alias("i"), maker(F.substring(m, s["i"], -s["n"]), key).alias("v")))
+    none = F.lit(None).cast("string")
+    plain = lambda v: F.struct(none.alias("kind"), v.alias("new"))
+
+    def cut(p: Column) -> Column:
+        rest = p["i"] - p["n"]
+        parts = F.array(plain(F.substring(m, F.lit(1), p["i"] - 1)), F.struct(kind.alias("kind"), p["v"].alias("new")), plain(F.substring(m, rest, F.length(m))))
+        return F.when(p.isNotNull(), parts).otherwise(F.array(plain(m)))
+
+    return let(F.get(F.filter(made, lambda x: x["v"].isNotNull()), F.lit(0)), cut)
+
+
 def pseudonym(m: Column, key: str) -> Column:
-    """kind and new value of a candidate; where validation fails, a null kind and the candidate itself."""
+    """kind and new value of the parts of a candidate, one after another; where validation fails, a null kind and the part itself."""
 
     makers = {"email": _email, "secret": lambda m, key: feistel(_codes(m, _hex), "secret", key), "iban": _iban, "ip": _ip, "phone": _phone, "ssn": _ssn, "iso date": _iso_date, "date": _date, "card": _card}
     new, none = None, F.lit(None).cast("string")
 
-    def settled(kind: Column) -> Callable[[Column], Column]:
-        return lambda v: F.struct(F.when(v.isNotNull(), kind).alias("kind"), F.coalesce(v, m).alias("new"))
+    spans = {"iban": _iban_spans, "card": _card_spans}
+
+    def settled(name: str) -> Callable[[Column], Column]:
+        kind = F.lit(name.split()[-1])
+
+        def of(v: Column) -> Column:
+            whole = F.array(F.struct(F.when(v.isNotNull(), kind).alias("kind"), F.coalesce(v, m).alias("new")))
+            return F.when(v.isNull(), _within(m, spans[name](m), makers[name], kind, key)).otherwise(whole) if name in spans else whole
+
+        return of
 
     for name, (_, form, _) in FORMS.items():
-        new = (F if new is None else new).when(m.rlike(f"^(?:{form})$"), let(makers[name](m, key), settled(F.lit(name.split()[-1]))))
-    return new.otherwise(F.struct(none.alias("kind"), m.alias("new")))
+        new = (F if new is None else new).when(m.rlike(f"^(?:{form})$"), let(makers[name](m, key), settled(name)))
+    return new.otherwise(F.array(F.struct(none.alias("kind"), m.alias("new"))))
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
@@ -263,18 +301,18 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
 
     Handled: e-mail names, IBAN (mod 97), IPv4 addresses, phone numbers with a country code (8 to 15 digits), US social security numbers,
     calendar dates from 1700 to 2099, card numbers of 13 to 19 digits (Luhn) and quoted hexadecimal secrets. Numbers that fail their
-    check stay as they are. A null text stays null, with no pseudonyms; an empty one stays empty. Input columns called
+    check stay as they are; of a run of digits or an IBAN with more behind it, that fails as a whole, the longest valid part between separators is replaced. A null text stays null, with no pseudonyms; an empty one stays empty. Input columns called
     n_pii or pii are replaced. One narrow pass without a shuffle or Python; rows are handled on their own, so that repeated rows stay
     repeated. A value whose pseudonym happens to equal itself counts as replaced.
     """
     t = F.col(f"`{text}`")
-    found = F.when(t.rlike(_HINT), F.transform(F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)), lambda m: let(pseudonym(m, key), lambda p: F.struct(p["kind"].alias("kind"), p["new"].alias("value")))))
-    empty = F.array().cast("array<struct<kind:string,value:string>>")
+    found = F.when(t.rlike(_HINT), F.transform(F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)), lambda m: F.transform(pseudonym(m, key), lambda p: F.struct(p["kind"].alias("kind"), p["new"].alias("value")))))
+    empty = F.array().cast("array<array<struct<kind:string,value:string>>>")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), t.alias("t"), F.coalesce(found, empty).alias("found"))
     parts = F.split(F.col("t"), PATTERN, -1)
-    joined = F.when(F.size("found") == 0, F.col("t")).otherwise(F.array_join(F.zip_with(parts, F.transform("found", lambda x: x["value"]), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), ""))
+    joined = F.when(F.size("found") == 0, F.col("t")).otherwise(F.array_join(F.zip_with(parts, F.transform("found", lambda x: F.array_join(F.transform(x, lambda y: y["value"]), "")), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), ""))
     names = [c for c in docs.columns if c.lower() not in ("n_pii", "pii")]
-    valid = F.filter("found", lambda x: x["kind"].isNotNull())
+    valid = F.filter(F.flatten("found"), lambda x: x["kind"].isNotNull())
     return row.select(*[(joined if c == text else F.col(f"row.`{c}`")).alias(c) for c in names], F.size(valid).cast("long").alias("n_pii"), valid.alias("pii"))
 
 
