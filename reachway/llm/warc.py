@@ -143,7 +143,7 @@ def _one(data: bytes, at: int, end: int) -> tuple[dict[str, str], int, int, int]
     """Header fields, block start, block end and record end of the plain record at this place; raises ValueError."""
     if not _VERSION.match(data, at):
         raise ValueError("no version line")
-    stop = data.find(b"\r\n\r\n", at, min(end, at + 65_536))
+    stop = data.find(b"\r\n\r\n", at, end)
     if stop < 0:
         raise ValueError("no end of the header")
     fields = _fields(data[at:stop])
