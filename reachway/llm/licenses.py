@@ -82,8 +82,12 @@ def identifiers(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(plain, F.lit(_RUN), F.lit(1)), lambda s: F.element_at(known, normalised(s)))
 
 
-def _pattern(ids: list[str]) -> str:
-    return "<" + ">(?:<[^>]*>)*<".join(ids) + ">"
+def _occurs(seq: Column, ids: list[str]) -> Column:
+    """Whether the identifiers occur in this order: each is looked for behind the first place of the last one, so that any number of sentences is one pass for each identifier."""
+    at = F.lit(1)
+    for x in ids:
+        at = F.call_function("locate", F.lit(f"<{x}>"), seq, at)  # 0 if there is none, and from 0 on
+    return at > 0
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -91,9 +95,10 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     order of RULES, and their distinct licences in that order) and reusable (boolean: true if every licence found allows commercial
     reuse, null if none is found).
 
-    A null or empty text has no sentences: empty arrays and a null. Input columns of these names are replaced. One
+    A null or empty text has no sentences: empty arrays and a null; an empty table gives an empty table. Texts of any length are scanned as a whole, with patterns that
+    loop over single characters only, so that neither stack nor time grows faster than the text. Input columns of these names are replaced. One
     narrow pass without a shuffle; rows, repeated or not, are scanned on their own. A rule is not reported where a longer rule of
-    the same licence, which holds all its sentences, matches.
+    the same licence, or one that holds all its sentences, matches. Of known sentences that start at one place the longest counts.
     """
     # sentence ids are made from text in one expression that is evaluated once for each row: rlike keeps most rows from it
     hinted = F.coalesce(F.col(f"`{text}`").rlike(_HINT), F.lit(False))
@@ -102,10 +107,10 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     seq = F.col("sentence_ids")
     found = []
     for i, (_, name, _, ids) in enumerate(RULES):
-        hit = seq.rlike(_pattern(ids))
+        hit = _occurs(seq, ids)
         for _, other, _, longer in RULES[:i]:
             if other == name or set(ids) < set(longer):
-                hit = hit & ~seq.rlike(_pattern(longer))
+                hit = hit & ~_occurs(seq, longer)
         found.append(hit)
     none = F.lit(None).cast("string")
     rules = F.array_compact(F.array(*[F.when(h, F.lit(r[0])).otherwise(none) for h, r in zip(found, RULES, strict=True)]))
@@ -125,6 +130,10 @@ def license_report(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "sentence_ids", F.array_join("rules", ",").alias("rules"), F.array_join("licenses", ",").alias("licenses"), "reusable")
 
 
+def _pattern(ids: list[str]) -> str:
+    return "<" + ">.*<".join(ids) + ">"
+
+
 def _sql_list(what: int) -> str:
     parts, seen = [], []
     for i, r in enumerate(RULES):
