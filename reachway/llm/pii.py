@@ -14,25 +14,29 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Key of the registered query where the session has none. It is public: whoever knows it can invert pseudonyms, so that the operator itself never takes it by default.
 KEY = "reachway-demo-key"
+#: The session's setting that holds the key.
+KEY_SETTING = "spark.reachway.pii.key"
 ROUNDS = 8
 #: Symbols by code: digits, lower-case and upper-case letters.
 SYMBOLS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Kind: what may not stand before, the candidate's form, what may not stand after.
+#: Kind: what may not stand before, the candidate's form, what may not stand after. Loops are over single characters or bounded (a host has 127 labels at
+#: most, by its 253 characters), or else possessive: Java's loops over groups take stack for each turn.
 FORMS = {
-    "email": ("", r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", ""),
-    "secret": (r"(?<=[=:][ ]{0,2}[\"'])", r"[0-9a-f]{32,128}", r"(?=[\"'])"),
+    "email": (r"(?<![A-Za-z0-9._%+-])", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9][A-Za-z0-9-]*+(?:\.[A-Za-z0-9-]++){0,126}(?<=\.[A-Za-z]{2,63})", ""),
+    "secret": (r"(?<=[=:][ ]{0,2}[\"'])", r"[0-9a-f]{32,}+", r"(?=[\"'])"),
     "iban": (r"(?<![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", r"(?![A-Za-z0-9])"),
     "ip": (r"(?<![0-9.])", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", r"(?![0-9]|\.[0-9])"),
     "phone": (r"(?<![0-9A-Za-z+])", r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}", r"(?![0-9])"),
     "ssn": (r"(?<![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?![0-9]|-[0-9])"),
     "iso date": (r"(?<![0-9./-])", r"[0-9]{4}-[0-9]{2}-[0-9]{2}", r"(?![0-9]|[./-][0-9])"),
     "date": (r"(?<![0-9./-])", r"[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}", r"(?![0-9]|[./-][0-9])"),
-    "card": (r"(?<![0-9A-Za-z])", r"[0-9](?:[ -]?[0-9]){12,18}", r"(?![0-9A-Za-z])"),
+    "card": (r"(?<![0-9A-Za-z])", r"[0-9](?:[ -]?[0-9]){12,40}", r"(?![0-9A-Za-z])"),
 }
 PATTERN = "|".join(f"{before}(?:{form}){after}" for before, form, after in FORMS.values())
-#: What any candidate has: an at sign or two digits.
-_HINT = r"@|[0-9]{2}|[0-9]\.[0-9]"
+#: What any candidate has (tested): an at sign, two digits with a mark between them at most, or a quoted run of hexadecimal digits.
+_HINT = r"@|[0-9][ .-]?[0-9]|[\"'][0-9a-f]{32}"
 #: Country codes by the ITU's list (E.164), which is free of prefixes: those of one and two digits, all others have three.
 _LANDS = "^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: Days from 1700-01-01 to 2099-12-31: 400 Gregorian years, in two factors for the halves of a Feistel network.
@@ -154,7 +158,7 @@ def _card(m: Column, key: str) -> Column:
         body = let(feistel(_codes(F.substring(d, F.lit(1), F.length(d) - 1), _plain), "card", key), checked)
         return let(body, lambda s: laid_out(m, s))
 
-    return let(bare(m), lambda d: F.when((luhn(d) == 0) & ~d.rlike("^0+$"), changed(d)))
+    return let(bare(m), lambda d: F.when(F.length(d).between(13, 19) & (luhn(d) == 0) & ~d.rlike("^0+$"), changed(d)))
 
 
 def _iban(m: Column, key: str) -> Column:
@@ -239,39 +243,39 @@ def _date(m: Column, key: str) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    """The name is permuted, letters as letters and digits as digits; the host stays."""
+    """The name is permuted, letters as letters and digits as digits; the host stays. A name without any is none."""
     name = F.regexp_extract(m, "^([^@]*)@", 1)
-    return F.concat(let(let(bare(name), lambda n: feistel(_codes(n, _plain), "email", key)), lambda s: laid_out(name, s)), F.regexp_extract(m, "(@.*)$", 1))
+    return F.when(m.rlike("^[^@]*[A-Za-z0-9]"), F.concat(let(let(bare(name), lambda n: feistel(_codes(n, _plain), "email", key)), lambda s: laid_out(name, s)), F.regexp_extract(m, "(@.*)$", 1)))
 
 
 def _card_spans(m: Column) -> Column:
-    """(minus length, start) of the parts of a run between separators that may be a card: all groups but the last have four digits or more."""
+    """(start, minus length) of the parts of a run between separators that may be a card: all groups but the last have four digits or more."""
     at = F.sequence(F.lit(1), F.length(m))
     starts = F.filter(at, lambda i: (i == 1) | F.substring(m, i - 1, F.lit(1)).isin(" ", "-"))
     ends = F.filter(at, lambda i: (i == F.length(m)) | F.substring(m, i + 1, F.lit(1)).isin(" ", "-"))
-    both = F.flatten(F.transform(starts, lambda i: F.transform(ends, lambda e: F.struct((i - e - 1).alias("n"), i.alias("i")))))
-    likely = lambda part: part.rlike("^(?:[0-9]{4,}[ -])*[0-9]+$") & F.length(bare(part)).between(13, 19)
-    return F.filter(both, lambda s: (s["n"] <= -13) & likely(F.substring(m, s["i"], -s["n"])))
+    both = F.flatten(F.transform(starts, lambda i: F.transform(ends, lambda e: F.struct(i.alias("i"), (i - e - 1).alias("n")))))
+    likely = lambda part: part.rlike("^(?:[0-9]{4,}[ -]){0,4}[0-9]+$") & F.length(bare(part)).between(13, 19)
+    return F.filter(both, lambda s: s["n"].between(-23, -13) & likely(F.substring(m, s["i"], -s["n"])))
 
 
 def _iban_spans(m: Column) -> Column:
-    """(minus length, start) of the beginnings that stop before a blank."""
+    """(start, minus length) of the beginnings that stop before a blank."""
     ends = F.filter(F.sequence(F.lit(1), F.length(m)), lambda i: (i >= 15) & (F.substring(m, i + 1, F.lit(1)) == " "))
-    return F.transform(ends, lambda e: F.struct((-e).alias("n"), F.lit(1).alias("i")))
+    return F.transform(ends, lambda e: F.struct(F.lit(1).alias("i"), (-e).alias("n")))
 
 
 def _within(m: Column, spans: Column, maker: Callable[[Column, str], Column], kind: Column, key: str) -> Column:
-    """A candidate that fails as a whole, cut around the longest of these parts that is valid."""
-    made = F.transform(F.array_sort(spans), lambda s: F.struct(s["n"].alias("n"), s["i"].alias("i"), maker(F.substring(m, s["i"], -s["n"]), key).alias("v")))
-    none = F.lit(None).cast("string")
-    plain = lambda v: F.struct(none.alias("kind"), v.alias("new"))
+    """A candidate that fails as a whole, cut around those of these parts that are valid: from left to right, the longest first, without overlaps."""
+    made = F.transform(F.array_sort(spans), lambda s: F.struct(s["i"].alias("i"), (s["i"] - s["n"]).alias("e"), maker(F.substring(m, s["i"], -s["n"]), key).alias("v")))
+    part = "struct<kind:string,new:string>"
+    plain = lambda v: F.struct(F.lit(None).cast("string").alias("kind"), v.alias("new"))
+    start = F.struct(F.lit(1).alias("e"), F.array().cast(f"array<{part}>").alias("parts"))
 
-    def cut(p: Column) -> Column:
-        rest = p["i"] - p["n"]
-        parts = F.array(plain(F.substring(m, F.lit(1), p["i"] - 1)), F.struct(kind.alias("kind"), p["v"].alias("new")), plain(F.substring(m, rest, F.length(m))))
-        return F.when(p.isNotNull(), parts).otherwise(F.array(plain(m)))
+    def add(acc: Column, x: Column) -> Column:
+        new = F.array(plain(F.substring(m, acc["e"], x["i"] - acc["e"])), F.struct(kind.alias("kind"), x["v"].alias("new")))
+        return F.when(x["v"].isNotNull() & (x["i"] >= acc["e"]), F.struct(x["e"].alias("e"), F.concat(acc["parts"], new).alias("parts"))).otherwise(acc)
 
-    return let(F.get(F.filter(made, lambda x: x["v"].isNotNull()), F.lit(0)), cut)
+    return F.aggregate(made, start, add, lambda acc: F.concat(acc["parts"], F.array(plain(F.substring(m, acc["e"], F.length(m))))))
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -296,15 +300,25 @@ def pseudonym(m: Column, key: str) -> Column:
     return new.otherwise(F.array(F.struct(none.alias("kind"), m.alias("new"))))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
+def session_key(docs: DataFrame) -> str | None:
+    return docs.sparkSession.conf.get(KEY_SETTING, None)
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, text: str = "text") -> DataFrame:
     """docs with text pseudonymised, and with n_pii (long) and pii (array of struct kind, value: the pseudonyms in order).
 
     Handled: e-mail names, IBAN (mod 97), IPv4 addresses, phone numbers with a country code (8 to 15 digits), US social security numbers,
     calendar dates from 1700 to 2099, card numbers of 13 to 19 digits (Luhn) and quoted hexadecimal secrets. Numbers that fail their
-    check stay as they are; of a run of digits or an IBAN with more behind it, that fails as a whole, the longest valid part between separators is replaced. A null text stays null, with no pseudonyms; an empty one stays empty. Input columns called
+    check stay as they are; of a run of digits (41 are looked at together) or an IBAN with more behind it, that fails as a whole, the valid parts between separators are replaced, from left to right and the longest first.
+    key: by default the session's spark.reachway.pii.key; without either this raises, since pseudonyms by a known key can be inverted.
+
+    A null text stays null, with no pseudonyms; an empty one stays empty; an empty table gives an empty table. Texts of any length are searched as a whole, in time that grows with their length. Input columns called
     n_pii or pii are replaced. One narrow pass without a shuffle or Python; rows are handled on their own, so that repeated rows stay
     repeated. A value whose pseudonym happens to equal itself counts as replaced.
     """
+    key = session_key(docs) if key is None else key
+    if not key:
+        raise ValueError(f"no key: pass one or set {KEY_SETTING}")
     t = F.col(f"`{text}`")
     found = F.when(t.rlike(_HINT), F.transform(F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)), lambda m: F.transform(pseudonym(m, key), lambda p: F.struct(p["kind"].alias("kind"), p["new"].alias("value")))))
     empty = F.array().cast("array<array<struct<kind:string,value:string>>>")
@@ -317,5 +331,5 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """doc_id, text (pseudonymised), n_pii, kinds (comma-separated, in order)."""
-    return pseudonymise(docs.select("doc_id", "text")).select("doc_id", "text", "n_pii", F.array_join(F.transform("pii", lambda x: x["kind"]), ",").alias("kinds"))
+    """doc_id, text (pseudonymised), n_pii, kinds (comma-separated, in order). By the session's key, or else the public KEY."""
+    return pseudonymise(docs.select("doc_id", "text"), session_key(docs) or KEY).select("doc_id", "text", "n_pii", F.array_join(F.transform("pii", lambda x: x["kind"]), ",").alias("kinds"))

@@ -66,7 +66,7 @@ def test_formats(spark):
 @pytest.mark.parametrize("make,n", [("date_format(date_add(date'1750-01-01', cast(id as int)), 'yyyy-MM-dd')", 9000), ("concat('10.0.', cast(id div 200 as int), '.', id % 200)", 9000), ("concat('123-45-', lpad(id + 1, 4, '0'))", 9000)])
 def test_permutations_lose_nothing(spark, make, n):
     df = spark.range(n).selectExpr("id AS doc_id", f"{make} AS text")
-    out = pii.pseudonymise(df)
+    out = pii.pseudonymise(df, pii.KEY)
     r = out.agg(F.countDistinct("text"), F.sum("n_pii")).first()
     assert tuple(r) == (n, n)
     other = pii.pseudonymise(df, "another key")
@@ -75,7 +75,7 @@ def test_permutations_lose_nothing(spark, make, n):
 
 def test_tables(spark):
     df = spark.createDataFrame([(1, "a@b.com", 5, "r"), (1, "a@b.com", 5, "r"), (None, None, None, None)], "doc_id long, text string, N_PII int, row string")
-    out = pii.pseudonymise(df)
+    out = pii.pseudonymise(df, pii.KEY)
     assert out.columns == ["doc_id", "text", "row", "n_pii", "pii"] and [r.n_pii for r in out.collect()] == [1, 1, 0]
-    assert pii.pseudonymise(df.limit(0)).count() == 0
+    assert pii.pseudonymise(df.limit(0), pii.KEY).count() == 0
     assert "Python" not in out._jdf.queryExecution().toString()
