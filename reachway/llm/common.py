@@ -31,8 +31,20 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="reachway-")
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder that was set by hand. Where the session names neither, local masters (tests)
+    get a temporary one; on a cluster that raises, since executors wouldn't see it."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="reachway-")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of this session's own, on whatever store it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def replaced(df: DataFrame, **columns: Column) -> DataFrame:

@@ -6,7 +6,8 @@ is a response, the others are revisits that refer to it.
 
 Reading: every member is inflated and checked (gzip check sum, version line, header, length, block end, payload digest). After a failed
 check the reader searches for the next gzip member or version line that passes them, goes on from there, and reports the bytes between as a
-quarantined gap.
+quarantined gap. The same search runs over a member's inflated bytes, so that a bad record among several, or damage inside a member, costs no sound record before it.
+Headers have no length limit: their end is searched up to the end of the member or file.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachway.llm.common import prepare, shared_dir
+from reachway.llm.common import prepare, remove, shared_dir
 
 #: Bytes at which an archive is closed.
 ARCHIVE_BYTES = 16 << 20
@@ -103,7 +104,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, compress: bo
     """Writes a record for each row of pages (page_id, url, html) to archives under path.
 
     Of rows with equal payloads of at least min_bytes bytes, those with the largest page_id are responses and the others revisits of it; a null
-    page_id is less than any other. A null html is an empty payload, a null url leaves its header out. Rows are
+    page_id is less than any other. A null html is an empty payload, a null url leaves its header out; an empty table gives no records; url and html may have any
+    length that a row of Spark has (2 GB); other columns, whatever their names, are ignored. Rows are
     never joined by a payload itself: its SHA-1 is, after counting (pre-aggregated), and only digests that more than one row has.
     """
     prepare(pages.sparkSession)
@@ -127,16 +129,26 @@ def _fields(head: bytes) -> dict[str, str]:
     return out
 
 
-def _inflate(data: memoryview, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at this place, and its end; raises zlib.error if it is damaged or cut."""
+def _inflate(data: memoryview, at: int) -> tuple[bytes, int, str | None]:
+    """The content of the gzip member at this place, its end, and what is wrong with it. A damaged or cut member gives what was inflated before the damage; its end is unknown then (-1)."""
     d, out, p = zlib.decompressobj(31), [], at
     while not d.eof:
         piece = data[p : p + 65_536]
         if not len(piece):
-            raise zlib.error("the member is cut")
-        out.append(d.decompress(piece))
+            return b"".join(out), -1, "the member is cut"
+        spare = d.copy()
+        try:
+            out.append(d.decompress(piece))
+        except zlib.error as e:
+            # an error takes the output of its call with it: once more in single bytes
+            try:
+                for i in range(len(piece)):
+                    out.append(spare.decompress(piece[i : i + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), -1, str(e)[:200]
         p += len(piece)
-    return b"".join(out), p - len(d.unused_data)
+    return b"".join(out), p - len(d.unused_data), None
 
 
 def _one(data: bytes, at: int, end: int) -> tuple[dict[str, str], int, int, int]:
@@ -172,28 +184,74 @@ def _checked(data: bytes, at: int, end: int) -> tuple[dict[str, str], bytes, int
     return fields, payload, after
 
 
+def _plain(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str], bytes]]:
+    """(start, end, problem, fields, payload) of the records and gaps of inflated bytes: after a failed check the search goes on at the next version line."""
+    at, n, gap_start, problem = 0, len(data), -1, ""
+    while at < n:
+        try:
+            fields, payload, end = _checked(data, at, n)
+        except ValueError as e:
+            if gap_start < 0:
+                gap_start, problem = at, str(e)[:200]
+            m = _VERSION.search(data, at + 1)
+            at = m.start() if m else n
+            continue
+        if gap_start >= 0:
+            yield gap_start, at, problem, {}, b""
+            gap_start = -1
+        yield at, end, None, fields, payload
+        at = end
+    if gap_start >= 0:
+        yield gap_start, n, problem, {}, b""
+
+
 def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str], bytes]]:
-    """(start, end, problem, fields, payload) of every record, and of every gap: then problem says what was wrong."""
+    """(start, end, problem, fields, payload) of every record, and of every gap: then problem says what was wrong.
+
+    Places are bytes of the file. Records inside a gzip member have the member's places; a member with a gap among its records, or a damaged one with
+    records before the damage, gives these records and a gap with the places in question: of the member, or from the member's start to where
+    the next sound member or version line is found (start and end of such a record are the member's start).
+    """
     view, at, n = memoryview(data), 0, len(data)
     gap_start, problem = None, ""
+
+    def failed(why: str, start: int) -> None:
+        nonlocal gap_start, problem
+        if gap_start is None:
+            gap_start, problem = start, why
+
     while at < n:
-        try:
-            if data.startswith(MAGIC, at):
-                inner, end = _inflate(view, at)
-                p, found = 0, []
-                while p < len(inner):
-                    fields, payload, p = _checked(inner, p, len(inner))
-                    found.append((at, end, None, fields, payload))
-            elif data.startswith(b"WARC/", at):
+        found: list[tuple[int, int, str | None, dict[str, str], bytes]] = []
+        end = -1
+        if data.startswith(MAGIC, at):
+            inner, end, why = _inflate(view, at)
+            parts = list(_plain(inner))
+            if why is None:
+                good = [x for x in parts if x[2] is None]
+                if good or not inner:
+                    found = [(at, end, p if p is None else f"bytes {s} to {e} of the member: {p}", f, x) for s, e, p, f, x in parts]
+                else:
+                    end = -1
+                    failed(parts[0][2] or "", at)
+            else:
+                # records that others follow lie before the damage, and pass their own checks; the last one goes with the damage
+                before = [(at, at, None, f, x) for _, e, p, f, x in parts if p is None and e < len(inner)]
+                if before and gap_start is not None:
+                    yield gap_start, at, problem, {}, b""
+                    gap_start = None
+                yield from before
+                failed(why, at)
+        elif data.startswith(b"WARC/", at):
+            try:
                 fields, payload, end = _checked(data, at, n)
                 found = [(at, end, None, fields, payload)]
-            elif gap_start is None and not data[at:].strip(b"\x00\r\n"):
-                return
-            else:
-                raise ValueError("neither a member nor a version line")
-        except (zlib.error, ValueError) as e:
-            if gap_start is None:
-                gap_start, problem = at, str(e)[:200]
+            except ValueError as e:
+                failed(str(e)[:200], at)
+        elif gap_start is None and not data[at:].strip(b"\x00\r\n"):
+            return
+        else:
+            failed("neither a member nor a version line", at)
+        if end < 0:
             m = _START.search(data, at + 1)
             at = m.start() if m else n
             continue
@@ -248,11 +306,21 @@ def gaps(records: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, as read back from the archives."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, as read back from the archives.
+
+    A gap in archives just written means a lost page: it raises, as does another number of records than of pages. Repeated rows and null ids give a record each, an empty
+    table gives no rows, html of any length is written and read whole. The digests are checkpointed, so that the archives can go.
+    """
     spark = prepare(pages.sparkSession)
     path = write_archives(pages, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
-    found = read_archives(spark, path, payloads=False).filter(F.col("problem").isNull())
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = read_archives(spark, path, payloads=False)
+    whole = F.when(F.col("problem").isNull(), F.col("page_id")).otherwise(F.raise_error(F.concat_ws(": ", "archive", "problem")).cast("long"))
+    out = found.select(whole.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to").checkpoint()
+    (n, want) = out.count(), pages.count()
+    if n != want:
+        raise RuntimeError(f"{want} pages written, {n} records read")
+    remove(spark, path)
+    return out
 
 
 #: Base 32 from the hexadecimal digest: five digits make four letters.
