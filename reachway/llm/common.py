@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = " \t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Ids up to this number (8 bytes each) are broadcast.
+BROADCAST_IDS = 1_000_000
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -47,6 +49,15 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def without(docs: DataFrame, gone: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """docs less the rows whose doc_id is in gone (one column `gone`, distinct; null is an id like others). The ids are counted: up to broadcast_ids of them go to all executors, so that
+    texts don't move; more are joined by a shuffle."""
+    gone = gone.checkpoint()
+    if gone.count() <= broadcast_ids:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+
+
 def replaced(df: DataFrame, **columns: Column) -> DataFrame:
     """df with these columns at its end; columns of df whose names clash, in any case, are replaced."""
     taken = {c.lower() for c in columns}
