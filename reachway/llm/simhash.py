@@ -5,6 +5,9 @@ of a block are the words of a covering code: the perfect Hamming code of length
 fingerprint is replicated to all anchors within covering radius plus allowed bits, 2: 16.5 on average. The anchor nearest to one
 fingerprint (its home, within the covering radius) is then within reach of any other that differs in one bit, so that linked
 fingerprints meet there; fingerprints are compared anchor by anchor, and links go to a connected-components step.
+
+An anchor that very many different fingerprints share is split: fingerprints within three bits of each other have one of the four bytes of the other block in common, so
+that they are dealt anew by anchor and each of these bytes. No group is compared, or held, beyond LARGE_GROUP rows before that.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ SEED = 42
 _WORDS = regex.compile(rb"[^\x20\x09-\x0D]+")
 #: Groups of at most this many fingerprints are compared pair by pair; larger ones by growing components.
 SMALL_GROUP = 8
+#: Rows of an anchor beyond which its group is dealt anew by the bytes of the other block.
+LARGE_GROUP = 20_000
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -201,36 +206,92 @@ def _met(cols: list[np.ndarray], starts: np.ndarray) -> np.ndarray:
     return np.repeat((sizes > 1) & np.maximum.reduceat(cols[2].astype(np.int8), starts).astype(bool), sizes)
 
 
-def compare(threshold: int) -> Callable:
-    """Sorted rows (anchor, f, home) to links between fingerprints."""
+_FOUND = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+
+def compare(threshold: int, large: int) -> Callable:
+    """Sorted rows (anchor, f, home) to links between fingerprints (key: -1, a, b), those left out that are sure to be found at another anchor. Of an anchor with more than
+    `large` rows, each row comes back four times, with the anchor and one byte of its other block as key, and f as a. Such a group is never held as a whole."""
+
+    def links(cols: list[np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keep = _met(cols, starts)
+        key, f = cols[0][keep], cols[1][keep]
+        if len(key):
+            wide = f.view(np.uint64)[:, None]
+            a, b = star_links(wide, np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), threshold)
+            use = needed(key, wide, a, b, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(int(use.sum()), -1)), *[pa.array(f[x[use]]) for x in (a, b)]], schema=_FOUND)
+
+    def dealt(key: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+        bits = f.view(np.uint64)
+        other = np.where(key >> 32 == 0, bits >> np.uint64(32), bits & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        part = np.concatenate([256 * i + (other >> 8 * i & 255) for i in range(4)])
+        return pa.RecordBatch.from_arrays([pa.array(np.tile(key, 4) << 10 | part), pa.array(np.tile(f, 4)), pa.array(np.zeros(len(part), np.int64))], schema=_FOUND)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wait: list[np.ndarray] | None = None
+        passing = None  # the anchor of a large group whose rows pass through
+        for b in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            if passing is not None:
+                n = int(np.searchsorted(cols[0], passing, side="right"))
+                if n:
+                    yield dealt(cols[0][:n], cols[1][:n])
+                    cols = [c[n:] for c in cols]
+                if not len(cols[0]):
+                    continue
+                passing = None
+            if wait is not None:
+                cols = [np.concatenate(x) for x in zip(wait, cols, strict=True)]
+                wait = None
+            if not len(cols[0]):
+                continue
+            starts = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
+            sizes = np.diff(np.r_[starts, len(cols[0])])
+            big = np.repeat(sizes > large, sizes)
+            if big.any():
+                yield dealt(cols[0][big], cols[1][big])
+            last = int(starts[-1])
+            own = [c[:last][~big[:last]] for c in cols]
+            if len(own[0]):
+                yield from links(own, np.flatnonzero(np.r_[True, own[0][1:] != own[0][:-1]]))
+            if sizes[-1] > large:
+                passing = cols[0][-1]
+            else:
+                wait = [c[last:] for c in cols]
+        if wait is not None:
+            yield from links(wait, np.zeros(1, np.int64))
+
+    return run
+
+
+def compare_parts(threshold: int) -> Callable:
+    """Sorted rows (key, f) to links between fingerprints of equal keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, starts in groups(batches):
-            keep = _met(cols, starts)
-            key, f = cols[0][keep], cols[1][keep]
-            if len(key):
-                wide = f.view(np.uint64)[:, None]
-                a, b = star_links(wide, np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), threshold)
-                use = needed(key, wide, a, b, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(f[x[use]]) for x in (a, b)], schema=_EDGES)
+            a, b = star_links(cols[1].view(np.uint64)[:, None], starts, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[1][x]) for x in (a, b)], schema=_EDGES)
 
     return run
 
 
-def linked(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def linked(prints: DataFrame, threshold: int = THRESHOLD, large: int = LARGE_GROUP) -> DataFrame:
     """node, root: the components of the distinct fingerprints in prints (f: long) that have a link. threshold: at most 3, which two blocks of 32 bits cover."""
     if not 0 <= threshold <= 3:
         raise ValueError("two blocks cover at most 3 bits")
     rows = prints.select(F.col("f").alias("id"), "f").mapInArrow(replicate(1), "anchor long, id long, home boolean")
     dealt = rows.repartition("anchor").sortWithinPartitions("anchor", "id")
-    return components(dealt.mapInArrow(compare(threshold), "a long, b long").distinct())
+    found = dealt.mapInArrow(compare(threshold, large), "key long, a long, b long").checkpoint()
+    parts = found.filter("key >= 0").select("key", "a").repartition("key").sortWithinPartitions("key", "a")
+    return components(found.filter("key < 0").select("a", "b").unionByName(parts.mapInArrow(compare_parts(threshold), "a long, b long")).distinct())
 
 
 def simhash_components(docs: DataFrame, size: int = 3, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, f (long), component_id (the least doc_id that links lead to, itself included), one row for each row of docs.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased. Equal fingerprints are linked whatever their texts; null and empty texts
-    have fingerprint 0. Copies are counted once (map-side minimum by fingerprint) before they are replicated, so that a hot group is
+    have fingerprint 0; texts of any length are read as a whole, an empty table gives an empty table, other columns are ignored. Copies are counted once (map-side minimum by fingerprint) before they are replicated, so that a hot group is
     one row. Repeated rows are linked like any equal texts; a null doc_id never names a component, its row gets its component's id or null.
     """
     prints = fingerprints(docs, size).checkpoint()

@@ -109,6 +109,21 @@ def test_chains_of_fingerprints(spark):
     assert len(got) == 21 and len({r.root for r in got}) == 1
 
 
+@pytest.mark.parametrize("large", [1, 3, 50])
+def test_large_groups_are_dealt_by_bytes(spark, large):
+    rnd = np.random.default_rng(large)
+    base = rnd.integers(0, 1 << 63, 3, dtype=np.uint64)
+    f = base[rnd.integers(0, 3, 500)]
+    for _ in range(5):
+        f ^= np.where(rnd.random(500) < 0.6, np.uint64(1) << rnd.integers(0, 64, 500, dtype=np.uint64), np.uint64(0))
+    f = np.unique(f)
+    prints = spark.createDataFrame([(simhash.signed(int(x)),) for x in f], "f long")
+    got = {r.node: r.root for r in simhash.linked(prints, large=large).collect()}
+    every = [(i, j) for i in range(len(f)) for j in range(i) if int(f[i] ^ f[j]).bit_count() <= 3]
+    want = classes(len(f), every, [simhash.signed(int(x)) for x in f])
+    assert got == {simhash.signed(int(f[i])): want[i] for e in every for i in e} and len(got) > 100
+
+
 def test_large_groups_equal_small_ones():
     rnd = np.random.default_rng(3)
     f = np.unique(np.uint64(12345) ^ (np.uint64(1) << rnd.integers(0, 64, 400, dtype=np.uint64)) ^ (np.uint64(1) << rnd.integers(0, 64, 400, dtype=np.uint64)))
@@ -147,22 +162,23 @@ def test_components(spark):
     e = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 480)] + [(900, i) for i in range(901, 980)] + [(None, 1), (5, 5)]
     df = spark.createDataFrame([*e, *e[:20]], "a long, b long").repartition(6)
     got = {r.node: r.root for r in components(df).collect()}
+    assert {r.node: r.root for r in components(df, centre=5).collect()} == got
     want = classes(1000, [x for x in e if None not in x], list(range(1000)))
     linked = {i for x in e if None not in x and x[0] != x[1] for i in x}
     assert got == {i: want[i] for i in linked} and components(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("chunk,ids_bound", [(2_000_000, 10**6), (2_000, 0)])
-def test_near_duplicates_equal_exact_jaccard(spark, texts, chunk, ids_bound):
+@pytest.mark.parametrize("chunk,ids_bound,chunk_rows", [(2_000_000, 10**6, 256), (2_000, 0, 256), (2_000_000, 10**6, 3)])
+def test_near_duplicates_equal_exact_jaccard(spark, texts, chunk, ids_bound, chunk_rows):
     ids = [3 * i + 1 for i in range(len(texts))]
     df = spark.createDataFrame(list(zip(ids, texts, ["z"] * len(texts), strict=True)), "doc_id long, text string, gone string").repartition(4)
     sets = [frozenset(shingles(t, 5)) for t in texts]
     keys = [" ".join(shingles(t, 1)) for t in texts]
     links = [(i, j) for i in range(len(ids)) for j in range(i) if keys[i] == keys[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0]
     want = classes(len(ids), links, ids)
-    got = {r.doc_id: r.group_id for r in near_dedup.near_duplicate_groups(df, chunk_shingles=chunk, broadcast_ids=ids_bound).collect()}
+    got = {r.doc_id: r.group_id for r in near_dedup.near_duplicate_groups(df, chunk_shingles=chunk, broadcast_ids=ids_bound, chunk_rows=chunk_rows).collect()}
     assert got == {i: want[k] for k, i in enumerate(ids)}
-    if chunk > 2_000:
+    if chunk > 2_000 and chunk_rows > 3:
         kept = near_dedup.deduplicated(df)
         assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == df.columns
         assert near_dedup.deduplicated(df.limit(0)).count() == 0
