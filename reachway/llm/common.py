@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,6 +59,17 @@ def without(docs: DataFrame, gone: DataFrame, broadcast_ids: int = BROADCAST_IDS
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
 
 
+def carried(docs: DataFrame) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """docs as doc_id, text and one struct of its other columns, so that nothing that an operator adds or replaces can clash with them; and the way back, with some columns set anew."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    whole = docs.select("doc_id", "text", F.struct(*(others or [F.lit(0).alias("none")])).alias("carried_row"))
+
+    def back(out: DataFrame, **columns: Column) -> DataFrame:
+        return out.select(*[columns.get(c, F.col(c if c in ("doc_id", "text") else f"carried_row.`{c}`")).alias(c) for c in docs.columns])
+
+    return whole, back
+
+
 def replaced(df: DataFrame, **columns: Column) -> DataFrame:
     """df with these columns at its end; columns of df whose names clash, in any case, are replaced."""
     taken = {c.lower() for c in columns}

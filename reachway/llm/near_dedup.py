@@ -5,7 +5,10 @@ blocks of 32 bits) is replicated to anchors as in simhash.py: any two fingerprin
 what meets within HAMMING bits is linked. Beside it an exact way misses no pair of the wanted similarity: of n shingles in a fixed order, two such
 sets share one of their first n - ceil(similarity * n) + 1. Pairs that meet there are left out only where sizes or parity bitmaps prove them too
 different. Links make candidate classes; inside classes the shingle sets are compared exactly, and only pairs of the wanted similarity link
-documents. Large classes are compared in cells of bounded size, two chunks at a time.
+documents.
+
+Classes are dealt to chunks of bounded size. Chunks are compared inside first; then one text of each component that this gives with those of the other chunks of its
+class. A class that is one component by then, such as a large group of near copies, is done; only the rest is compared as a whole, two chunks at a time.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reachway.llm.common import prepare
+from reachway.llm.common import BROADCAST_IDS, prepare, without
 from reachway.llm.components import components
 from reachway.llm.simhash import _BITS, _WORDS, _met, groups, needed, replicate, shingle_hashes, star_links
 
@@ -28,8 +31,8 @@ WIDE = 6
 HAMMING = 84
 #: Shingles that one chunk of a class holds at most (but for one text that has more): 8 bytes each.
 CHUNK_SHINGLES = 2_000_000
-#: Candidate ids up to this number (16 bytes each) are broadcast to find their texts; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Texts of one chunk of a class, about.
+CHUNK_ROWS = 256
 #: Least bits of a parity bitmap over shingles (a power of two, over 1.5 bits a shingle): each bit that differs stands for a shingle that only one of two sets has.
 BITMAP = 1024
 #: Documents whose shingles are counted to find common ones, and the number of these that are put last in the order. Any order is exact; this one keeps groups small.
@@ -241,41 +244,52 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(similarity: float):
-    """Sorted rows (cell, id, shingles) to links between ids of the wanted similarity."""
+    """Sorted rows (cell, id, label, shingles) to links between ids of the wanted similarity, within cells of several labels."""
 
-    def links(ids: list[int], sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    def links(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         a, b = [], []
         for own in similar(sets, similarity):
             a += [ids[i] for i in own[1:]]
             b += [ids[own[0]]] * (len(own) - 1)
-        return a, b
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], schema=_EDGES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, ids, sets = None, [], []
+        cell, ids, labels, sets = None, [], set(), []
         for b in batches:
-            for c, i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for c, i, label, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 if c != cell:
-                    if len(ids) > 1:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links(ids, sets)], schema=_EDGES)
-                    cell, ids, sets = c, [], []
+                    if len(labels) > 1:
+                        yield links(ids, sets)
+                    cell, ids, labels, sets = c, [], set(), []
                 values = np.sort(s.values.to_numpy().view(np.uint64))
                 if len(values):
                     ids.append(i)
+                    labels.add(label)
                     sets.append(values)
-        if len(ids) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links(ids, sets)], schema=_EDGES)
+        if len(labels) > 1:
+            yield links(ids, sets)
 
     return run
 
 
-def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY, chunk_shingles: int = CHUNK_SHINGLES, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def _paired(rows: DataFrame, chunk_rows: int | None) -> DataFrame:
+    """Cells of two chunks each for the rows (id, root, k1, k2, label, own, chunks) of classes. chunk_rows: deal the rows anew to chunks of so many."""
+    if chunk_rows:
+        count = rows.groupBy("root").agg(F.ceil(F.count("*") / F.lit(chunk_rows)).cast("int").alias("chunks"))
+        rows = rows.drop("chunks", "own").join(count, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).filter("other <> own OR chunks = 1")
+    return rows.select(F.concat_ws(":", "root", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "id", "k1", "k2", "label")
+
+
+def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY, chunk_shingles: int = CHUNK_SHINGLES, broadcast_ids: int = BROADCAST_IDS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """doc_id, group_id (long) for every row with an id: group_id is the least doc_id that links lead to.
 
     Links join texts that are equal word for word (A-Z lower-cased, white space aside; texts without words are equal) and candidates whose sets of five-word
-    shingles have a Jaccard similarity of at least `similarity`. Rows with one doc_id count as one document. Null and empty texts have no words.
+    shingles have a Jaccard similarity of at least `similarity`. Rows with one doc_id count as one document. Null and empty texts have no words. An empty table gives an empty table; texts of any length are shingled as a whole; other columns are ignored.
     """
     prepare(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
+    # candidate ids up to broadcast_ids (24 bytes each) are broadcast to find their texts; more are joined by a shuffle
     prints = slim.mapInArrow(_prints, _PRINT).checkpoint()
     one = prints.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n", *_PARTS)]).checkpoint()
     dealt = one.select("id", *_PARTS).mapInArrow(replicate(WIDE), "anchor long, id long, home boolean").repartition("anchor").sortWithinPartitions("anchor", "id")
@@ -284,16 +298,32 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY, chunk
     pairs = known.repartition("anchor").sortWithinPartitions("anchor", "id").mapInArrow(_candidates, "a long, b long")
     classes = components(pairs.unionByName(prefix_pairs(slim, one, similarity)).distinct())
     found = classes.join(one.select("id", "k1", "k2", "n"), F.col("node") == F.col("id")).select("id", "root", "k1", "k2", "n")
-    chunks = found.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(chunk_shingles)).cast("int").alias("chunks"))
-    found = found.join(chunks, "root").checkpoint()
-    wanted = found.select("id", "k1", "k2")
-    if wanted.count() <= broadcast_ids:
-        wanted = F.broadcast(wanted)
-    sets = slim.withColumnRenamed("doc_id", "id").join(wanted, "id").select("id", "k1", "k2", "text").mapInArrow(_shingled, "id long, shingles array<long>")
-    cells = found.withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cells = cells.select("id", F.concat_ws(":", "root", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
-    rows = cells.join(sets, "id").select("cell", "id", "shingles").repartition("cell").sortWithinPartitions("cell", "id")
-    near = components(rows.mapInArrow(_verify(similarity), "a long, b long").distinct())
+    size = F.greatest(F.ceil(F.sum("n") / F.lit(chunk_shingles)), F.ceil(F.count("*") / F.lit(chunk_rows)))
+    chunks = found.groupBy("root").agg(size.cast("int").alias("chunks"))
+    found = found.join(chunks, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).checkpoint()
+
+    def verified(cells: DataFrame) -> DataFrame:
+        """Links between the ids of each cell (cell, id, k1, k2, label), unless all rows of a cell have one label."""
+        wanted = cells.select("id", "k1", "k2").distinct()
+        if wanted.count() <= broadcast_ids:
+            wanted = F.broadcast(wanted)
+        sets = slim.withColumnRenamed("doc_id", "id").join(wanted, "id").select("id", "k1", "k2", "text").mapInArrow(_shingled, "id long, shingles array<long>")
+        rows = cells.select("cell", "id", "label").join(sets, "id").select("cell", "id", "label", "shingles").repartition("cell").sortWithinPartitions("cell", "id")
+        return rows.mapInArrow(_verify(similarity), "a long, b long").distinct().checkpoint()
+
+    links = verified(found.select(F.concat_ws(":", "root", "own").alias("cell"), "id", "k1", "k2", F.col("id").alias("label")))
+    near = components(links)
+    large = found.filter("chunks > 1")
+    if large.limit(1).count():
+        labelled = large.join(near.select(F.col("node").alias("id"), F.col("root").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        links = links.unionByName(verified(_paired(labelled.filter("label = id"), chunk_rows))).checkpoint()
+        near = components(links)
+        labelled = large.join(near.select(F.col("node").alias("id"), F.col("root").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id")).checkpoint()
+        open_classes = labelled.groupBy("root").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("root")
+        left = labelled.join(open_classes, "root")
+        if left.limit(1).count():
+            links = links.unionByName(verified(_paired(left, None))).checkpoint()
+            near = components(links)
     # copies follow their first one
     named = one.select("k1", "k2", "id").join(near, F.col("id") == F.col("node"), "left").select("k1", "k2", F.coalesce("root", "id").alias("group_id"))
     return prints.join(named, ["k1", "k2"]).select("doc_id", "group_id")
@@ -301,5 +331,4 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY, chunk
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs less all documents of a group but the one of least doc_id. Rows without an id stay; rows that share an id stay or go together."""
-    gone = near_duplicate_groups(docs, similarity).filter("doc_id <> group_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    return without(docs, near_duplicate_groups(docs, similarity).filter("doc_id <> group_id").select(F.col("doc_id").alias("gone")).distinct())
