@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from reachway.llm.common import prepare, replaced
 from reachway.llm.quality import labelled, remainder
 
-#: Labelled rows that a model is fitted on at most (half of them for each label, by the least hash of their id), and the longest of their texts (characters) that
-#: serve for that.
-SAMPLE_ROWS, SAMPLE_CHARS = 6_000, 20_000
+#: Labelled documents that a model is fitted on at most, and the characters that these have together at most: half for each label, by the least hash of their id. A document that would
+#: exceed what is left of the characters is passed over, so that long documents serve like short ones.
+SAMPLE_ROWS, SAMPLE_CHARS = 6_000, 24_000_000
 WINDOW, STRIDE = 32, 16
 BUCKETS, WIDTH, HIDDEN, ATTENTION = 1 << 14, 16, 8, 8
 EPOCHS, ROUNDS, BATCH, RATE = 3, 3, 256, 0.01
@@ -318,17 +318,26 @@ def fit(texts: list[str | None], y: np.ndarray, share: float | None = None, seed
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 3, held: int = 1, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Network:
-    """A network from labelled documents whose crc32 remainder isn't the held-out one."""
+    """A network from labelled documents whose crc32 remainder isn't the held-out one: at most `rows` ids, one text of each (the least), and `chars` characters. Null and empty texts count as labelled
+    documents without windows."""
     prepare(docs.sparkSession)
     known = labels.filter(F.col(label).isNotNull() & (remainder(F.col("doc_id"), parts) != held)).agg(F.count("*"), F.sum(F.col(label).cast("double"))).first()
-    sample = labelled(docs, labels, label, parts, held, rows, balanced=True).filter(F.coalesce(F.length("text"), F.lit(0)) <= chars).toPandas()
-    sample = sample.assign(text=sample["text"].fillna("")).sort_values(["text", "y"], kind="stable")
+    every = labelled(docs, labels, label, parts, held, rows, balanced=True).select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"))
+    texts = every.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text")).checkpoint()
+    sizes = texts.select("doc_id", "y", F.length("text").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    chosen, room = [], {True: chars // 2, False: chars // 2}
+    for doc_id, y, size in sizes:
+        if size <= room[y > 0]:
+            room[y > 0] -= size
+            chosen.append((doc_id,))
+    fits = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id string"))
+    sample = texts.join(fits, "doc_id").toPandas().sort_values(["text", "y"], kind="stable")
     return fit(sample["text"].tolist(), sample["y"].to_numpy(np.float64), ((known[1] or 0) + 1) / (known[0] + 2))
 
 
 def scored(docs: DataFrame, model: Network, cut: float = CUT) -> DataFrame:
-    """docs with score (double) and predicted (int: 1 at cut or more), every window of every text scored. Null and empty texts get the score of
-    a usual clean document. Input columns of these names are replaced."""
+    """docs with score (double) and predicted (int: 1 at cut or more), every window of every text scored, whatever its length. Null and empty texts get the score of
+    a usual clean document; repeated rows get equal scores, of equal windows any is the largest, an empty table gives an empty table. Input columns of these names are replaced."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
