@@ -112,7 +112,7 @@ _FLOATS = pa.list_(pa.float64())
 
 def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(map(float, statistics(t))) for t in b.column(1).to_pylist()], _FLOATS)], names=["y", "x"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([list(map(float, statistics(t))) for t in b.column(2).to_pylist()], _FLOATS)], names=["doc_id", "y", "x"])
 
 
 def remainder(doc_id: Column, parts: int) -> Column:
@@ -121,18 +121,21 @@ def remainder(doc_id: Column, parts: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, rows: int, balanced: bool = False) -> DataFrame:
-    """y and text of at most this many labelled documents outside the held-out part: those with the least hashes of their ids; balanced: half the rows for each label at most."""
+    """doc_id, y and text of at most this many labelled ids outside the held-out part: those with the least hashes; balanced: half the ids for each label at most. An id that
+    several rows of docs have comes with each of them."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), parts) != held))
     known = known.groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
     pick = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = pick(known.filter("y > 0"), rows // 2).unionByName(pick(known.filter("y <= 0"), rows // 2)) if balanced else pick(known, rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", F.col("text").cast("string").alias("text"))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "y", F.col("text").cast("string").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held: int = 2, rows: int = SAMPLE_ROWS) -> Trees:
-    """A model from labelled documents whose crc32 remainder isn't the held-out one."""
+    """A model from labelled documents whose crc32 remainder isn't the held-out one: at most `rows` ids, one row of each (the least statistics), so that what reaches the driver is bounded. Null and
+    empty texts have statistics that are all zero; texts of any length are measured as a whole. Without labelled documents the model is a constant of one half."""
     prepare(docs.sparkSession)
-    sample = labelled(docs, labels, label, parts, held, rows).mapInArrow(measured, "y double, x array<double>").toPandas()
+    every = labelled(docs, labels, label, parts, held, rows).mapInArrow(measured, "doc_id string, y double, x array<double>")
+    sample = every.groupBy("doc_id").agg(F.min(F.struct("y", "x")).alias("one")).select("one.y", "one.x").toPandas()
     x = np.array(sample["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
     y = sample["y"].to_numpy(np.float64)
     order = np.lexsort((*x.T, y))  # rows come in any order; sums shall not depend on it
@@ -140,7 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
 
 
 def scored(docs: DataFrame, model: Trees, cut: float = CUT) -> DataFrame:
-    """docs with score (double) and predicted (int: 1 at cut or more). Every row is scored by itself; null and empty texts get the score of statistics that are all zero. Input columns of these names are replaced."""
+    """docs with score (double) and predicted (int: 1 at cut or more). Every row is scored by itself; null and empty texts get the score of statistics that are all zero; texts of any length are measured as a whole; repeated rows
+    get equal scores, an empty table gives an empty table, a score of exactly `cut` is a 1. Input columns of these names are replaced."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
