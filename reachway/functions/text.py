@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -9,11 +11,28 @@ from pyspark.sql import functions as F
 
 from reachway import config
 
-#: Letters with marks and what they decompose to (upper case, as names are compared).
-_MARKED = "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
-_BARE = "AAAAAAEEEEIIIIOOOOOUUUUNCY"
+#: White space at the ends of names, by Unicode, with the separators of ASCII.
+_ENDS = "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$"
+
+
+@functools.cache
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition is one letter but for combining marks, these letters, and the decompositions of several letters. Hangul, whose letters decompose by a
+    rule, and the ideographs of the planes beyond the first are left out: no name here is compared in them."""
+    one, bare, several = [], [], {}
+    for code in [*range(0xA0, 0xAC00), *range(0xF900, 0xFFFE)]:
+        c = chr(code)
+        d = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if len(d) == 1 and d != c:
+            one.append(c)
+            bare.append(d)
+        elif len(d) > 1 and d.isascii():
+            several[c] = d
+    return "".join(one), "".join(bare), several
+
+
 #: Combining marks that may follow a letter in decomposed text.
-_COMBINING = "[\\u0300-\\u036f]"
+_COMBINING = "[\\u0300-\\u036f\\u1ab0-\\u1aff\\u1dc0-\\u1dff\\u20d0-\\u20ff\\ufe20-\\ufe2f]"
 
 
 def lookup(key: Column, table: Mapping, default=None) -> Column:
@@ -23,8 +42,15 @@ def lookup(key: Column, table: Mapping, default=None) -> Column:
 
 
 def norm_name(s: Column) -> Column:
-    """Trimmed, upper-cased, without accents; null gives ''. Letters outside the Latin accents of the table stay as they are."""
-    return F.regexp_replace(F.translate(F.upper(F.trim(F.coalesce(s, F.lit("")))), _MARKED, _BARE), _COMBINING, "")
+    """Trimmed, upper-cased, in compatibility decomposition (NFKD) without its combining marks; null gives ''. Plain ASCII names, which are most, skip the decomposition."""
+    upper = F.upper(F.regexp_replace(F.coalesce(s, F.lit("")), _ENDS, ""))
+    one, bare, several = _decompositions()
+    wide = F.regexp_replace(F.translate(upper, one, bare), _COMBINING, "")
+    # a character of several letters becomes an entry of a map, one split text at a time
+    letters = F.create_map(*[F.lit(x) for kv in several.items() for x in kv])
+    spelt = F.array_join(F.transform(F.split(wide, ""), lambda c: F.coalesce(F.element_at(letters, c), c)), "")
+    rare = "[" + "".join(several) + "]"
+    return F.when(upper.rlike("^\\p{ASCII}*$"), upper).when(wide.rlike(rare), spelt).otherwise(wide)
 
 
 def to_number(s: Column) -> Column:
@@ -71,3 +97,8 @@ def settlement_weight(kind: Column, capital: Column, corrected: bool = False) ->
 def capacity(category: Column) -> Column:
     """The capacity proxy of a category as it is written (before normalisation); 1 for others."""
     return lookup(category, config.CAPACITY_BY_CATEGORY, 1).cast("double")
+
+
+def shown(value: Column, digits: int = 1) -> Column:
+    """A number for display: rounded, and nothing where it is null or zero."""
+    return F.when(value != 0, F.round(value, digits))

@@ -89,3 +89,8 @@ def bounds(points: DataFrame) -> DataFrame:
 def overlay(layer: DataFrame, facilities: DataFrame) -> DataFrame:
     """The rows of a layer (isochrones, a matrix) that belong to the chosen facilities."""
     return layer.join(facilities.select("facility_id").distinct(), "facility_id", "left_semi")
+
+
+def columns_with(df: DataFrame, prefix: str) -> list[str]:
+    """The columns whose names start so."""
+    return [c for c in df.columns if c.startswith(prefix)]

@@ -1,0 +1,81 @@
+"""Small files in the formats that the readers read, for fixtures: shapefiles and map extracts, as bytes."""
+
+from __future__ import annotations
+
+import struct
+import zlib
+from collections.abc import Mapping, Sequence
+
+Ring = Sequence[tuple[float, float]]
+
+
+def _dbf(fields: Mapping[str, int], records: Sequence[Sequence[str]]) -> bytes:
+    width = 1 + sum(fields.values())
+    out = [struct.pack("<4BIHH20x", 3, 125, 1, 1, len(records), 33 + 32 * len(fields), width)]
+    out += [struct.pack("<11sc4xB15x", name.encode(), b"C", size) for name, size in fields.items()]
+    out.append(b"\r")
+    for record in records:
+        out.append(b" " + b"".join(value.encode().ljust(size) for value, size in zip(record, fields.values(), strict=True)))
+    return b"".join(out)
+
+
+def _content(shape: tuple[float, float] | Ring) -> bytes:
+    if isinstance(shape[0], float):
+        return struct.pack("<i2d", 1, *shape)
+    xs, ys = zip(*shape, strict=True)
+    return struct.pack("<i4d3i", 5, min(xs), min(ys), max(xs), max(ys), 1, len(shape), 0) + b"".join(struct.pack("<2d", *p) for p in shape)
+
+
+def shapefile(fields: Mapping[str, int], records: Sequence[Sequence[str]], shapes: Sequence) -> dict[str, bytes]:
+    """The files of a shapefile by ending. fields: widths by name; shapes: points or closed rings."""
+    contents = [_content(s) for s in shapes]
+    kind = struct.unpack("<i", contents[0][:4])[0] if contents else 1
+    main, index, place = [], [], 50
+    for number, c in enumerate(contents, 1):
+        words = len(c) // 2
+        main.append(struct.pack(">2i", number, words) + c)
+        index.append(struct.pack(">2i", place, words))
+        place += 4 + words
+    head = lambda parts: struct.pack(">i20xi", 9994, 50 + sum(map(len, parts)) // 2) + struct.pack("<2i64x", 1000, kind)
+    return {"shp": head(main) + b"".join(main), "shx": head(index) + b"".join(index), "dbf": _dbf(fields, records), "cpg": b"UTF-8"}
+
+
+def _number(n: int) -> bytes:
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def _entry(field: int, value: int | bytes) -> bytes:
+    return _number(field << 3) + _number(value) if isinstance(value, int) else _number(field << 3 | 2) + _number(len(value)) + value
+
+
+def _steps(values: Sequence[int]) -> bytes:
+    """Differences in zigzag form."""
+    return b"".join(_number(2 * d if d >= 0 else -2 * d - 1) for d in (b - a for a, b in zip([0, *values], values, strict=False)))
+
+
+def map_extract(nodes: Sequence[tuple[int, float, float]], ways: Sequence[tuple[int, Sequence[int], Mapping[str, str]]], per_blob: int = 1_000) -> bytes:
+    """An .osm.pbf file. nodes: id, lon, lat; ways: id, refs, tags."""
+    strings = [""] + sorted({x for _, _, tags in ways for kv in tags.items() for x in kv})
+    at = {s: i for i, s in enumerate(strings)}
+    table = _entry(1, b"".join(_entry(1, s.encode()) for s in strings))
+    groups = []
+    for i in range(0, len(nodes), per_blob):
+        ids, lons, lats = zip(*nodes[i : i + per_blob], strict=True)
+        units = lambda v: _steps([round(x * 1e7) for x in v])
+        groups.append(_entry(2, _entry(1, _steps(ids)) + _entry(8, units(lats)) + _entry(9, units(lons))))
+    for i in range(0, len(ways), per_blob):
+        group = b""
+        for way_id, refs, tags in ways[i : i + per_blob]:
+            keys, values = (b"".join(_number(at[x]) for x in kv) for kv in (tags.keys(), tags.values()))
+            group += _entry(3, _entry(1, way_id) + _entry(2, keys) + _entry(3, values) + _entry(8, _steps(refs)))
+        groups.append(group)
+    out = []
+    for kind, body in [(b"OSMHeader", _entry(1, b"")), *((b"OSMData", table + _entry(2, g)) for g in groups)]:
+        blob = _entry(2, len(body)) + _entry(3, zlib.compress(body))
+        head = _entry(1, kind) + _entry(3, len(blob))
+        out.append(struct.pack(">I", len(head)) + head + blob)
+    return b"".join(out)

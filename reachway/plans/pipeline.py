@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from reachway import config
 from reachway.functions.workers import ready
 from reachway.operators import access, graph, modes, quality
+from reachway.operators.scenario import columns_with
 from reachway.sources import files, synthetic
 
 #: Text columns that the encoding rule repairs.
@@ -45,7 +46,7 @@ class Study:
         m = self.demand_metrics
         out = {
             "demanda_metrics": m, "facilities_validated": self.facilities, "coverage_bands": access.coverage_bands(m), "critical_districts": access.critical_districts(m), "urban_rural_contrast": access.urban_rural_contrast(m),
-            "mode_comparison": self.mode_comparison, "mode_ratio_summary": access.describe(self.mode_comparison, [c for c in self.mode_comparison.columns if c.startswith("ratio_")]),
+            "mode_comparison": self.mode_comparison, "mode_ratio_summary": access.describe(self.mode_comparison, columns_with(self.mode_comparison, "ratio_")),
             "straight_line_vs_network": self.straight_vs_network, "straight_line_vs_network_summary": modes.straight_vs_network_summary(self.straight_vs_network, "rol"), "sfca_2step": self.sfca, "isochrones": self.isochrones,
             "distribucion_t_min": access.histogram(m, "t_min", 30, ["departamento"]), "snap_report": self.snap, "quality_report": files.quality_document(self.quality), "summary": files.summary(m, self.factors, self.source),
         }

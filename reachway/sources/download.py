@@ -11,6 +11,13 @@ import zipfile
 from pathlib import Path
 
 log = logging.getLogger(__name__)
+# Addresses of the public sources. The district polygons have no public address of their own: theirs is passed.
+SOURCES = {
+    "renipress": "http://datos.susalud.gob.pe/sites/default/files/RENIPRESS_2026_v6.csv",
+    "centros_poblados_ign": "https://www.datosabiertos.gob.pe/sites/default/files/CCPP_0.zip",
+    "poblacion_reniec": "https://www.datosabiertos.gob.pe/sites/default/files/BD_DAbiertos_16_OPP_2026_06.01.csv",
+}
+DISTRICT_FILES = ("cpg", "dbf", "prj", "shp", "shx")
 
 
 def fetch(url: str, target: str | Path, force: bool = False, timeout: float = 60) -> bool:
@@ -45,3 +52,39 @@ def unzip(archive: str | Path, folder: str | Path) -> Path:
             z.extractall(part)
         part.rename(folder)
     return folder
+
+
+def facilities_register(folder: str | Path, url: str = SOURCES["renipress"], force: bool = False) -> bool:
+    return fetch(url, Path(folder) / "renipress.csv", force)
+
+
+def settlement_points(folder: str | Path, url: str = SOURCES["centros_poblados_ign"], force: bool = False) -> bool:
+    """The archive, and the shapefile in a folder beside it."""
+    archive, target = Path(folder) / "centros_poblados_ign.zip", Path(folder) / "centros_poblados_ign"
+    if not fetch(url, archive, force):
+        return False
+    if force:
+        shutil.rmtree(target, ignore_errors=True)
+    unzip(archive, target)
+    return True
+
+
+def district_population_table(folder: str | Path, url: str = SOURCES["poblacion_reniec"], force: bool = False) -> bool:
+    return fetch(url, Path(folder) / "poblacion_reniec.csv", force)
+
+
+def district_polygons(folder: str | Path, url: str | None, force: bool = False) -> bool:
+    """The files of the polygon layer; url: their common address without the ending. They are there once all are."""
+    stem = Path(folder) / "distritos_inei" / "DISTRITOS"
+    if url is None:
+        return stem.with_suffix(".shp").exists()
+    return all([fetch(f"{url}.{ending}", stem.with_suffix(f".{ending}"), force) for ending in DISTRICT_FILES])
+
+
+def all_sources(folder: str | Path, urls: dict[str, str] | None = None, force: bool = False) -> dict[str, bool]:
+    """Which of the four sources are there afterwards, by name."""
+    urls = SOURCES | (urls or {})
+    return {
+        "renipress": facilities_register(folder, urls["renipress"], force), "centros_poblados_ign": settlement_points(folder, urls["centros_poblados_ign"], force),
+        "poblacion_reniec": district_population_table(folder, urls["poblacion_reniec"], force), "distritos_inei": district_polygons(folder, urls.get("distritos_inei"), force),
+    }

@@ -8,7 +8,6 @@ from __future__ import annotations
 import hashlib
 import json
 import logging
-import os
 import urllib.parse
 import urllib.request
 
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from reachway import config
 from reachway.operators.graph import profile_edges
 from reachway.sources import osm, synthetic
+from reachway.sources.paths import size
 
 log = logging.getLogger(__name__)
 OVERPASS = "https://overpass-api.de/api/interpreter"
@@ -48,7 +48,7 @@ def from_overpass(spark: SparkSession, role: str, profile: str, url: str = OVERP
 
 def get_graph(spark: SparkSession, role: str, profile: str, cache: str, extract: str | None = None, online: bool = False, force: bool = False, seed: int = 42) -> tuple[DataFrame, DataFrame, str]:
     """nodes, edges and the name of the provider that gave them: osm-pbf, osm-overpass or synthetic. A provider that fails is logged, and the next one is asked."""
-    mark = hashlib.sha256(json.dumps([role, profile, extract and [extract, os.path.exists(extract) and os.path.getsize(extract)], online, seed, config.DEPARTMENTS[role]]).encode()).hexdigest()[:12]
+    mark = hashlib.sha256(json.dumps([role, profile, extract and [extract, size(extract)], online, seed, config.DEPARTMENTS[role]]).encode()).hexdigest()[:12]
     folder = f"{cache}/graph={role}-{profile}-{mark}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/edges/_SUCCESS")
     if force or not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):

@@ -6,7 +6,6 @@ protocol-buffer format that roads need.
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Iterator, Mapping
@@ -17,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from reachway.functions.workers import ready
+from reachway.sources.paths import opened, size
 
 BLOBS_PER_TASK = 16
 
@@ -41,8 +41,8 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         if kind == 0:
             value, at = varint(data, at)
         else:
-            size, at = varint(data, at) if kind == 2 else ((8 if kind == 1 else 4), at)
-            value, at = data[at : at + size], at + size
+            length, at = varint(data, at) if kind == 2 else ((8 if kind == 1 else 4), at)
+            value, at = data[at : at + length], at + length
         yield key >> 3, value
 
 
@@ -64,8 +64,8 @@ def summed(values: list[int]) -> list[int]:
 
 def blobs(path: str) -> list[tuple[int, int]]:
     """Place and size of every data blob."""
-    out, at, end = [], 0, os.path.getsize(path)
-    with open(path, "rb") as f:
+    out, at, end = [], 0, size(path) or 0
+    with opened(path) as f:
         while at < end:
             f.seek(at)
             n = struct.unpack(">I", f.read(4))[0]
@@ -76,10 +76,10 @@ def blobs(path: str) -> list[tuple[int, int]]:
     return out
 
 
-def _block(path: str, at: int, size: int) -> tuple[list[bytes], list[bytes], int, int, int]:
-    with open(path, "rb") as f:
+def _block(path: str, at: int, length: int) -> tuple[list[bytes], list[bytes], int, int, int]:
+    with opened(path) as f:
         f.seek(at)
-        blob = dict(fields(f.read(size)))
+        blob = dict(fields(f.read(length)))
     data = blob[1] if 1 in blob else zlib.decompress(blob[3])
     strings, groups, scale, lat0, lon0 = [], [], 100, 0, 0
     for k, v in fields(data):
@@ -105,8 +105,8 @@ class _Reader(DataSourceReader):
         return [InputPartition(every[i : i + BLOBS_PER_TASK]) for i in range(0, len(every), BLOBS_PER_TASK)] or [InputPartition([])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for at, size in partition.value:
-            yield from self.rows(*_block(self.path, at, size))
+        for at, length in partition.value:
+            yield from self.rows(*_block(self.path, at, length))
 
     def rows(self, strings, groups, scale, lat0, lon0) -> Iterator[tuple]:
         raise NotImplementedError

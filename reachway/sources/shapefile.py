@@ -6,7 +6,6 @@ A row for each record: the fields of the .dbf beside the .shp, and lon and lat (
 
 from __future__ import annotations
 
-import os
 import struct
 from collections.abc import Iterator
 
@@ -16,6 +15,7 @@ from pyspark.sql.types import StructType
 
 from reachway.functions.geo import area
 from reachway.functions.workers import ready
+from reachway.sources.paths import exists, opened, size
 
 RECORDS_PER_TASK = 50_000
 # Shape types of the format.
@@ -24,27 +24,27 @@ _POINTS, _POLYGONS = (1, 11, 21), (3, 5, 13, 15, 23, 25)
 
 def _beside(path: str, ending: str) -> str | None:
     stem = path[:-4]
-    return next((stem + e for e in (ending, ending.upper()) if os.path.exists(stem + e)), None)
+    return next((stem + e for e in (ending, ending.upper()) if exists(stem + e)), None)
 
 
 def dbf_fields(f) -> tuple[list[tuple[str, str, int]], int, int, int]:
     """Fields (name, type, length), records, header length and record length of an open .dbf file."""
     head = f.read(32)
-    count, size, width = struct.unpack("<IHH", head[4:12])
+    count, length, width = struct.unpack("<IHH", head[4:12])
     fields = []
-    for _ in range((size - 33) // 32):
+    for _ in range((length - 33) // 32):
         d = f.read(32)
         if d[:1] == b"\r":
             break
         fields.append((d[:11].split(b"\0")[0], chr(d[11]), d[16]))
-    return fields, count, size, width
+    return fields, count, length, width
 
 
 def _encoding(path: str) -> str:
     code = _beside(path, ".cpg")
     if code:
-        with open(code) as f:
-            name = f.read().strip().lower()
+        with opened(code) as f:
+            name = f.read().decode("ascii", "replace").strip().lower()
         return "utf-8" if name in ("utf-8", "utf8", "65001") else "latin-1" if "8859" in name or name in ("1252", "ansi 1252") else name or "utf-8"
     return "utf-8"
 
@@ -77,22 +77,22 @@ class _Reader(DataSourceReader):
         index = _beside(self.path, ".shx")
         if index is None:
             return [InputPartition((0, None))]
-        n = (os.path.getsize(index) - 100) // 8
+        n = ((size(index) or 100) - 100) // 8
         return [InputPartition((i, min(n, i + RECORDS_PER_TASK))) for i in range(0, n, RECORDS_PER_TASK)] or [InputPartition((0, 0))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         first, last = partition.value
         encoding = _encoding(self.path)
         index, table = _beside(self.path, ".shx"), _beside(self.path, ".dbf")
-        with open(self.path, "rb") as shp, open(table, "rb") as dbf:
-            fields, count, size, width = dbf_fields(dbf)
+        with opened(self.path) as shp, opened(table) as dbf:
+            fields, count, header, width = dbf_fields(dbf)
             at = 100
             if index and first:
-                with open(index, "rb") as f:
+                with opened(index) as f:
                     f.seek(100 + 8 * first)
                     at = 2 * struct.unpack(">i", f.read(4))[0]
             shp.seek(at)
-            dbf.seek(size + width * first)
+            dbf.seek(header + width * first)
             n = first
             while n < count and (last is None or n < last):
                 head, row = shp.read(8), dbf.read(width)
@@ -118,7 +118,7 @@ class ShapefileSource(DataSource):
 
     def _names(self) -> list[str]:
         path = self.options["path"]
-        with open(_beside(path, ".dbf"), "rb") as f:
+        with opened(_beside(path, ".dbf")) as f:
             return [_text(n, _encoding(path)) for n, _, _ in dbf_fields(f)[0]]
 
     def schema(self) -> str:

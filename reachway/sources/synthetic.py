@@ -34,9 +34,10 @@ def _placed(df: DataFrame, box: Mapping, seed: int) -> DataFrame:
     return df.withColumn("lon", lon).withColumn("lat", lat)
 
 
-def soiled(df: DataFrame) -> DataFrame:
-    """df (with id, lon, lat) with about a twelfth of its rows made dirty, in equal parts: (0, 0), swapped, the last row's place, far outside."""
-    k = F.pmod(F.xxhash64("id", F.lit("dirt")), F.lit(48))
+def soiled(df: DataFrame, kind: Column | None = None) -> DataFrame:
+    """df (with id, lon, lat) with about a twelfth of its rows made dirty, in equal parts: (0, 0), swapped, the place of the row before, far outside. kind: 0 to 3 picks one of these for a
+    row, anything else none; by default it is drawn from the id."""
+    k = F.pmod(F.xxhash64("id", F.lit("dirt")), F.lit(48)) if kind is None else kind
     before = df.select((F.col("id") + 1).alias("id"), F.col("lon").alias("__lon"), F.col("lat").alias("__lat"))
     both = df.join(before, "id", "left")
     lon = F.when(k == 0, 0.0).when(k == 1, F.col("lat")).when(k == 2, F.coalesce("__lon", "lon")).when(k == 3, 10.0).otherwise(F.col("lon"))
