@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachway import config
@@ -87,7 +87,11 @@ def nearest_points(points: DataFrame, targets: DataFrame, k: int = 1, skip_self:
         met = around.join(grid(targets).select(F.col("id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty"), "cx", "cy"), ["cx", "cy"])
         met = met.filter("id <> target") if skip_self else met
         d = F.sqrt((F.col("tx") - F.col("x")) * (F.col("tx") - F.col("x")) + (F.col("ty") - F.col("y")) * (F.col("ty") - F.col("y")))
-        near = met.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct(d.alias("dist"), "target"))), 1, k).alias("best")) if k > 1 else met.groupBy("id").agg(F.array(F.min(F.struct(d.alias("dist"), "target"))).alias("best"))
+        if k > 1:  # the rank is limited before the shuffle and after it, so that no point's candidates are gathered
+            met = met.select("id", d.alias("dist"), "target").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("dist", "target"))).filter(F.col("r") <= k)
+            near = met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dist", "target"))).alias("best"))
+        else:
+            near = met.groupBy("id").agg(F.array(F.min(F.struct(d.alias("dist"), "target"))).alias("best"))
         near = near.checkpoint()
         sure = near if last else near.filter((F.size("best") == k) & (F.element_at("best", -1)["dist"] < cell))
         rows = sure.select("id", F.posexplode("best").alias("p", "b")).select("id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.target").alias("target"), F.col("b.dist").alias("dist"))
@@ -126,7 +130,8 @@ def straight_vs_network(matrix: DataFrame, demand: DataFrame, facilities: DataFr
     """What a straight line picks against what the network does, for points with a route; the penalty is null where the pick can't be reached."""
     best = nearest_facility(matrix).select("cp_id", F.col("facility_id").alias("facility_red"), F.col("t_min").alias("t_min_red"))
     both = straight_nearest(demand, facilities, planar).join(best, "cp_id")
-    times = matrix.groupBy("cp_id", F.col("facility_id").alias("facility_recta")).agg(F.min("t_min").alias("t_min_si_recta"))
+    picks = both.select("cp_id", "facility_recta")
+    times = matrix.select("cp_id", F.col("facility_id").alias("facility_recta"), "t_min").join(picks, ["cp_id", "facility_recta"], "left_semi").groupBy("cp_id", "facility_recta").agg(F.min("t_min").alias("t_min_si_recta"))
     out = both.join(times, ["cp_id", "facility_recta"], "left")
     return out.select("cp_id", "facility_recta", "dist_recta_m", "facility_red", "t_min_red", (F.col("facility_recta") == F.col("facility_red")).alias("coincide"), "t_min_si_recta", (F.col("t_min_si_recta") - F.col("t_min_red")).alias("penalidad_min"))
 

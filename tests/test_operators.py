@@ -221,3 +221,34 @@ def test_dashboard(spark):
     assert rows(scenario.worst_district(d)) == [("b", 90.0)] and scenario.worst_district(d.limit(0)).count() == 0
     assert scenario.chosen(d, distrito=[]).count() == 0 and scenario.chosen(d, distrito=None).count() == 3
     assert rows(access.histogram(d, "t_min", 4).orderBy("bin").select("bin", "n")) == [(0, 1), (3, 1)]
+
+
+def test_rounds_that_do_not_suffice_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(30)], "src long, dst long, travel_time double")
+    start = spark.createDataFrame([(0,)], "node long")
+    with pytest.raises(RuntimeError, match="still change"):
+        graph.node_times(edges, start, engine="relational", rounds=5)
+    whole = {r.node: r.seconds for r in graph.node_times(edges, start, engine="relational").collect()}
+    assert whole == {i: float(i) for i in range(31)}
+
+
+def test_hulls_of_parts_are_the_whole_hull(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(4)
+    monkeypatch.setattr(graph, "HULL_POINTS", 20)
+    nodes = [(i, rnd.uniform(0, 9), rnd.uniform(0, 9)) for i in range(400)]
+    edges = spark.createDataFrame([(i, 0, 60.0 * (1 + i % 12)) for i in range(1, 400)], "src long, dst long, travel_time double")
+    made = graph.isochrones(edges, spark.createDataFrame(nodes, "node_id long, x double, y double").repartition(6), spark.createDataFrame([("f", 0)], "facility_id string, node_id long"), (5, 12)).collect()
+    for r in made:
+        own = [(x, y) for i, x, y in nodes if i == 0 or 1 + i % 12 <= r.threshold_min]
+        assert r.n_nodes == len(own) and r.area == pytest.approx(geo.area(geo.hull(own))) and r.geometry == geo.wkt(geo.hull(own))
+
+
+def test_names_are_decomposed(spark):
+    import unicodedata
+
+    names = ["Šiauliai", "  Łódź ", "ﬁn Ｆｕｌｌ", "ĳ ǆ Ⅷ", "ñandú", "ñ", "İstanbul", "Ἀθήνα", "straße", "ascii only", None, " x\x1c"]
+    plain = lambda n: "".join(c for c in unicodedata.normalize("NFKD", (n or "").strip().upper()) if not unicodedata.combining(c))
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i long, n string")
+    assert [r[0] for r in df.orderBy("i").select(text.norm_name(F.col("n"))).collect()] == [plain(n) for n in names]
