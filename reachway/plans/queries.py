@@ -213,6 +213,27 @@ def demanda_metrics(s: SparkSession, d: str) -> DataFrame:
     return _rounded(out.select("cp_id", "poblacion", "facility_mas_cercana", "t_min", "t_min_estimado"), "t_min")
 
 
+# --- the same in metres, in the UTM zone of all points' mean
+
+_EAST_M, _NORTH_M = geo.utm_sql("lon", "lat", "zone", "south")
+_METRES = f""", zone AS (SELECT floor((avg(lon) + 180e0) / 6e0) + 1 AS zone, avg(lat) < 0 AS south FROM (SELECT lon, lat FROM fx_demand UNION ALL SELECT lon, lat FROM ok)),
+dp AS (SELECT cp_id, departamento, {_EAST_M} AS x, {_NORTH_M} AS y FROM fx_demand, zone), fp AS (SELECT facility_id, {_EAST_M} AS x, {_NORTH_M} AS y FROM ok, zone)"""
+_STRAIGHT_M = _BEST + _METRES + _STRAIGHT[len(_BEST):].replace("fx_demand d, ok f", "dp d, fp f").replace("f.lon - d.lon", "f.x - d.x").replace("f.lat - d.lat", "f.y - d.y")
+_FACTOR_M = _FACTOR.replace(_STRAIGHT, _STRAIGHT_M)
+
+
+@_query("straight_vs_network_metric", _sql(_STRAIGHT_M + " SELECT cp_id, facility_recta, round(dist_recta_m, 3) AS dist_recta_m, facility_red, t_min_red, coincide, t_min_si_recta, round(penalidad_min, 6) AS penalidad_min FROM svn"))
+def straight_vs_network_metric(s: SparkSession, d: str) -> DataFrame:
+    out = modes.straight_vs_network(_matrix(s, d), fixture(s, d, "fx_demand"), _surgical(s, d))
+    return out.withColumns({"dist_recta_m": F.round("dist_recta_m", 3), "penalidad_min": F.round("penalidad_min", 6)})
+
+
+@_query("demanda_metrics_metric", _sql(_FACTOR_M + " SELECT cp_id, poblacion, coalesce(best.facility_id, facility_recta) AS facility_mas_cercana, round(coalesce(best.t_min, dist_recta_m / 500e0 * f), 4) AS t_min, best.t_min IS NULL AS t_min_estimado FROM fx_demand LEFT JOIN best USING (cp_id) JOIN st USING (cp_id), factor"))
+def demanda_metrics_metric(s: SparkSession, d: str) -> DataFrame:
+    out = modes.demand_metrics(_matrix(s, d), fixture(s, d, "fx_demand"), _surgical(s, d))
+    return out.select("cp_id", "poblacion", "facility_mas_cercana", F.round("t_min", 4).alias("t_min"), "t_min_estimado")
+
+
 # --- data quality
 
 _BOX_SQL = "({0} BETWEEN -81.4e0 AND -68.6e0 AND {1} BETWEEN -18.4e0 AND -0.04e0)"
@@ -299,7 +320,7 @@ def normalize_categoria(s: SparkSession, d: str) -> DataFrame:
 
 _MOJIBAKE = ["MuÃ±oz", "CÃ³rdova", "Áncash", "Lima", "日本", "Ã", "", "niÃ±o y niña"]
 _FIXED = ["Muñoz", "Córdova", "Áncash", "Lima", "日本", "Ã", "", "niÃ±o y niña"]
-_NAMES = [" Huaytará ", "CÓRDOVA", "Ñuñoa", "san josé", "", "Güepí"]
+_NAMES = [" Huaytará ", "CÓRDOVA", "Ñuñoa", "san josé", "", "Güepí", "Šiauliai", "Žilina", "Ştefan vodă", "Łódź", "Đakovo", "n\u0303an\u0303a", "Ángström å"]
 _SPEEDS = ["50", "50 km/h", "30 mph", "none", "", "  80;60", "0", "12.5 MPH"]
 _ROADS = ["motorway", "residential", "track", "unknown", "primary_link", "road", "service", "trunk"]
 _NUMBERS = ["1.5", " 2 ", "abc", "", "NaN", "-3e2", "1234567", "10"]
@@ -427,6 +448,17 @@ def snap_nodes(s: SparkSession, d: str) -> DataFrame:
     return _rounded(_snapped(s, d))
 
 
+_SNAPPED_M = f""", zone AS (SELECT floor((avg(x) + 180e0) / 6e0) + 1 AS zone, avg(y) < 0 AS south FROM fx_nodes), np AS (SELECT node_id, {_EAST_M} AS x, {_NORTH_M} AS y FROM (SELECT node_id, x AS lon, y AS lat FROM fx_nodes), zone),
+dp AS (SELECT cp_id, {_EAST_M} AS x, {_NORTH_M} AS y FROM fx_demand, zone), p AS (SELECT cp_id, n.node_id, sqrt((n.x - d.x) * (n.x - d.x) + (n.y - d.y) * (n.y - d.y)) AS dd FROM dp d, np n),
+sn AS (SELECT cp_id AS id, node_id, round(dd, 3) AS snap_dist_m FROM (SELECT *, row_number() OVER (PARTITION BY cp_id ORDER BY dd, node_id) AS rn FROM p) WHERE rn = 1)"""
+
+
+@_query("snap_nodes_metric", _sql(_SNAPPED_M + " SELECT * FROM sn", "fx_demand", "fx_nodes"))
+def snap_nodes_metric(s: SparkSession, d: str) -> DataFrame:
+    out = modes.snap(fixture(s, d, "fx_demand").select(F.col("cp_id").alias("id"), "lon", "lat"), fixture(s, d, "fx_nodes"))
+    return out.withColumn("snap_dist_m", F.round("snap_dist_m", 3))
+
+
 @_query("snap_report", _sql(_SNAPPED + " SELECT count(*) AS n_puntos, round(avg(snap_dist_m), 5) AS snap_dist_m_promedio, max(snap_dist_m) AS snap_dist_m_max, count(*) FILTER (snap_dist_m > 0.2) AS n_sobre_umbral, 0.2e0 AS umbral_metros FROM sn", "fx_demand", "fx_nodes"))
 def snap_report(s: SparkSession, d: str) -> DataFrame:
     return modes.snap_report(_rounded(_snapped(s, d)), limit=0.2).withColumn("snap_dist_m_promedio", F.round("snap_dist_m_promedio", 5))
@@ -473,10 +505,23 @@ def isochrone_nodes(s: SparkSession, d: str) -> DataFrame:
     return graph.isochrone_nodes(edges, facilities, (5, 10, 20))
 
 
-@_query("isochrone_hull", _REACH + f", r AS (SELECT facility_id, threshold_min, node FROM dxy, th WHERE {_GRID_S} <= threshold_min * 60) SELECT facility_id, threshold_min, count(*) AS n_nodes FROM r GROUP BY ALL HAVING count(*) >= 4")
+# a hull's sides: pairs of column ends with no column end to the right of them, nor on their line beyond them
+_HULL = f""", r AS (SELECT facility_id AS f, threshold_min AS t, node % 20 AS x, node // 20 AS y FROM dxy, th WHERE {_GRID_S} <= threshold_min * 60),
+sized AS (SELECT f, t, count(*) AS n FROM r GROUP BY ALL HAVING count(*) >= 4), ends AS (SELECT f, t, x, min(y) AS y FROM r GROUP BY f, t, x UNION SELECT f, t, x, max(y) FROM r GROUP BY f, t, x),
+pairs AS (SELECT p.f, p.t, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy FROM ends p JOIN ends q ON p.f = q.f AND p.t = q.t AND (p.x <> q.x OR p.y <> q.y)),
+turns AS (SELECT pairs.*, (qx - px) * (e.y - py) - (qy - py) * (e.x - px) AS turn, (e.x - px) * (e.x - qx) + (e.y - py) * (e.y - qy) AS beyond FROM pairs JOIN ends e ON pairs.f = e.f AND pairs.t = e.t),
+sides AS (SELECT f, t, px, py, qx, qy FROM turns GROUP BY ALL HAVING bool_and(turn > 0 OR (turn = 0 AND beyond <= 0)))
+SELECT f AS facility_id, t AS threshold_min, n AS n_nodes, round(sum(px * qy - qx * py) / 2e0, 6) AS area, count(*) AS esquinas FROM sides JOIN sized USING (f, t) GROUP BY f, t, n"""
+
+
+@_query("isochrone_hull", _REACH + _HULL)
 def isochrone_hull(s: SparkSession, d: str) -> DataFrame:
+    """Polygons over columns and rows of the grid, so that collinear corners are so exactly."""
     edges, _, facilities = _routes(s, d)
-    return graph.isochrones(edges, fixture(s, d, "fx_nodes"), facilities, (5, 10, 20)).select("facility_id", "threshold_min", "n_nodes")
+    nodes = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("long").alias("node_id"), (F.col("p_partkey") % 20).cast("double").alias("x"), F.floor(F.col("p_partkey") / 20).cast("double").alias("y"))
+    made = graph.isochrones(edges, nodes, facilities, (5, 10, 20))
+    corners = F.size(F.split("geometry", ",")) - F.col("geometry").startswith("POLYGON").cast("int")
+    return made.select("facility_id", "threshold_min", "n_nodes", F.round("area", 6).alias("area"), corners.cast("long").alias("esquinas"))
 
 
 # --- the dashboard's questions
