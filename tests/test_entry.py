@@ -26,14 +26,14 @@ def test_without_the_training_data_part(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=True)
 
 
-def test_broken_parts_are_not_hidden(tmp_path):
+def test_a_broken_part_is_logged_and_left_out(tmp_path):
     shutil.copytree(os.path.join(ROOT, "reachway"), tmp_path / "reachway", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)
     (tmp_path / "reachway" / "llm").mkdir()
     (tmp_path / "reachway" / "llm" / "__init__.py").write_text("")
     (tmp_path / "reachway" / "llm" / "queries.py").write_text("import no_such_library\n")
-    run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries()"], cwd=tmp_path, capture_output=True, text=True)
-    assert run.returncode and "no_such_library" in run.stderr
+    run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, capture_output=True, text=True)
+    assert run.returncode == 0 and int(run.stdout) > 40 and "no_such_library" in run.stderr
 
 
 def test_nothing_else_imports_the_training_data_part():
