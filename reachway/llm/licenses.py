@@ -152,15 +152,19 @@ def _sql_list(what: int) -> str:
     return f"array_to_string(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL), ',')"
 
 
-#: The same rules from a table of known sentences. RE2 has no look-around, so sentence ends are marked first and split at the marks.
+#: A known sentence between doubled marks, so that one mark is left for the next sentence: RE2 has no look-around. Of several at one place the first listed, the longest, counts here too.
+_RUN_SQL = "\x01 ?(" + "|".join(s.replace(" ", "[ \x01]+") for s in sorted(_KNOWN, key=len, reverse=True)) + ") ?\x01"
+#: The same by SQL, wrapped sentences and whole licence texts included: sentence ends are marked, known sentences looked up in a table, rules matched by linear-time patterns.
 ORACLE = rf"""
 WITH known(sentence, id) AS (VALUES {', '.join(f"('{s}', '{k}')" for s, k in _KNOWN.items())}),
 marked AS (
-  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?;])[ \t\r\n]+', '\1' || chr(1), 'g'), '\n[ \t\r]*\n', chr(1), 'g'), '\n([ \t]*[A-Z*#/0-9-])', chr(1) || '\1', 'g') AS t FROM documents
+  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(translate(coalesce(text, ''), chr(1), '_'), '([.!?;])[ \t\r\n]+', '\1' || chr(1), 'g'), '\n[ \t\r]*\n', chr(1), 'g'), '\n([ \t]*[A-Z*#/0-9-])', chr(1) || '\1', 'g') AS t FROM documents
+), plain AS (
+  SELECT doc_id, replace(regexp_replace(lower(chr(1) || t || chr(1)), '[^a-z0-9\x01]+', ' ', 'g'), chr(1), chr(1) || chr(1)) AS t FROM marked
 ), parts AS (
-  SELECT doc_id, generate_subscripts(string_split(t, chr(1)), 1) AS pos, unnest(string_split(t, chr(1))) AS part FROM marked
+  SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS part FROM (SELECT doc_id, regexp_extract_all(t, '{_RUN_SQL}', 1) AS l FROM plain)
 ), ids AS (
-  SELECT doc_id, pos, id FROM parts JOIN known ON trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) = sentence
+  SELECT doc_id, pos, id FROM parts JOIN known ON trim(regexp_replace(part, '[^a-z0-9]+', ' ', 'g')) = sentence
 ), seq AS (
   SELECT documents.doc_id, coalesce(string_agg('<' || id || '>', '' ORDER BY pos), '') AS s FROM documents LEFT JOIN ids ON ids.doc_id = documents.doc_id GROUP BY documents.doc_id
 )

@@ -20,7 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": _over(simhash.simhash_report, "documents"),
         "op3_quality": _over(quality.quality_report, "documents", "labels"),
         "op4_warc": _over(warc.round_trip, "pages"),
-        "op5_rules": _over(rules.quality_rules, "documents"),
+        "op5_rules": _over(rules.rules_report, "documents"),
         "op6_toxicity": _over(toxicity.toxicity_report, "documents", "labels"),
         "op7_line_dedup": _over(line_dedup.line_report, "documents"),
         "op8_decontaminate": _over(decontaminate.leak_report, "documents", "benchmark"),
@@ -30,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op10_licenses": licenses.ORACLE}
+    return {"op4_warc": warc.ORACLE, "op5_rules": rules.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op10_licenses": licenses.ORACLE}

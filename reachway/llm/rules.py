@@ -2,7 +2,9 @@
 
 The words of many texts form one sequence. Prefix doubling sorts its suffixes; ranks start with the text, so that suffixes of different
 texts never tie. Adjacent suffixes' longest common prefixes come from the kept ranks of each doubling, from the longest step to
-the shortest. A common prefix of at least MIN_REPEAT words is a maximal repeat; the union of all their spans is the covered part of a text.
+the shortest. The widest common prefix interval that a suffix lies in has the larger of the prefixes that it shares with its two neighbours in sorted order, so that these are taken suffix by
+suffix instead of forming the intervals: the spans, their union and the longest repeat are the same. A common prefix of at least MIN_REPEAT words is a maximal repeat; the union of all their spans
+is the covered part of a text.
 """
 
 from __future__ import annotations
@@ -141,9 +143,43 @@ def judge(max_covered: float, max_repeat: int, chunk_words: int = CHUNK_WORDS):
 def quality_rules(docs: DataFrame, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """One row for each row of docs, repeated ones too: doc_id and the columns of SCHEMA.
 
-    A null text has no words: base_failed, not kept. kept: base_failed is false, repeats of at least MIN_REPEAT words cover at most
+    A null or empty text has no words: base_failed, not kept. Texts of any length are measured as a whole. kept: base_failed is false, repeats of at least MIN_REPEAT words cover at most
     max_covered of the words, and none is longer than max_repeat words. Other columns are ignored; an empty table gives no rows. One narrow pass; memory:
     CHUNK_WORDS words or one text.
     """
     prepare(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(judge(max_covered, max_repeat), SCHEMA)
+
+
+def rules_report(docs: DataFrame) -> DataFrame:
+    """The digest columns of the query: doc_id, n_words, the base columns, base_failed, covered_fraction, kept."""
+    return quality_rules(docs).drop("longest_repeat")
+
+
+#: The same without a suffix array: repeats of eight words or more cover just the words in repeated windows of eight, and one repeat is longer than MAX_REPEAT words if a window of one word more is
+#: found twice.
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+base AS (
+  SELECT r, doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines
+  FROM w
+), pos AS (
+  SELECT r, words, unnest(range(1, len(words) + 1)) AS i FROM w WHERE len(words) >= {WINDOW}
+), win AS (
+  SELECT r, i, CASE WHEN i + {WINDOW - 1} <= len(words) THEN hash(array_to_string(words[i:i + {WINDOW - 1}], ' ')) END AS h,
+         CASE WHEN i + {MAX_REPEAT} <= len(words) THEN hash(array_to_string(words[i:i + {MAX_REPEAT}], ' ')) END AS g FROM pos
+), twice AS (
+  SELECT r, i, h IS NOT NULL AND count(h) OVER (PARTITION BY r, h) > 1 AS rep, g IS NOT NULL AND count(g) OVER (PARTITION BY r, g) > 1 AS long FROM win
+), covered AS (
+  SELECT r, max(CASE WHEN rep THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS c, long FROM twice
+), reps AS (
+  SELECT r, CAST(sum(c) AS BIGINT) AS n_repeat_words, bool_or(long) AS long FROM covered GROUP BY r
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * n_words AS base_failed,
+       CASE WHEN n_words > 0 THEN coalesce(n_repeat_words, 0) / CAST(n_words AS DOUBLE) ELSE 0 END AS covered_fraction,
+       NOT (n_words < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * n_words) AND NOT coalesce(long, false) AS kept
+FROM base LEFT JOIN reps USING (r)
+"""
