@@ -31,8 +31,8 @@ WIDE = 6
 HAMMING = 84
 #: Shingles that one chunk of a class holds at most (but for one text that has more): 8 bytes each.
 CHUNK_SHINGLES = 2_000_000
-#: Texts of one chunk of a class, about.
-CHUNK_ROWS = 256
+#: Texts of one chunk of a class, about; and of one chunk of a class that has to be compared as a whole.
+CHUNK_ROWS, WIDE_ROWS = 128, 2_048
 #: Least bits of a parity bitmap over shingles (a power of two, over 1.5 bits a shingle): each bit that differs stands for a shingle that only one of two sets has.
 BITMAP = 1024
 #: Documents whose shingles are counted to find common ones, and the number of these that are put last in the order. Any order is exact; this one keeps groups small.
@@ -232,15 +232,16 @@ def similar(sets: list[np.ndarray], similarity: float) -> list[list[int]]:
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, k1, k2, text) to (id, shingles), where the text has that key."""
+    """Rows (id, k1, k2, label, cells, text) to (id, label, cells, shingles), where the text has that key."""
     for b in batches:
-        ids, k1, k2, texts = (c.to_pylist() for c in b.columns)
+        ids, k1, k2, labels, cells, texts = (c.to_pylist() for c in b.columns)
         for i in range(0, len(ids), 64):
             rows = []
-            for doc_id, x, y, t in zip(ids[i : i + 64], k1[i : i + 64], k2[i : i + 64], texts[i : i + 64], strict=True):
+            for doc_id, x, y, label, own, t in zip(*(c[i : i + 64] for c in (ids, k1, k2, labels, cells, texts)), strict=True):
                 if keyed(_WORDS.findall((t or "").encode("utf-8", "replace").lower())) == (x, y):
-                    rows.append((doc_id, np.unique(np.array(shingle_hashes(t, SHINGLE), np.uint64)).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["id", "shingles"])
+                    rows.append((doc_id, label, own, np.unique(np.array(shingle_hashes(t, SHINGLE), np.uint64)).view(np.int64)))
+            types = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names=["id", "label", "cells", "shingles"])
 
 
 def _verify(similarity: float):
@@ -272,16 +273,16 @@ def _verify(similarity: float):
     return run
 
 
-def _paired(rows: DataFrame, chunk_rows: int | None) -> DataFrame:
-    """Cells of two chunks each for the rows (id, root, k1, k2, label, own, chunks) of classes. chunk_rows: deal the rows anew to chunks of so many."""
-    if chunk_rows:
-        count = rows.groupBy("root").agg(F.ceil(F.count("*") / F.lit(chunk_rows)).cast("int").alias("chunks"))
-        rows = rows.drop("chunks", "own").join(count, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).filter("other <> own OR chunks = 1")
-    return rows.select(F.concat_ws(":", "root", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "id", "k1", "k2", "label")
+def _paired(rows: DataFrame, chunk_rows: int, chunk_shingles: int) -> DataFrame:
+    """rows (id, root, k1, k2, n, label) of classes with cells: each row's chunk of its class with every chunk, itself alone where there is one only."""
+    size = rows.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / F.lit(chunk_rows)), F.ceil(F.sum("n") / F.lit(chunk_shingles))).cast("int").alias("chunks"))
+    dealt = rows.join(size, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: (k != F.col("own")) | (F.col("chunks") == 1))
+    cells = F.transform(others, lambda k: F.concat_ws(":", F.col("root"), F.least("own", k), F.greatest("own", k)))
+    return dealt.select("id", "k1", "k2", "label", cells.alias("cells"))
 
 
-def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY, chunk_shingles: int = CHUNK_SHINGLES, broadcast_ids: int = BROADCAST_IDS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY, chunk_shingles: int = CHUNK_SHINGLES, broadcast_ids: int = BROADCAST_IDS, chunk_rows: int = CHUNK_ROWS, wide_rows: int = WIDE_ROWS) -> DataFrame:
     """doc_id, group_id (long) for every row with an id: group_id is the least doc_id that links lead to.
 
     Links join texts that are equal word for word (A-Z lower-cased, white space aside; texts without words are equal) and candidates whose sets of five-word
@@ -289,7 +290,7 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY, chunk
     """
     prepare(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    # candidate ids up to broadcast_ids (24 bytes each) are broadcast to find their texts; more are joined by a shuffle
+    # candidate ids, and cells, up to broadcast_ids (some 64 bytes each) are broadcast to find their texts; more are joined by a shuffle
     prints = slim.mapInArrow(_prints, _PRINT).checkpoint()
     one = prints.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n", *_PARTS)]).checkpoint()
     dealt = one.select("id", *_PARTS).mapInArrow(replicate(WIDE), "anchor long, id long, home boolean").repartition("anchor").sortWithinPartitions("anchor", "id")
@@ -302,28 +303,31 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY, chunk
     chunks = found.groupBy("root").agg(size.cast("int").alias("chunks"))
     found = found.join(chunks, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).checkpoint()
 
-    def verified(cells: DataFrame) -> DataFrame:
-        """Links between the ids of each cell (cell, id, k1, k2, label), unless all rows of a cell have one label."""
-        wanted = cells.select("id", "k1", "k2").distinct()
-        if wanted.count() <= broadcast_ids:
-            wanted = F.broadcast(wanted)
-        sets = slim.withColumnRenamed("doc_id", "id").join(wanted, "id").select("id", "k1", "k2", "text").mapInArrow(_shingled, "id long, shingles array<long>")
-        rows = cells.select("cell", "id", "label").join(sets, "id").select("cell", "id", "label", "shingles").repartition("cell").sortWithinPartitions("cell", "id")
-        return rows.mapInArrow(_verify(similarity), "a long, b long").distinct().checkpoint()
-
-    links = verified(found.select(F.concat_ws(":", "root", "own").alias("cell"), "id", "k1", "k2", F.col("id").alias("label")))
-    near = components(links)
-    large = found.filter("chunks > 1")
-    if large.limit(1).count():
-        labelled = large.join(near.select(F.col("node").alias("id"), F.col("root").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        links = links.unionByName(verified(_paired(labelled.filter("label = id"), chunk_rows))).checkpoint()
-        near = components(links)
-        labelled = large.join(near.select(F.col("node").alias("id"), F.col("root").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id")).checkpoint()
-        open_classes = labelled.groupBy("root").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("root")
-        left = labelled.join(open_classes, "root")
-        if left.limit(1).count():
-            links = links.unionByName(verified(_paired(left, None))).checkpoint()
-            near = components(links)
+    def verified(rows: DataFrame) -> DataFrame:
+        """a, b: each text (id) with the first of its component, in every cell of several labels. rows: id, k1, k2, label, cells; shingles are shuffled once."""
+        size = rows.agg(F.count("*"), F.sum(F.size("cells"))).first()
+        wanted = F.broadcast(rows) if size[0] <= broadcast_ids and (size[1] or 0) <= broadcast_ids else rows
+        sets = slim.withColumnRenamed("doc_id", "id").join(wanted, "id").select("id", "k1", "k2", "label", "cells", "text").mapInArrow(_shingled, "id long, label long, cells array<string>, shingles array<long>")
+        dealt = sets.select(F.explode("cells").alias("cell"), "id", "label", "shingles").repartition("cell").sortWithinPartitions("cell", "id")
+        return dealt.mapInArrow(_verify(similarity), "a long, b long").checkpoint()
+
+    # every text is in one chunk: what is linked there is a star around its least id
+    stars = verified(found.select("id", "k1", "k2", F.col("id").alias("label"), F.array(F.concat_ws(":", "root", "own")).alias("cells")))
+    near = stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    large = found.filter("chunks > 1").drop("own", "chunks")
+    if not large.isEmpty():
+        labelled = large.join(stars.select(F.col("a").alias("id"), F.col("b").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        first = labelled.filter("label = id")
+        links = verified(_paired(first, chunk_rows, chunk_shingles))
+        one_cell = first.groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("n")).filter((F.col("c") > chunk_rows) | (F.col("n") > chunk_shingles)).isEmpty()
+        joined = links.select(F.col("a").alias("first"), F.col("b").alias("least")) if one_cell else components(links).select(F.col("node").alias("first"), F.col("root").alias("least"))
+        named = labelled.join(joined, F.col("label") == F.col("first"), "left").withColumn("label", F.coalesce("least", "label")).drop("first", "least").checkpoint()
+        open_classes = named.groupBy("root").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("root")
+        left = named.join(open_classes, "root", "left_semi")
+        if left.isEmpty():
+            near = near.join(joined, F.col("root") == F.col("first"), "left").select("node", F.coalesce("least", "root").alias("root")).unionByName(joined.filter("first <> least").select(F.col("first").alias("node"), F.col("least").alias("root")))
+        else:
+            near = components(stars.unionByName(links).unionByName(verified(_paired(left, wide_rows, chunk_shingles))))
     # copies follow their first one
     named = one.select("k1", "k2", "id").join(near, F.col("id") == F.col("node"), "left").select("k1", "k2", F.coalesce("root", "id").alias("group_id"))
     return prints.join(named, ["k1", "k2"]).select("doc_id", "group_id")

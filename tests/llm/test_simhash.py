@@ -168,17 +168,17 @@ def test_components(spark):
     assert got == {i: want[i] for i in linked} and components(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("chunk,ids_bound,chunk_rows", [(2_000_000, 10**6, 256), (2_000, 0, 256), (2_000_000, 10**6, 3)])
-def test_near_duplicates_equal_exact_jaccard(spark, texts, chunk, ids_bound, chunk_rows):
+@pytest.mark.parametrize("chunk,ids_bound,chunk_rows,wide_rows", [(2_000_000, 10**6, 128, 2_048), (2_000, 0, 128, 2_048), (2_000_000, 10**6, 3, 20), (2_000_000, 10**6, 30, 7), (2_000_000, 0, 1, 10**6)])
+def test_near_duplicates_equal_exact_jaccard(spark, texts, chunk, ids_bound, chunk_rows, wide_rows):
     ids = [3 * i + 1 for i in range(len(texts))]
     df = spark.createDataFrame(list(zip(ids, texts, ["z"] * len(texts), strict=True)), "doc_id long, text string, gone string").repartition(4)
     sets = [frozenset(shingles(t, 5)) for t in texts]
     keys = [" ".join(shingles(t, 1)) for t in texts]
     links = [(i, j) for i in range(len(ids)) for j in range(i) if keys[i] == keys[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0]
     want = classes(len(ids), links, ids)
-    got = {r.doc_id: r.group_id for r in near_dedup.near_duplicate_groups(df, chunk_shingles=chunk, broadcast_ids=ids_bound, chunk_rows=chunk_rows).collect()}
+    got = {r.doc_id: r.group_id for r in near_dedup.near_duplicate_groups(df, chunk_shingles=chunk, broadcast_ids=ids_bound, chunk_rows=chunk_rows, wide_rows=wide_rows).collect()}
     assert got == {i: want[k] for k, i in enumerate(ids)}
-    if chunk > 2_000 and chunk_rows > 3:
+    if chunk_rows == 128 and chunk > 2_000:
         kept = near_dedup.deduplicated(df)
         assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == df.columns
         assert near_dedup.deduplicated(df.limit(0)).count() == 0
