@@ -6,13 +6,14 @@ import pytest
 
 import corpus_pipeline
 from reachway.llm import queries
-from reachway.llm.decontaminate import Benchmark
+from reachway.llm.decontaminate import tokens
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
 def test_stages_against_brute_force(spark, tmp_path):
+    from tests.llm.test_decontaminate import coverage
     from tests.llm.test_line_dedup import brute
     from tests.llm.test_simhash import classes, shingles
 
@@ -34,9 +35,11 @@ def test_stages_against_brute_force(spark, tmp_path):
     sets, keys = [frozenset(shingles(t, 5)) for t in texts], [" ".join(shingles(t, 1)) for t in texts]
     links = [(a, b) for a in range(len(ids)) for b in range(a) if keys[a] == keys[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0]
     assert [i for i, _ in pairs[2]] == sorted(set(classes(len(ids), links, ids).values()))
-    bench = Benchmark([(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
-    bad = {k for k, _, _ in bench.leaks([t for _, t in pairs[2]], 0.6)}
-    assert [i for i, _ in pairs[3]] == [i for k, (i, _) in enumerate(pairs[2]) if k not in bad] and bad
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    fives = lambda t: set(zip(*(tokens(t)[k:] for k in range(5)), strict=False))
+    seeds = [fives(x) for x in items]
+    bad = {i for i, t in pairs[2] for shared in [fives(t)] for x, own in zip(items, seeds, strict=True) if own & shared and coverage(x, t) >= 0.6}
+    assert [i for i, _ in pairs[3]] == [i for i, _ in pairs[2] if i not in bad] and bad
     assert {r.doc_id for r in kept[4].select("doc_id").distinct().collect()} == {i for i, _ in pairs[3]}
 
 
