@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachway.llm import decontaminate, licenses, line_dedup, packing, pii, quality, resampling, rules, simhash, toxicity, warc
+from reachway.llm import decontaminate, hard_negatives, licenses, line_dedup, packing, pieces, pii, quality, resampling, rules, simhash, toxicity, warc
 from reachway.llm.common import table
 
 
@@ -27,8 +27,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": _over(packing.pack_documents, "documents"),
         "op10_licenses": _over(licenses.license_report, "documents"),
         "op11_resampling": _over(resampling.resampling_report, "documents", "benchmark"),
+        "op12_pieces": _over(pieces.pieces_report, "documents"),
+        "op13_negatives": _over(hard_negatives.negatives_report, "embeddings"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE, "op5_rules": rules.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op10_licenses": licenses.ORACLE, "op11_resampling": resampling.ORACLE}
+    return {"op4_warc": warc.ORACLE, "op5_rules": rules.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op10_licenses": licenses.ORACLE, "op11_resampling": resampling.ORACLE, "op13_negatives": hard_negatives.ORACLE}
