@@ -5,15 +5,16 @@ inside a token, or inside two neighbours, go the same way whatever stands around
 token of the prefix before it. An automaton over all pieces lists the tokens that end at each place, a table by prefix keeps the last one, and the encoding is read off the table from its end
 backwards. Merges are only run over two tokens at a time, to test whether they go together; answers are kept.
 
-Where no piece has a space mark after another character, no token crosses from such a character to a mark: texts are encoded in parts that begin at marks, and parts that were met before are
-looked up.
+No token crosses a place between two characters that no piece has side by side, such as a letter and a mark for a space behind it: texts are encoded in parts that begin at marks, and these in runs of
+characters of one kind. Parts and runs that were met before are looked up; the table is for new runs.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
-from itertools import chain
+import re
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from reachway.llm.common import prepare
 
 MARK = "▁"
-#: Parts that are kept with their ids, pairs that are kept with their answers (both start anew beyond that), and characters of a part that is kept.
-PARTS, PAIRS, PART_CHARS = 200_000, 400_000, 40
+#: Parts that are kept with their ids, pairs that are kept with their answers, moves beyond the trie (all start anew beyond that), and characters of a part that is kept.
+PARTS, PAIRS, MOVES, PART_CHARS = 300_000, 400_000, 300_000, 40
 #: Ids and characters of decoded text that one batch to Spark holds, about.
 BATCH = 2_000_000
 _ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
@@ -50,11 +51,73 @@ def merged(text: str, score: dict[str, float]) -> list[str]:
     return parts
 
 
+class Automaton:
+    """All tokens that end at a place: states are prefixes of tokens, ends has (length, id) of the tokens that end in a state, the longest first. moves has the trie, by state, and of the moves
+    beyond it those that were asked for first."""
+
+    def __init__(self, tokens: list[tuple[str, int]]):
+        self.moves: list[dict[str, int]] = [{}]
+        self.fail: list[int] = [0]
+        self.ends: list[tuple[tuple[int, int], ...]] = [()]
+        above: list[tuple[int, str]] = [(0, "")]  # the state and the character that lead to a state
+        for t, i in tokens:
+            state = 0
+            for c in t:
+                if c not in self.moves[state]:
+                    self.moves[state][c] = len(above)
+                    above.append((state, c))
+                    self.moves.append({})
+                    self.fail.append(0)
+                    self.ends.append(())
+                state = self.moves[state][c]
+            self.ends[state] = ((len(t), i),)
+        self.spare = 0
+        level = [0] * len(above)
+        for s in range(1, len(above)):  # a state comes after the one above it
+            level[s] = level[above[s][0]] + 1
+        for s in sorted(range(1, len(above)), key=level.__getitem__):
+            state, c = above[s]
+            self.fail[s] = self.move(self.fail[state], c) if state else 0
+            self.ends[s] += self.ends[self.fail[s]]
+        self.spare = MOVES
+
+    def move(self, state: int, c: str) -> int:
+        """The longest state that ends with the character c after this state."""
+        at = state
+        while (found := self.moves[at].get(c)) is None and at:
+            at = self.fail[at]
+        found = found or 0
+        if self.spare:
+            self.spare -= 1
+            self.moves[state][c] = found
+        return found
+
+
+def _runs(names: Iterable[str]) -> str:
+    """A pattern that cuts texts between characters that no piece has side by side: characters that follow one another in some piece are of one kind, and a run has characters of one kind, with
+    the marks before them where pieces have these."""
+    kind: dict[str, str] = {}
+
+    def root(c: str) -> str:
+        while kind.setdefault(c, c) != c:
+            kind[c] = c = kind[kind[c]]
+        return c
+
+    for name in names:
+        chars = name.lstrip(MARK)
+        if len(name) > 1:
+            for c in chars:
+                kind[root(c)] = root(chars[0])
+    kinds: dict[str, list[str]] = {}
+    for c in sorted(kind):
+        kinds.setdefault(root(c), []).append(c)
+    return "|".join([f"{MARK}*[{''.join(map(re.escape, cs))}]+" for cs in sorted(kinds.values(), key=len, reverse=True)] + [f"{MARK}+", "(?s:.)"])
+
+
 class Pieces:
     """The encoder and decoder of one model file; raises for models whose rules it doesn't know."""
 
     def __init__(self, path: str):
-        import ahocorasick
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as proto
 
@@ -70,77 +133,75 @@ class Pieces:
         self.prefix = MARK if norm.add_dummy_prefix else ""
         self.id = {p.piece: i for i, p in enumerate(spec.pieces) if p.type == kinds.NORMAL}
         self.score = {p.piece: p.score for p in spec.pieces if p.type == kinds.NORMAL}
+        self.names = [p.piece for p in spec.pieces]
         self.unknown = self.library.unk_id()
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(spec.pieces) if p.type == kinds.BYTE} if spec.trainer_spec.byte_fallback else {}
-        self.splits = not any(MARK in p.lstrip(MARK) for p in self.id)
-        self.automaton = ahocorasick.Automaton()
-        for p in self.id:
-            self.automaton.add_word(p, p)
-        self.automaton.make_automaton()
-        self.own: dict[str, bool] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        if any(c not in self.id for p in self.id for c in p) or any(MARK in p.lstrip(MARK) for p in self.id):
+            raise ValueError(f"{path} has a piece with a character that is no piece, or with a mark behind another character")
+        self.runs = re.compile(_runs(self.id))
+        self.start, self.base = len(self.names), len(self.names) + 1  # the start stands before the first token
+        self.automaton = Automaton([(p, i) for p, i in self.id.items() if merged(p, self.score) == [p]])  # others never come out of merges
+        self.pairs: dict[int, bool] = {}
         self.parts: dict[str, list[int]] = {}
-
-    def reachable(self, token: str) -> bool:
-        """Whether a token encodes to itself."""
-        known = self.own.get(token)
-        if known is None:
-            known = self.own[token] = merged(token, self.score) == [token]
+        self.small: dict[str, list[int]] = {}
+
+    def together(self, a: int, b: int) -> bool:
+        """Whether two tokens, one after the other, encode to themselves; the start goes with all."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        known = a == self.start
+        if not known:
+            x, y = self.names[a], self.names[b]
+            known = x + y not in self.score and merged(x + y, self.score) == [x, y]
+        self.pairs[a * self.base + b] = known
         return known
 
-    def together(self, a: str, b: str) -> bool:
-        """Whether two tokens, one after the other, encode to themselves."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = a + b not in self.score and merged(a + b, self.score) == [a, b]
-        return known
-
-    def tokens(self, part: str) -> list[str]:
-        """The encoding of a text with marks, by the table of prefixes. A character that is no piece is a token of its own."""
-        if part in self.score and self.reachable(part):
-            return [part]
-        last: list[str] = [""]  # by length of the prefix
-        pairs, together, reachable = self.pairs, self.together, self.reachable
-        found = self.automaton.iter(part)
-        end, token = next(found, (len(part), ""))
-        for i in range(len(part)):
-            best = ""
-            while end == i:  # longest first
-                if not best:
-                    before = last[i + 1 - len(token)]
-                    if reachable(token) and (not before or (pairs.get((before, token)) or together(before, token))):
-                        best = token
-                end, token = next(found, (len(part), ""))
-            last.append(best or part[i])
-        out, at = [], len(part)
+    def table(self, run: str) -> list[int]:
+        """The encoding of a run, all of whose characters are pieces, by the table of its prefixes."""
+        last, size = [self.start], [0]  # by length of the prefix
+        base, known, together, moves, ends, state = self.base, self.pairs.get, self.together, self.automaton.moves, self.automaton.ends, 0
+        for end, c in enumerate(run, 1):
+            after = moves[state].get(c)
+            state = self.automaton.move(state, c) if after is None else after
+            able = ends[state]
+            width, token = able[-1]  # just one goes with the token before it: the shortest, where no other does
+            if len(able) > 1:
+                for w, t in able[:-1]:
+                    before = last[end - w]
+                    fine = known(before * base + t)
+                    if fine or (fine is None and together(before, t)):
+                        width, token = w, t
+                        break
+            last.append(token)
+            size.append(width)
+        out, at = [], len(run)
         while at:
             out.append(last[at])
-            at -= len(last[at])
+            at -= size[at]
         return out[::-1]
 
-    def ids(self, tokens: list[str]) -> list[int]:
-        """Tokens that are no pieces become their bytes, or else one unknown id for each run of them."""
-        out: list[int] = []
-        for t in tokens:
-            i = self.id.get(t)
-            if i is not None:
-                out.append(i)
-            elif self.byte:
-                out += [self.byte[b] for b in t.encode("utf-8", "replace")]
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
-        return out
+    def char_ids(self, c: str) -> list[int]:
+        """The id of a character that stands alone; one that is no piece becomes its bytes, or else the unknown id."""
+        own = self.id.get(c)
+        return [own] if own is not None else [self.byte[b] for b in c.encode("utf-8", "replace")] if self.byte else [self.unknown]
+
+    def run_ids(self, run: str) -> list[int]:
+        """The ids of a run; they are kept."""
+        known = self.table(run) if len(run) > 1 or run in self.id else self.char_ids(run)
+        if len(run) <= PART_CHARS:
+            if len(self.small) >= PARTS:
+                self.small.clear()
+            self.small[run] = known
+        return known
 
     def part_ids(self, part: str) -> list[int]:
-        known = self.parts.get(part)
-        if known is None:
-            known = self.ids(self.tokens(part))
-            if len(part) <= PART_CHARS:
-                if len(self.parts) >= PARTS:
-                    self.parts.clear()
-                self.parts[part] = known
+        """The ids of a part, from those of its runs; they are kept."""
+        get, miss = self.small.get, self.run_ids
+        known = list(chain.from_iterable([get(r) or miss(r) for r in self.runs.findall(part)]))
+        if len(part) <= PART_CHARS:
+            if len(self.parts) >= PARTS:
+                self.parts.clear()
+            self.parts[part] = known
         return known
 
     def encode(self, text: str) -> list[int]:
@@ -148,8 +209,6 @@ class Pieces:
         if not text:
             return []
         whole = self.prefix + text.replace(" ", MARK)
-        if not self.splits or not self.byte:
-            return self.ids(self.tokens(whole))
         # a part is a run of marks with what follows up to the next mark
         words = whole.split(MARK)
         parts, marks = ([words[0]] if words[0] else []), 0
@@ -161,7 +220,11 @@ class Pieces:
         if marks:
             parts.append(MARK * marks)
         get, miss = self.parts.get, self.part_ids
-        return list(chain.from_iterable([get(p) or miss(p) for p in parts]))
+        return self._one_unknown(list(chain.from_iterable([get(p) or miss(p) for p in parts])))
+
+    def _one_unknown(self, ids: list[int]) -> list[int]:
+        """Without byte pieces a run of unknown characters is one id."""
+        return ids if self.byte else [i for i, before in zip(ids, [None, *ids], strict=False) if i != self.unknown or before != self.unknown]
 
     def decode(self, ids: list[int]) -> str:
         """What the library makes of these ids; ids of the end and other control pieces are nothing."""

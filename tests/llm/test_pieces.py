@@ -43,20 +43,21 @@ def test_all_pieces_and_pairs_of_them(library, own):
         assert own.encode(t) == library.encode(t), t
 
 
-def test_parts_that_are_not_split(library):
-    whole = P.Pieces(P.model())
-    whole.splits = False
+def test_runs_that_are_not_split(library, own):
     for t in odd_texts()[::5]:
-        assert whole.encode(t) == library.encode(t), t
+        whole = "▁" + t.replace(" ", "▁")
+        if t and all(c in own.id for c in whole):
+            assert own.table(whole) == library.encode(t), t
 
 
 def test_full_dictionaries_start_anew(library, monkeypatch):
     monkeypatch.setattr(P, "PARTS", 50)
     monkeypatch.setattr(P, "PAIRS", 50)
+    monkeypatch.setattr(P, "MOVES", 50)
     small = P.Pieces(P.model())
     for t in odd_texts()[::7]:
         assert small.encode(t) == library.encode(t)
-        assert len(small.parts) <= 50 and len(small.pairs) <= 50
+        assert len(small.parts) <= 50 and len(small.small) <= 50 and len(small.pairs) <= 50
 
 
 def test_report(spark, library):
@@ -79,6 +80,16 @@ def test_decode_of_any_ids(spark, library):
     assert [r.text for r in P.decoded(df).orderBy("doc_id").collect()] == [None if x is None else library.decode(x) for x in lists]
 
 
+def test_automaton():
+    rnd = random.Random(3)
+    words = sorted({"".join(rnd.choice("ab") for _ in range(rnd.randrange(1, 6))) for _ in range(20)})
+    a = P.Automaton([(w, i) for i, w in enumerate(words)])
+    text, state = "".join(rnd.choice("abc") for _ in range(3000)), 0
+    for end, c in enumerate(text, 1):
+        state = a.move(state, c)
+        assert a.ends[state] == tuple(sorted(((len(w), i) for i, w in enumerate(words) if text[:end].endswith(w)), reverse=True))
+
+
 def test_models_of_other_kinds_raise(tmp_path):
     from sentencepiece import sentencepiece_model_pb2 as proto
 
