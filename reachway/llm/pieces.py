@@ -13,9 +13,10 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ MARK = "▁"
 PARTS, PAIRS, MOVES, PART_CHARS = 300_000, 400_000, 300_000, 40
 #: Ids and characters of decoded text that one batch to Spark holds, about.
 BATCH = 2_000_000
+SPACED = re.compile(" +[^ ]*")
 _ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
 
@@ -141,9 +143,14 @@ class Pieces:
         self.runs = re.compile(_runs(self.id))
         self.start, self.base = len(self.names), len(self.names) + 1  # the start stands before the first token
         self.automaton = Automaton([(p, i) for p, i in self.id.items() if merged(p, self.score) == [p]])  # others never come out of merges
+        # what each piece is in a text, where that doesn't depend on its neighbours
+        control = {i for i, p in enumerate(spec.pieces) if p.type == kinds.CONTROL}
+        ascii_bytes = {i: chr(b) for b, i in self.byte.items() if b < 128}
+        self.surface = np.array([ascii_bytes.get(i, "" if i in control else p) for i, p in enumerate(self.names)], object)
+        self.simple = np.array([p in self.id or i in control or i in ascii_bytes for i, p in enumerate(self.names)])
         self.pairs: dict[int, bool] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.small: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}
+        self.small: dict[str, bytes] = {}
 
     def together(self, a: int, b: int) -> bool:
         """Whether two tokens, one after the other, encode to themselves; the start goes with all."""
@@ -185,50 +192,51 @@ class Pieces:
         own = self.id.get(c)
         return [own] if own is not None else [self.byte[b] for b in c.encode("utf-8", "replace")] if self.byte else [self.unknown]
 
-    def run_ids(self, run: str) -> list[int]:
-        """The ids of a run; they are kept."""
-        known = self.table(run) if len(run) > 1 or run in self.id else self.char_ids(run)
+    def run_ids(self, run: str) -> bytes:
+        """The ids of a run, as 32-bit numbers; they are kept."""
+        known = array("i", self.table(run) if len(run) > 1 or run in self.id else self.char_ids(run)).tobytes()
         if len(run) <= PART_CHARS:
             if len(self.small) >= PARTS:
                 self.small.clear()
             self.small[run] = known
         return known
 
-    def part_ids(self, part: str) -> list[int]:
-        """The ids of a part, from those of its runs; they are kept."""
+    def part_ids(self, part: str) -> bytes:
+        """The ids of a space mark and a part, from those of its runs; they are kept."""
         get, miss = self.small.get, self.run_ids
-        known = list(chain.from_iterable([get(r) or miss(r) for r in self.runs.findall(part)]))
+        known = b"".join([get(r) or miss(r) for r in self.runs.findall(MARK + part)])
         if len(part) <= PART_CHARS:
             if len(self.parts) >= PARTS:
                 self.parts.clear()
             self.parts[part] = known
         return known
 
-    def encode(self, text: str) -> list[int]:
-        """The ids that the library's encode(text) gives."""
-        if not text:
-            return []
-        whole = self.prefix + text.replace(" ", MARK)
-        # a part is a run of marks with what follows up to the next mark
-        words = whole.split(MARK)
-        parts, marks = ([words[0]] if words[0] else []), 0
-        for w in words[1:]:
-            marks += 1
-            if w:
-                parts.append(MARK * marks + w)
-                marks = 0
-        if marks:
-            parts.append(MARK * marks)
-        get, miss = self.parts.get, self.part_ids
-        return self._one_unknown(list(chain.from_iterable([get(p) or miss(p) for p in parts])))
-
-    def _one_unknown(self, ids: list[int]) -> list[int]:
-        """Without byte pieces a run of unknown characters is one id."""
-        return ids if self.byte else [i for i, before in zip(ids, [None, *ids], strict=False) if i != self.unknown or before != self.unknown]
-
-    def decode(self, ids: list[int]) -> str:
-        """What the library makes of these ids; ids of the end and other control pieces are nothing."""
-        return self.library.decode(ids)
+    def encode(self, text: str) -> np.ndarray:
+        """The ids (32 bits) that the library's encode(text) gives."""
+        text = text.replace(MARK, " ")
+        if not text or not self.prefix:
+            parts = [self.part_ids_of_all(text)]
+        else:
+            get, miss = self.parts.get, self.part_ids
+            # a part is a run of marks but one, with what follows up to the next mark
+            words = text.split(" ")
+            if "" in words:
+                words = SPACED.findall(" " + text)
+                words = [w[1:].replace(" ", MARK) for w in words]
+            parts = [get(w) or miss(w) for w in words]
+        ids = np.frombuffer(b"".join(parts), np.int32)
+        return ids if self.byte or not len(ids) else ids[np.r_[True, (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)]]  # without byte pieces a run of unknown characters is one id
+
+    def part_ids_of_all(self, text: str) -> bytes:
+        """The ids of a text without a mark before it."""
+        return b"".join([self.run_ids(r) for r in self.runs.findall(text.replace(" ", MARK))])
+
+    def decode(self, ids: np.ndarray) -> str:
+        """What the library's decode(ids) makes of these ids. Control pieces are nothing; the mark at the start of a text is none of its own. Bytes beyond ASCII and unknown ids go through the library."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.names) or not self.simple[ids].all()):
+            return self.library.decode(ids.tolist())
+        text = "".join(self.surface[ids].tolist())
+        return (text[1:] if self.prefix and text.startswith(MARK) else text).replace(MARK, " ")
 
 
 @functools.lru_cache(maxsize=2)
@@ -239,22 +247,26 @@ def pieces(path: str) -> Pieces:
 def _encoded(path: str, end: bool, decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
-        tail = [p.library.eos_id()] if end else []
+        tail = np.array([p.library.eos_id()] if end else [], np.int32)
+        names, lists, texts, held = [], [], [], 0
 
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+        def out() -> pa.RecordBatch:
+            offsets = np.cumsum([0, *map(len, lists)], dtype=np.int64).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), ids, pa.array(texts, pa.string())], schema=_ARROW)
 
-        rows, held = [], 0
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = p.encode(text or "") + tail
-                rows.append((doc_id, ids, p.decode(ids) if decode else None))
+                ids = np.concatenate([p.encode(text or ""), tail])
+                names.append(doc_id)
+                lists.append(ids)
+                texts.append(p.decode(ids) if decode else None)
                 held += len(ids) + len(text or "")
                 if held >= BATCH:
-                    yield out(rows)
-                    rows, held = [], 0
-        if rows:
-            yield out(rows)
+                    yield out()
+                    names, lists, texts, held = [], [], [], 0
+        if names:
+            yield out()
 
     return run
 
@@ -274,7 +286,7 @@ def _decoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         for b in batches:
-            texts = [None if ids is None else p.decode(ids) for ids in b.column(1).to_pylist()]
+            texts = [None if ids is None else p.decode(np.array(ids, np.int32)) for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return run
