@@ -63,24 +63,63 @@ def in_box(lon: Column, lat: Column, box: Mapping[str, float]) -> Column:
     return lon.between(box["lon_min"], box["lon_max"]) & lat.between(box["lat_min"], box["lat_max"])
 
 
-def ring_contains(ring: Column, lon: Column, lat: Column) -> Column:
-    """Whether a ring (array of struct x, y; closed or not) holds a point in its interior: points on its boundary are outside."""
-    edges = F.transform(ring, lambda p, i: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), F.element_at(ring, F.when(i + 2 > F.size(ring), 1).otherwise(i + 2).cast("int")).alias("q")))
+def ring_edges(rings: Column) -> Column:
+    """The edges (array of struct x1, y1, x2, y2) of all rings (array of array of struct x, y; closed or not): outer rings, holes and further parts alike."""
+
+    def edges(ring: Column) -> Column:
+        def edge(p: Column, i: Column) -> Column:
+            q = F.element_at(ring, F.when(i + 2 > F.size(ring), 1).otherwise(i + 2).cast("int"))
+            return F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))
+
+        return F.transform(ring, edge)
+
+    return F.flatten(F.transform(rings, edges))
+
+
+def edges_contain(edges: Column, lon: Column, lat: Column) -> Column:
+    """Whether these edges hold a point in their interior by the even-odd rule: a ray to the east crosses them an odd number of times. Points on an edge are outside. Edges that don't reach
+    the point's latitude may be left out."""
 
     def crosses(e: Column) -> Column:
-        y2 = e["q"]["y"]
-        apart = (e["y1"] > lat) != (y2 > lat)
-        return F.when(apart, lon < e["x1"] + (lat - e["y1"]) * (e["q"]["x"] - e["x1"]) / F.nullif(y2 - e["y1"], F.lit(0.0))).otherwise(False)
+        apart = (e["y1"] > lat) != (e["y2"] > lat)
+        return F.when(apart, lon < e["x1"] + (lat - e["y1"]) * (e["x2"] - e["x1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0))).otherwise(False)
 
     def touches(e: Column) -> Column:
-        x2, y2 = e["q"]["x"], e["q"]["y"]
-        straight = (x2 - e["x1"]) * (lat - e["y1"]) - (y2 - e["y1"]) * (lon - e["x1"]) == 0
-        return straight & lon.between(F.least(e["x1"], x2), F.greatest(e["x1"], x2)) & lat.between(F.least(e["y1"], y2), F.greatest(e["y1"], y2))
+        straight = (e["x2"] - e["x1"]) * (lat - e["y1"]) - (e["y2"] - e["y1"]) * (lon - e["x1"]) == 0
+        return straight & lon.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & lat.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
 
     odd = F.aggregate(edges, F.lit(0), lambda n, e: n + F.when(crosses(e), 1).otherwise(0), lambda n: n % 2 == 1)
     return odd & ~F.exists(edges, touches)
 
 
+def ring_contains(ring: Column, lon: Column, lat: Column) -> Column:
+    """Whether one ring (array of struct x, y; closed or not) holds a point in its interior."""
+    return edges_contain(ring_edges(F.array(ring)), lon, lat)
+
+
+def point_in_ring(x: float, y: float, ring: list[tuple[float, float]]) -> bool:
+    return sum((y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True)) % 2 == 1
+
+
+def polygon_parts(rings: list[list[tuple[float, float]]]) -> list[list[list[tuple[float, float]]]]:
+    """Rings as polygons: an outer ring and its holes each. A ring inside an odd number of others is a hole, of the smallest outer ring around it; rings don't cross, but may touch."""
+
+    def middle(ring: list[tuple[float, float]]) -> tuple[float, float]:
+        """A point inside: half-way across the ring at the height half-way between two corners' heights."""
+        heights = sorted({y for _, y in ring})
+        y = (heights[0] + heights[1]) / 2 if len(heights) > 1 else heights[0]
+        cuts = sorted(x1 + (y - y1) * (x2 - x1) / (y2 - y1) for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True) if (y1 > y) != (y2 > y))
+        return ((cuts[0] + cuts[1]) / 2, y) if len(cuts) > 1 else ring[0]
+
+    inner = [middle(r) for r in rings]
+    around = [[j for j, other in enumerate(rings) if j != i and abs(area(other)) > abs(area(rings[i])) and point_in_ring(*inner[i], other)] for i in range(len(rings))]
+    parts = {i: [rings[i]] for i in range(len(rings)) if len(around[i]) % 2 == 0}
+    for i, outer in enumerate(around):
+        if len(outer) % 2:
+            parts[min((j for j in outer if j in parts), key=lambda j: abs(area(rings[j])))].append(rings[i])
+    return list(parts.values())
+
+
 def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     """The convex hull counter-clockwise from the least point (monotone chain); collinear points leave the two ends."""
     pts = sorted(set(points))

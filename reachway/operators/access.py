@@ -10,6 +10,7 @@ from pyspark.sql import window as W
 
 from reachway import config
 from reachway.functions.workers import ready
+from reachway.operators.ranks import group_medians, group_quantiles
 
 
 def _pct(part: Column, whole: Column) -> Column:
@@ -136,14 +137,25 @@ def thirds(df: DataFrame, value: str, labels: Sequence[str], name: str) -> DataF
     return df.crossJoin(F.broadcast(span)).withColumn(name, F.when(F.col(value).isNotNull(), F.element_at(F.array(*map(F.lit, labels)), at))).drop("__lo", "__hi")
 
 
+def _long(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    return df.select(*keys, *columns).unpivot(list(keys), list(columns), "perfil", "valor").filter("valor IS NOT NULL")
+
+
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """perfil, mean, mediana, max of each column, nulls left out."""
-    long = df.unpivot([], list(columns), "perfil", "valor").filter("valor IS NOT NULL")
-    return long.groupBy("perfil").agg(F.avg("valor").alias("mean"), F.percentile("valor", 0.5).alias("mediana"), F.max("valor").alias("max"))
+    """perfil, mean, mediana (exact), max of each column, nulls left out."""
+    long = _long(df, columns)
+    return long.groupBy("perfil").agg(F.avg("valor").alias("mean"), F.max("valor").alias("max")).join(group_medians(long, "valor", "perfil", name="mediana"), "perfil").select("perfil", "mean", "mediana", "max")
 
 
 def quartiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """perfil, q1, mediana, q3 of each column."""
-    long = df.unpivot([], list(columns), "perfil", "valor").filter("valor IS NOT NULL")
-    q = long.groupBy("perfil").agg(F.percentile("valor", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    """perfil, q1, mediana, q3 (exact) of each column."""
+    q = group_quantiles(_long(df, columns), "valor", [0.25, 0.5, 0.75], ["perfil"])
     return q.select("perfil", *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "mediana", "q3"))])
+
+
+def medians_by(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
+    """The exact median of each of these columns by group, null groups left out; null where a group has no value."""
+    rows = df.filter(F.col(group).isNotNull())
+    medians = group_medians(_long(rows, columns, [group]), "valor", group, "perfil", name="m")
+    wide = medians.groupBy(group).pivot("perfil", list(columns)).agg(F.first("m"))
+    return rows.select(group).distinct().join(wide, group, "left")

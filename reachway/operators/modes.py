@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachway import config
 from reachway.functions.geo import GridIndex, utm, utm_epsg
 from reachway.functions.workers import ready
+from reachway.operators.ranks import group_medians
 
 #: Target points up to this number (24 bytes each) are broadcast as a grid index; more of them meet by cells in shuffles.
 BROADCAST_POINTS = 2_000_000
@@ -136,16 +138,26 @@ def straight_vs_network(matrix: DataFrame, demand: DataFrame, facilities: DataFr
     return out.select("cp_id", "facility_recta", "dist_recta_m", "facility_red", "t_min_red", (F.col("facility_recta") == F.col("facility_red")).alias("coincide"), "t_min_si_recta", (F.col("t_min_si_recta") - F.col("t_min_red")).alias("penalidad_min"))
 
 
+def _same(left: DataFrame, right: DataFrame, *groups: str) -> Column:
+    return reduce(lambda x, y: x & y, [left[g].eqNullSafe(right[g]) for g in groups], F.lit(True))
+
+
 def straight_vs_network_summary(svn: DataFrame, group: str) -> DataFrame:
-    """By group: share of points whose facility differs, and the median penalty of those."""
-    differs = ~F.col("coincide")
-    return svn.groupBy(group).agg((F.avg(differs.cast("double")) * 100).alias("pct_facility_distinta"), F.median(F.when(differs, F.col("penalidad_min"))).alias("penalidad_min_mediana"))
+    """By group: share of points whose facility differs, and the exact median penalty of those (null where none has one)."""
+    shares = svn.groupBy(group).agg((F.avg((~F.col("coincide")).cast("double")) * 100).alias("pct_facility_distinta"))
+    medians = group_medians(svn.filter(~F.col("coincide")), "penalidad_min", group, name="penalidad_min_mediana")
+    return shares.join(medians, _same(shares, medians, group), "left").select(shares[group], "pct_facility_distinta", "penalidad_min_mediana")
 
 
 def circuity_factor(svn: DataFrame, *groups: str, speed_kmh: float = config.DETOUR_SPEED_KMH) -> DataFrame:
     """factor_desvio by group: the exact median of network time over the straight line's at this speed; the default without a routed point at a distance."""
     ratio = F.try_divide(F.col("t_min_red"), F.col("dist_recta_m") / (speed_kmh * 1000 / 60))
-    return svn.groupBy(*groups).agg(F.coalesce(F.median(ratio), F.lit(config.DEFAULT_DETOUR)).alias("factor_desvio"))
+    medians = group_medians(svn.select(*groups, ratio.alias("ratio")), "ratio", *groups, name="m")
+    factor = F.coalesce("m", F.lit(config.DEFAULT_DETOUR)).alias("factor_desvio")
+    if not groups:
+        return medians.select(factor)
+    every = svn.select(*groups).distinct()
+    return every.join(medians, _same(every, medians, *groups), "left").select(*[every[g] for g in groups], factor)
 
 
 def fallback_times(demand: DataFrame, facilities: DataFrame, factor: DataFrame, planar: bool = False, speed_kmh: float = config.DETOUR_SPEED_KMH) -> DataFrame:

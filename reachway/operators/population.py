@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from reachway.functions.text import half_even_count, norm_name, settlement_weight, zero_padded
+from reachway.functions.workers import ready
 
 
 def district_population(raw: DataFrame, departments: list[str] | None = None) -> DataFrame:
@@ -54,13 +57,33 @@ def distributed(settlements: DataFrame, population: DataFrame, corrected: bool =
 
 
 def stratified_sample(df: DataFrame, max_points: int, strata: str = "distrito", key: str = "cp_id", seed: int = 42) -> DataFrame:
-    """df whole if it has at most max_points rows; otherwise of every stratum with n rows min(n, max(1, n * max_points / all, half to even)), chosen by a
-    seeded hash of the key. Rows without a stratum are left out then."""
+    """df whole if it has at most max_points rows; otherwise of every stratum with n rows min(n, max(1, n * max_points / all, half to even)): those of the least seeded hashes of the
+    key, ties by the key, then by the other columns. Rows without a stratum are left out then.
+
+    The k least of n hashes lie under a bound a little over k / n, but for bad luck. Only rows under it leave their tasks, equal ones as one with a count, so that
+    no more than about the sample is sorted, however large a stratum is; where fewer than k lie under the bound it is raised.
+    """
     total = df.count()
     if total <= max_points:
         return df
-    fraction = max_points / total
-    order = W.Window.partitionBy(strata).orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key)
-    quota = df.filter(F.col(strata).isNotNull()).groupBy(F.col(strata).alias("__s")).agg(F.least(F.count("*"), F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(fraction)).cast("bigint"))).alias("__q"))
-    ranked = df.join(quota, F.col(strata) == F.col("__s")).withColumn("__r", F.row_number().over(order))
-    return ranked.filter("__r <= __q").drop("__s", "__q", "__r")
+    ready(df.sparkSession)
+    # the hash as a fraction of 2**53, exact in doubles
+    h = F.shiftrightunsigned(F.xxhash64(F.col(f"`{key}`").cast("string"), F.lit(seed)), 11).cast("double") / float(1 << 53)
+    hashed = df.filter(F.col(f"`{strata}`").isNotNull()).withColumn("__h", h)
+    n, k = F.col("__n"), F.col("__q")
+    quota = hashed.groupBy(F.col(f"`{strata}`").alias("__s")).agg(F.count("*").alias("__n"))
+    quota = quota.withColumn("__q", F.least(n, F.greatest(F.lit(1), F.bround(n * F.lit(max_points / total)).cast("bigint")))).checkpoint()
+    left, parts = quota.withColumn("__bound", F.least(F.lit(1.0), (k + 6 * F.sqrt(k) + 20) / n)), []
+    while True:
+        under = hashed.join(left, (F.col(f"`{strata}`") == F.col("__s")) & (F.col("__h") < F.col("__bound")))
+        under = under.groupBy(*[F.col(f"`{c}`") for c in df.columns], "__h", "__s", "__q").agg(F.count("*").alias("__c")).checkpoint()
+        have = under.groupBy("__s").agg(F.sum("__c").alias("__have"))
+        short = left.join(have, "__s", "left").filter(F.coalesce("__have", F.lit(0)) < k).drop("__have").checkpoint()
+        parts.append(under.join(short.select("__s"), "__s", "left_anti"))
+        if short.isEmpty():
+            break
+        left = short.withColumn("__bound", F.least(F.lit(1.0), F.col("__bound") * 4))
+    order = W.Window.partitionBy("__s").orderBy("__h", F.col(f"`{key}`"), *[F.col(f"`{c}`") for c in df.columns if c != key])
+    found = reduce(DataFrame.unionByName, parts).withColumn("__before", F.sum("__c").over(order.rowsBetween(W.Window.unboundedPreceding, 0)) - F.col("__c"))
+    copies = F.sequence(F.lit(1).cast("bigint"), F.least("__c", k - F.col("__before")))
+    return found.filter(F.col("__before") < k).select(*[F.col(f"`{c}`") for c in df.columns], F.explode(copies).alias("__copy")).drop("__copy")

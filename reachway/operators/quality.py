@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reachway import config
-from reachway.functions.geo import in_box, ring_contains
+from reachway.functions.geo import edges_contain, in_box, ring_edges
 from reachway.functions.text import normalised_category, repaired
 
 # Names of the rules and of what they do.
@@ -51,17 +51,48 @@ def drop_outside(df: DataFrame, box: Mapping[str, float] = config.COUNTRY_BBOX)
     return df.filter(F.coalesce(in_box(F.col("lon"), F.col("lat"), box), F.lit(False)))
 
 
+#: Edges of a polygon for each of its strips, about, and strips of a polygon at most.
+STRIP_EDGES, MAX_STRIPS = 16, 8_192
+
+
+def polygon_strips(polygons: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Polygons as heads (__key, __y0, __height, __strips) and, for each horizontal strip of equal height, the edges that reach into it (__k, __strip, __edges).
+
+    polygons has rings (array of array of struct x, y: all parts and holes), or ring where there is one only. One polygon is kept for each key, the least by its rings; those without any ring are none.
+    """
+    shape = F.array("ring") if "rings" not in polygons.columns else F.coalesce("rings", F.array("ring")) if "ring" in polygons.columns else F.col("rings")
+    rings = F.filter(shape, lambda r: F.coalesce(F.size(r) > 0, F.lit(False)))
+    one = polygons.select(F.col(key).alias("__key"), rings.alias("rings")).filter(F.col("__key").isNotNull() & (F.size("rings") > 0)).groupBy("__key").agg(F.min("rings").alias("rings"))
+    edges = one.select("__key", ring_edges(F.col("rings")).alias("edges"))
+    low = F.array_min(F.transform("edges", lambda e: F.least(e["y1"], e["y2"])))
+    high = F.array_max(F.transform("edges", lambda e: F.greatest(e["y1"], e["y2"])))
+    n = F.least(F.lit(MAX_STRIPS), F.greatest(F.lit(1), F.ceil(F.size("edges") / F.lit(STRIP_EDGES)))).cast("int")
+    heads = edges.select("__key", "edges", low.alias("__y0"), n.alias("__strips"), ((high - low) / n).alias("__height"))
+    each = heads.select(F.col("__key").alias("__k"), "__y0", "__height", "__strips", F.explode("edges").alias("e"))
+    reach = F.sequence(strip(F.least("e.y1", "e.y2")), strip(F.greatest("e.y1", "e.y2")))
+    strips = each.select("__k", "e", F.explode(reach).alias("__strip")).groupBy("__k", "__strip").agg(F.collect_list("e").alias("__edges"))
+    return heads.drop("edges"), strips
+
+
+def strip(y: Column) -> Column:
+    """The number of the strip at this height, by a polygon's head; it never falls where y rises, so that an edge reaches all strips between its ends'."""
+    at = F.floor(F.coalesce(F.try_divide(y - F.col("__y0"), F.col("__height")), F.lit(0.0)))
+    return F.greatest(F.lit(0), F.least(F.col("__strips") - 1, at)).cast("int")
+
+
 def flag_outside_polygon(df: DataFrame, polygons: DataFrame | None, key: str, polygon_key: str = "ubigeo") -> DataFrame:
-    """df with flag_fuera_de_poligono: its key's polygon (column ring: array of struct x, y) exists and doesn't hold the point in its interior.
+    """df with flag_fuera_de_poligono: its key's polygon (all of its rings: parts, islands and holes) exists and doesn't hold the point in its interior.
 
-    Polygons are deduplicated by key first, so that the join never adds rows.
+    A point meets the edges of one strip of its polygon only. Polygons are one for each key, and strips one for each key and number, so that the joins never add rows; points of a hot key are dealt by strips.
     """
     if polygons is None or key not in df.columns:
         return df.withColumn("flag_fuera_de_poligono", F.lit(False))
-    one = polygons.filter(F.col(polygon_key).isNotNull()).groupBy(F.col(polygon_key).alias("__key")).agg(F.min("ring").alias("__ring"))
-    joined = df.join(one, F.col(key) == F.col("__key"), "left")
-    outside = F.col("__ring").isNotNull() & ~F.coalesce(ring_contains(F.col("__ring"), F.col("lon"), F.col("lat")), F.lit(False))
-    return joined.withColumn("flag_fuera_de_poligono", outside).drop("__key", "__ring")
+    heads, strips = polygon_strips(polygons, polygon_key)
+    headed = df.join(heads, F.col(key) == F.col("__key"), "left")
+    headed = headed.withColumn("__at", strip(F.col("lat")))
+    joined = headed.join(strips, (F.col("__key") == F.col("__k")) & (F.col("__at") == F.col("__strip")), "left")
+    outside = F.col("__strips").isNotNull() & ~F.coalesce(edges_contain(F.col("__edges"), F.col("lon"), F.col("lat")), F.lit(False))
+    return joined.withColumn("flag_fuera_de_poligono", outside).drop("__key", "__y0", "__strips", "__height", "__at", "__k", "__strip", "__edges")
 
 
 def deduplicated(df: DataFrame, id_col: str, updated: str | None = None) -> DataFrame:

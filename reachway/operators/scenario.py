@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reachway import config
 from reachway.operators.access import weighted_mean_access
 from reachway.operators.modes import nearest_facility
+from reachway.operators.ranks import group_medians
 
 
 def chosen(df: DataFrame, **filters: Sequence | None) -> DataFrame:
@@ -32,8 +33,8 @@ def key_figures(demand: DataFrame, threshold: float = 60) -> DataFrame:
     est = F.coalesce(F.col("t_min_estimado"), F.lit(False)) if "t_min_estimado" in demand.columns else F.lit(False)
     out = demand.agg(
         F.coalesce(F.sum(p), F.lit(0)).alias("poblacion_total"), of(t <= threshold).alias("poblacion_cubierta"), of((t > 60) | t.isNull()).alias("poblacion_mas_60"),
-        (of(est) + of(t.isNull())).alias("poblacion_estimada"), F.median("t_min").alias("mediana_acceso"),
-    )
+        (of(est) + of(t.isNull())).alias("poblacion_estimada"),
+    ).crossJoin(group_medians(demand, "t_min", name="mediana_acceso"))
     share = lambda c: F.try_divide(F.col(c) * F.lit(100.0), F.col("poblacion_total"))
     return out.withColumns({"pct_cubierta": share("poblacion_cubierta"), "pct_mas_60": share("poblacion_mas_60"), "pct_estimada": share("poblacion_estimada")})
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reachway import config
@@ -164,7 +164,7 @@ def mode_ratio_summary(s: SparkSession, d: str) -> DataFrame:
 @_query("mode_ratio_by_departamento", _sql(_MODES + " SELECT departamento, round(median(ratio_walk_drive), 6) AS ratio_walk_drive, round(median(ratio_bike_drive), 6) AS ratio_bike_drive FROM mc JOIN fx_demand USING (cp_id) GROUP BY departamento"))
 def mode_ratio_by_departamento(s: SparkSession, d: str) -> DataFrame:
     joined = _comparison(s, d).join(fixture(s, d, "fx_demand").select("cp_id", "departamento"), "cp_id", "left")
-    return _rounded(joined.filter("departamento IS NOT NULL").groupBy("departamento").agg(*[F.median(c).alias(c) for c in _RATIOS]))
+    return _rounded(access.medians_by(joined, "departamento", _RATIOS))
 
 
 @_query("box_quartiles", _sql(_MODES + " " + " UNION ALL ".join(f"SELECT '{c}' AS perfil, round(quantile_cont({c}, 0.25), 6) AS q1, round(quantile_cont({c}, 0.5), 6) AS mediana, round(quantile_cont({c}, 0.75), 6) AS q3 FROM mc" for c in _RATIOS), "fx_facility", "fx_matrix"))
@@ -311,6 +311,32 @@ def dq_polygon(s: SparkSession, d: str) -> DataFrame:
     return quality.flag_outside_polygon(fixture(s, d, "fx_demand"), rings, "provincia", "provincia").select("cp_id", "flag_fuera_de_poligono")
 
 
+# every province has a mainland with a lake and an island to the east of it
+_LAND, _LAKE, _ISLE = ("x0", "x1", "y0", "y1"), ("x0 + 2e0", "x0 + 4e0", "-12e0", "-8e0"), ("x1 + 0.5e0", "x1 + 1.5e0", "-10e0", "-6e0")
+
+
+def polygon_parts(s: SparkSession, d: str) -> DataFrame:
+    """provincia and rings: mainland, lake, island."""
+
+    def ring(x0: str, x1: str, y0: str, y1: str) -> Column:
+        return F.array(*[F.struct(F.expr(x).alias("x"), F.expr(y).alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))])
+
+    return fixture(s, d, "fx_polygon").select("provincia", F.array(ring(*_LAND), ring(*_LAKE), ring(*_ISLE)).alias("rings"))
+
+
+def _within(box: tuple[str, str, str, str], closed: bool = False) -> str:
+    less = "<=" if closed else "<"
+    return f"({box[0]} {less} lon AND lon {less} {box[1]} AND {box[2]} {less} lat AND lat {less} {box[3]})"
+
+
+PARTS_SQL = f"x0 IS NOT NULL AND NOT (({_within(_LAND)} AND NOT {_within(_LAKE, True)}) OR {_within(_ISLE)})"
+
+
+@_query("dq_polygon_parts", _sql(f" SELECT cp_id, {PARTS_SQL} AS flag_fuera_de_poligono FROM fx_demand LEFT JOIN fx_polygon USING (provincia)", "fx_demand", "fx_polygon"))
+def dq_polygon_parts(s: SparkSession, d: str) -> DataFrame:
+    return quality.flag_outside_polygon(fixture(s, d, "fx_demand"), polygon_parts(s, d), "provincia", "provincia").select("cp_id", "flag_fuera_de_poligono")
+
+
 @_query("normalize_categoria", _sql(f" SELECT facility_id, {_CATEGORY} AS categoria, {_CATEGORY} IN {_IN} AS resolutivo FROM fx_facility", "fx_facility"))
 def normalize_categoria(s: SparkSession, d: str) -> DataFrame:
     return quality.with_category(fixture(s, d, "fx_facility")).select("facility_id", "categoria", "resolutivo")
@@ -495,6 +521,12 @@ def travel_time_matrix(s: SparkSession, d: str) -> DataFrame:
     return graph.travel_time_matrix(*_routes(s, d))
 
 
+@_query("matrix_by_joins", _GRID + f" SELECT cp_id, facility_id, ({_GRID_S}) / 60e0 AS t_min FROM dxy")
+def matrix_by_joins(s: SparkSession, d: str) -> DataFrame:
+    """The whole matrix by the engine for graphs that no worker can hold: delta-stepping, without a limit of time."""
+    return graph.travel_time_matrix(*_routes(s, d), engine="relational")
+
+
 _REACH = """WITH c AS (SELECT count(*) AS n FROM part), fac AS (SELECT s_suppkey AS facility_id, (s_suppkey * 37) % n AS b FROM supplier, c),
 dxy AS (SELECT facility_id, p_partkey AS node, b % 20 - p_partkey % 20 AS dx, b // 20 - p_partkey // 20 AS dy FROM part, fac), th(threshold_min) AS (VALUES (5), (10), (20))"""
 

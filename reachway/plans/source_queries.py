@@ -18,7 +18,7 @@ from reachway.functions.workers import ready
 from reachway.operators import access, graph, modes, population, quality, scenario
 from reachway.plans import encoders
 from reachway.plans.fixtures import fixture
-from reachway.plans.queries import _BEST, _DM, _DRIVABLE, _FACTOR, _HIGHWAY, _IN, _MAXSPEED, _MODES, _RAW, _REPORT, _ROADS, ORACLES, QUERIES, _by, _CATEGORY, _comparison, _matrix, _points, _query, _raw, _rounded, _sql, _svn
+from reachway.plans.queries import _BEST, _DM, _DRIVABLE, _FACTOR, _HIGHWAY, _IN, _MAXSPEED, _MODES, _RAW, _REPORT, _ROADS, ORACLES, QUERIES, _by, _CATEGORY, _comparison, _matrix, PARTS_SQL, polygon_parts, _points, _query, _raw, _rounded, _sql, _svn
 from reachway.sources import download, files, geoparquet, graphs, osm, shapefile, synthetic
 from reachway.sources.paths import write_bytes
 
@@ -137,6 +137,20 @@ def source_geoparquet(s: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b).select("id", "lon", "lat", *[F.when(F.col("ring").isNotNull(), c).alias(n) for c, n in zip(_extent("ring"), ("x0", "x1", "y0", "y1", "esquinas"), strict=True)])
 
 
+@_query(
+    "source_polygon_parts",
+    _sql(f" SELECT provincia, CAST(count(*) FILTER ({PARTS_SQL}) AS BIGINT) AS fuera, CAST(count(*) AS BIGINT) AS puntos, CAST(3 AS INT) AS anillos FROM fx_demand JOIN fx_polygon USING (provincia) GROUP BY provincia", "fx_demand", "fx_polygon"),
+)
+def source_polygon_parts(s: SparkSession, d: str) -> DataFrame:
+    """Polygons with an island and a lake as multipolygons in well-known binary, written, read again, and asked for the demand's points."""
+    path = _folder(s, "parts")
+    geoparquet.write_geoparquet(polygon_parts(s, d), path)
+    back = geoparquet.read_geoparquet(s, path)
+    flagged = quality.flag_outside_polygon(fixture(s, d, "fx_demand"), back, "provincia", "provincia")
+    counts = flagged.groupBy("provincia").agg(F.count_if("flag_fuera_de_poligono").alias("fuera"), F.count("*").alias("puntos"))
+    return counts.join(back.select("provincia", F.size("rings").alias("anillos")), "provincia")
+
+
 _ROAD_BOX = {"north": -5.0, "south": -12.0, "east": -72.0, "west": -78.0}
 
 

@@ -51,10 +51,10 @@ def settlements(raw: DataFrame, department: str | None = None) -> DataFrame:
 
 
 def districts(raw: DataFrame, department: str | None = None) -> DataFrame:
-    """Districts from the rows of the polygon layer (columns of the shapefile, with ring)."""
+    """Districts from the rows of the polygon layer (columns of the shapefile, with ring, the largest, and rings: all parts and holes)."""
     if department is not None:
         raw = raw.filter(norm_name(F.col("DEPARTAMEN")) == _plain([department])[0])
-    return raw.select(F.col("IDDIST").cast("string").alias("ubigeo"), F.col("DEPARTAMEN").alias("departamento"), F.col("PROVINCIA").alias("provincia"), F.col("DISTRITO").alias("distrito"), "ring")
+    return raw.select(F.col("IDDIST").cast("string").alias("ubigeo"), F.col("DEPARTAMEN").alias("departamento"), F.col("PROVINCIA").alias("provincia"), F.col("DISTRITO").alias("distrito"), "ring", "rings")
 
 
 def real_dataset(facilities: DataFrame, places: DataFrame, areas: DataFrame, people: DataFrame, max_points: int = config.MAX_DEMAND_POINTS // len(config.DEPARTMENTS), seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:

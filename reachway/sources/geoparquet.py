@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from reachway.functions.geo import area
+from reachway.functions.geo import area, polygon_parts
 from reachway.functions.workers import ready
 
 # Geometry types and marks of the format.
@@ -62,11 +62,17 @@ def decoded(data: bytes | None) -> tuple[float | None, float | None, list | None
     return None, None, max(content, key=lambda r: abs(area(r)), default=None), content
 
 
-def encoded(lon: float | None, lat: float | None, ring: list | None) -> bytes | None:
-    """A point, or else a polygon of one ring, closed if it isn't; null without coordinates."""
-    if ring:
-        ring = ring if ring[0] == ring[-1] else [*ring, ring[0]]
-        return struct.pack("<B3I", 1, _POLYGON, 1, len(ring)) + b"".join(struct.pack("<2d", *p) for p in ring)
+def _polygon(rings: list[list]) -> bytes:
+    closed = [r if r[0] == r[-1] else [*r, r[0]] for r in rings]
+    return struct.pack("<B2I", 1, _POLYGON, len(closed)) + b"".join(struct.pack("<I", len(r)) + b"".join(struct.pack("<2d", *p) for p in r) for r in closed)
+
+
+def encoded(lon: float | None, lat: float | None, rings: list | None) -> bytes | None:
+    """A point, or else a polygon with its holes, or a multipolygon where rings make several parts; rings are closed if they aren't. Null without coordinates."""
+    rings = [r for r in rings or () if r]
+    if rings:
+        parts = polygon_parts([r[:-1] if len(r) > 1 and r[0] == r[-1] else r for r in rings])
+        return _polygon(parts[0]) if len(parts) == 1 else struct.pack("<B2I", 1, _MULTIPOLYGON, len(parts)) + b"".join(map(_polygon, parts))
     return None if lon is None or lat is None else struct.pack("<BI2d", 1, _POINT, lon, lat)
 
 
@@ -88,16 +94,17 @@ def read_geoparquet(spark: SparkSession, path: str, geometry: str = "geometry")
 
 
 def write_geoparquet(df: DataFrame, path: str, geometry: str = "geometry") -> None:
-    """df with its lon and lat, or its ring, as one column of well-known binary in the place of them."""
+    """df with its lon and lat, or its rings (or its one ring), as one column of well-known binary in the place of them."""
     ready(df.sparkSession)
-    has = [c for c in ("lon", "lat", "ring") if c in df.columns]
+    has = [c for c in ("lon", "lat", "ring", "rings") if c in df.columns]
     kept = [f for f in df.schema if f.name not in ("lon", "lat", "ring", "rings")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = {c: b.column(i).to_pylist() for i, c in enumerate(has)}
             none = [None] * b.num_rows
-            rings = [r and [(p["x"], p["y"]) for p in r] for r in at.get("ring", none)]
+            shapes = [all_ or (one and [one]) for all_, one in zip(at.get("rings", none), at.get("ring", none), strict=True)]
+            rings = [shape and [[(p["x"], p["y"]) for p in r] for r in shape if r] for shape in shapes]
             made = [encoded(*x) for x in zip(at.get("lon", none), at.get("lat", none), rings, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[len(has) :], pa.array(made, pa.binary())], names=[*b.schema.names[len(has) :], geometry])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -223,11 +224,49 @@ def test_dashboard(spark):
     assert rows(access.histogram(d, "t_min", 4).orderBy("bin").select("bin", "n")) == [(0, 1), (3, 1)]
 
 
+def test_delta_stepping_against_a_heap(spark):
+    """Random graphs with parallel, zero, light and very heavy edges and dead ends, whatever the width of buckets."""
+    for seed, delta in ((1, None), (2, 0.5), (3, 7.0), (4, 1e6)):
+        rnd = random.Random(seed)
+        edges = [(rnd.randrange(60), rnd.randrange(60), rnd.choice([0.0, 0.25, 1.0, rnd.randrange(1, 40) / 4, 300.0])) for _ in range(170)]
+        sources = [0, 7, 59, 1000]
+        adjacency = graph.Adjacency(*(np.array(c) for c in zip(*edges)))
+        want = {(s, int(n), float(t)) for s in sources for n, t in zip(*adjacency.times(s))}
+        df, start = spark.createDataFrame(edges, "src long, dst long, travel_time double"), spark.createDataFrame([(s,) for s in sources], "node long")
+        got = graph.bucketed_times(df, start, delta=delta).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    near = {x for x in want if x[2] <= 3}
+    assert {tuple(r) for r in graph.bucketed_times(df, start, limit_s=3.0, delta=1.0).collect()} == near
+    with pytest.raises(ValueError, match="negative"):
+        graph.bucketed_times(spark.createDataFrame([(1, 2, -1.0)], df.schema), start)
+
+
+def test_dense_places_narrow_the_buckets(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SHORTCUTS_EDGE", 3)
+    edges = [(a, b, 1.0 + abs(a - b) / 8) for a in range(12) for b in range(12) if a != b] + [(11 + i, 12 + i, 2.0) for i in range(12)]
+    df, start = spark.createDataFrame(edges, "src long, dst long, travel_time double"), spark.createDataFrame([(0,)], "node long")
+    want = {(int(n), float(t)) for n, t in zip(*graph.Adjacency(*(np.array(c) for c in zip(*edges))).times(0))}
+    assert {(r.node, r.seconds) for r in graph.bucketed_times(df, start).collect()} == want
+
+
+def test_samples_of_hot_strata_and_repeated_rows(spark):
+    rows = [(i, "hot", 1.0) for i in range(5000)] + [(i, f"s{i % 7}", 2.0) for i in range(5000, 6000)] + [(7777, "same", 3.0)] * 1500 + [(8000 + i, None, 0.0) for i in range(100)]
+    df = spark.createDataFrame(rows, "cp_id long, distrito string, v double").repartition(6)
+    got = population.stratified_sample(df, 500).collect()
+    share = 500 / len(rows)
+    counts = Counter(r[1] for r in rows if r[1])
+    assert Counter(r.distrito for r in got) == {s: min(n, max(1, round(n * share))) for s, n in counts.items()}
+    assert max(Counter(r.cp_id for r in got if r.distrito != "same").values()) == 1
+    again = population.stratified_sample(df.repartition(3), 500).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+    assert Counter(map(tuple, population.stratified_sample(df, 500, seed=1).collect())) != Counter(map(tuple, got))
+
+
 def test_rounds_that_do_not_suffice_are_an_error(spark):
     edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(30)], "src long, dst long, travel_time double")
     start = spark.createDataFrame([(0,)], "node long")
     with pytest.raises(RuntimeError, match="still change"):
-        graph.node_times(edges, start, engine="relational", rounds=5)
+        graph.node_times(edges, start, engine="relational", rounds=2)  # rounds are buckets of a dozen edges
     whole = {r.node: r.seconds for r in graph.node_times(edges, start, engine="relational").collect()}
     assert whole == {i: float(i) for i in range(31)}
 
