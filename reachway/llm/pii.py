@@ -26,15 +26,27 @@ SYMBOLS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FORMS = {
     "email": (r"(?<![A-Za-z0-9._%+-])", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9][A-Za-z0-9-]*+(?:\.[A-Za-z0-9-]++){0,126}(?<=\.[A-Za-z]{2,63})", ""),
     "secret": (r"(?<=[=:][ ]{0,2}[\"'])", r"[0-9a-f]{32,}+", r"(?=[\"'])"),
-    "iban": (r"(?<![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", r"(?![A-Za-z0-9])"),
     "ip": (r"(?<![0-9.])", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", r"(?![0-9]|\.[0-9])"),
     "phone": (r"(?<![0-9A-Za-z+])", r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}", r"(?![0-9])"),
     "ssn": (r"(?<![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?![0-9]|-[0-9])"),
     "iso date": (r"(?<![0-9./-])", r"[0-9]{4}-[0-9]{2}-[0-9]{2}", r"(?![0-9]|[./-][0-9])"),
     "date": (r"(?<![0-9./-])", r"[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}", r"(?![0-9]|[./-][0-9])"),
-    "card": (r"(?<![0-9A-Za-z])", r"[0-9](?:[ -]?[0-9]){12,40}", r"(?![0-9A-Za-z])"),
 }
 PATTERN = "|".join(f"{before}(?:{form}){after}" for before, form, after in FORMS.values())
+#: Places where a card or an IBAN may start, whatever stands before, and as much as may belong to it, with one letter or digit more where one follows. Matches are empty, so that
+#: candidates overlap: every start is tried. Cards start a run of digits or with four digits; what a run of digits has besides doesn't matter.
+NUMBER = (
+    r"(?<![0-9A-Za-z])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?: ?[0-9A-Za-z])?|"
+    r"(?:(?<![0-9][ -])|(?=[0-9]{4}))[0-9](?:[ -]?[0-9]){12,18}(?:[ -]?[0-9A-Za-z])?))"
+)
+_CARD_LAYOUT = "^(?:(?:[0-9]{4,} ){0,4}|(?:[0-9]{4,}-){0,4})[0-9]+$"
+_IBAN_LAYOUT = "^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?$"
+# Countries and lengths of their IBANs, by the public registry (ISO 13616).
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 "
+    "KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 "
+    "TR26 UA29 VA22 VG24 XK20 YE30"
+)
 #: What any candidate has (tested): an at sign, two digits with a mark between them at most, or a quoted run of hexadecimal digits.
 _HINT = r"@|[0-9][ .-]?[0-9]|[\"'][0-9a-f]{32}"
 #: Country codes by the ITU's list (E.164), which is free of prefixes: those of one and two digits, all others have three.
@@ -248,56 +260,106 @@ def _email(m: Column, key: str) -> Column:
     return F.when(m.rlike("^[^@]*[A-Za-z0-9]"), F.concat(let(let(bare(name), lambda n: feistel(_codes(n, _plain), "email", key)), lambda s: laid_out(name, s)), F.regexp_extract(m, "(@.*)$", 1)))
 
 
-def _card_spans(m: Column) -> Column:
-    """(start, minus length) of the parts of a run between separators that may be a card: all groups but the last have four digits or more."""
-    at = F.sequence(F.lit(1), F.length(m))
-    starts = F.filter(at, lambda i: (i == 1) | F.substring(m, i - 1, F.lit(1)).isin(" ", "-"))
-    ends = F.filter(at, lambda i: (i == F.length(m)) | F.substring(m, i + 1, F.lit(1)).isin(" ", "-"))
-    both = F.flatten(F.transform(starts, lambda i: F.transform(ends, lambda e: F.struct(i.alias("i"), (i - e - 1).alias("n")))))
-    likely = lambda part: part.rlike("^(?:[0-9]{4,}[ -]){0,4}[0-9]+$") & F.length(bare(part)).between(13, 19)
-    return F.filter(both, lambda s: s["n"].between(-23, -13) & likely(F.substring(m, s["i"], -s["n"])))
+_PART = "struct<kind:string,new:string>"
 
 
-def _iban_spans(m: Column) -> Column:
-    """(start, minus length) of the beginnings that stop before a blank."""
-    ends = F.filter(F.sequence(F.lit(1), F.length(m)), lambda i: (i >= 15) & (F.substring(m, i + 1, F.lit(1)) == " "))
-    return F.transform(ends, lambda e: F.struct(F.lit(1).alias("i"), (-e).alias("n")))
+def _plain_part(text: Column) -> Column:
+    return F.struct(F.lit(None).cast("string").alias("kind"), text.alias("new"))
 
 
-def _within(m: Column, spans: Column, maker: Callable[[Column, str], Column], kind: Column, key: str) -> Column:
-    """A candidate that fails as a whole, cut around those of these parts that are valid: from left to right, the longest first, without overlaps."""
-    made = F.transform(F.array_sort(spans), lambda s: F.struct(s["i"].alias("i"), (s["i"] - s["n"]).alias("e"), maker(F.substring(m, s["i"], -s["n"]), key).alias("v")))
-    part = "struct<kind:string,new:string>"
-    plain = lambda v: F.struct(F.lit(None).cast("string").alias("kind"), v.alias("new"))
-    start = F.struct(F.lit(1).alias("e"), F.array().cast(f"array<{part}>").alias("parts"))
+def _ends(m: Column) -> Column:
+    """The lengths of m after which no letter or digit follows, longest first."""
+    at = F.sequence(F.length(m), F.lit(1), F.lit(-1))
+    return F.filter(at, lambda e: F.substring(m, e, F.lit(1)).rlike("[0-9A-Za-z]") & ~F.substring(m, e + 1, F.lit(1)).rlike("[0-9A-Za-z]"))
 
-    def add(acc: Column, x: Column) -> Column:
-        new = F.array(plain(F.substring(m, acc["e"], x["i"] - acc["e"])), F.struct(kind.alias("kind"), x["v"].alias("new")))
-        return F.when(x["v"].isNotNull() & (x["i"] >= acc["e"]), F.struct(x["e"].alias("e"), F.concat(acc["parts"], new).alias("parts"))).otherwise(acc)
 
-    return F.aggregate(made, start, add, lambda acc: F.concat(acc["parts"], F.array(plain(F.substring(m, acc["e"], F.length(m))))))
+def _number(m: Column, before: Column, key: str) -> Column:
+    """kind, new and n (its length) of the longest valid card or IBAN at the start of a candidate; null without one. before: the text up to the candidate.
 
+    What has the form of an IBAN and its country's length, but fails the check, is one part without a kind: its digits are no card. A card's groups but the last have four digits or more, with one kind of mark between them, or else it is a whole run of digits. After a plus sign, where phone numbers have up to 15 digits, it has more.
+    """
+    alone = ~F.coalesce(before, F.lit("")).rlike("[0-9][ -]$")
+    plus = F.coalesce(before, F.lit("")).rlike("[+]$")
 
-def pseudonym(m: Column, key: str) -> Column:
-    """kind and new value of the parts of a candidate, one after another; where validation fails, a null kind and the part itself."""
+    def card_at(e: Column) -> Column:
+        part, digits = F.substring(m, F.lit(1), e), F.length(bare(F.substring(m, F.lit(1), e)))
+        whole = alone & ~F.substring(m, e + 1, F.length(m)).rlike("[0-9]|^[A-Za-z]")
+        fine = digits.between(13, 19) & (part.rlike(_CARD_LAYOUT) | (whole & part.rlike("^[0-9 -]+$"))) & (~plus | (digits > 15))
+        return F.struct(F.lit("card").alias("kind"), F.when(fine, _card(part, key)).alias("new"), e.alias("n"))
 
-    makers = {"email": _email, "secret": lambda m, key: feistel(_codes(m, _hex), "secret", key), "iban": _iban, "ip": _ip, "phone": _phone, "ssn": _ssn, "iso date": _iso_date, "date": _date, "card": _card}
-    new, none = None, F.lit(None).cast("string")
+    def iban_at(e: Column) -> Column:
+        part = F.substring(m, F.lit(1), e)
+        own = (F.instr(F.lit(IBAN_LENGTHS), F.concat(F.substring(m, 1, 2), F.length(bare(part)).cast("string"))) > 0) & part.rlike(_IBAN_LAYOUT)
 
-    spans = {"iban": _iban_spans, "card": _card_spans}
+        def settled(v: Column) -> Column:
+            return F.struct(F.when(v.isNotNull(), F.lit("iban")).alias("kind"), F.coalesce(v, F.when(own, part)).alias("new"), e.alias("n"))
 
-    def settled(name: str) -> Callable[[Column], Column]:
-        kind = F.lit(name.split()[-1])
+        return let(F.when(own, _iban(part, key)), settled)
+
+    found = lambda tried: F.get(F.filter(tried, lambda x: x["new"].isNotNull()), F.lit(0))
+    return F.when(m.rlike("^[0-9]"), found(F.transform(_ends(m), card_at))).otherwise(found(F.transform(_ends(m), iban_at)))
+
+
+def numbers(t: Column, key: str) -> Column:
+    """t as parts (kind, new), in order: its valid cards and IBANs, from left to right (of overlapping ones, the rest of the later one is a part of its own), and between them plain text with a null kind."""
+
+    def from_pieces(x: Column) -> Column:
+        # pieces[i] starts with candidate i; what stands before the first candidate is kept apart
+        ahead = F.when(F.size(x["p"]) > F.size(x["c"]), F.get(x["p"], F.lit(0))).otherwise(F.lit(""))
+        pieces = F.when(F.size(x["p"]) > F.size(x["c"]), F.slice(x["p"], F.lit(2), F.greatest(F.size(x["p"]) - 1, F.lit(0)))).otherwise(x["p"])
+        return let(F.struct(ahead.alias("ahead"), pieces.alias("p"), x["c"].alias("c")), valid)
+
+    def valid(x: Column) -> Column:
+        found = F.transform(x["c"], lambda m, i: _number(m, F.when(i == 0, x["ahead"]).otherwise(F.get(x["p"], i - 1)), key))
+        return let(F.struct(x["ahead"].alias("ahead"), x["p"].alias("p"), found.alias("f")), segments)
+
+    def segments(x: Column) -> Column:
+        """The text before the first valid candidate, and for each one the text up to the next."""
+        at = F.filter(F.sequence(F.lit(1), F.size(x["f"])), lambda i: F.element_at(x["f"], i).isNotNull())
+
+        def cut(at: Column) -> Column:
+            end = lambda j: F.coalesce(F.get(at, j + 1), F.size(x["p"]) + 1)
+            each = F.transform(at, lambda v, j: F.struct(F.element_at(x["f"], v).alias("v"), F.array_join(F.slice(x["p"], v, end(j) - v), "").alias("s")))
+            return F.struct(F.concat(x["ahead"], F.array_join(F.slice(x["p"], F.lit(1), F.get(at, F.lit(0)) - 1), "")).alias("ahead"), each.alias("each"))
 
-        def of(v: Column) -> Column:
-            whole = F.array(F.struct(F.when(v.isNotNull(), kind).alias("kind"), F.coalesce(v, m).alias("new")))
-            return F.when(v.isNull(), _within(m, spans[name](m), makers[name], kind, key)).otherwise(whole) if name in spans else whole
+        return F.when(F.size(at) > 0, let(let(at, cut), folded)).otherwise(F.array(_plain_part(t)))
 
-        return of
+    def folded(x: Column) -> Column:
+        def add(acc: Column, y: Column) -> Column:
+            s, v, skip = y["s"], y["v"], acc["skip"]
+            # what overlaps the one before it gives the end of its pseudonym, so that no digit of a valid number stays
+            over = (skip > 0) & (v["n"] > skip) & v["kind"].isNotNull()
+            n = F.when((skip == 0) | over, v["n"]).otherwise(skip)
+            new = F.when((skip == 0) | over, F.array(F.struct(v["kind"].alias("kind"), F.substring(v["new"], skip + 1, F.length(v["new"])).alias("new")))).otherwise(F.array().cast(f"array<{_PART}>"))
+            rest = F.when(n < F.length(s), F.array(_plain_part(F.substring(s, n + 1, F.length(s))))).otherwise(F.array().cast(f"array<{_PART}>"))
+            return F.struct(F.greatest(n - F.length(s), F.lit(0)).cast("int").alias("skip"), F.concat(acc["parts"], new, rest).alias("parts"))
 
+        start = F.struct(F.lit(0).alias("skip"), F.array(_plain_part(x["ahead"])).cast(f"array<{_PART}>").alias("parts"))
+        return F.aggregate(x["each"], start, add, lambda acc: acc["parts"])
+
+    found = let(F.struct(F.split(t, NUMBER, -1).alias("p"), F.regexp_extract_all(t, F.lit(NUMBER), F.lit(1)).alias("c")), from_pieces)
+    return F.when(t.rlike(NUMBER), found).otherwise(F.array(_plain_part(t)))
+
+
+def pseudonym(m: Column, key: str) -> Column:
+    """kind and new value of a match of PATTERN; where validation fails, a null kind and the match itself."""
+    makers = {"email": _email, "secret": lambda m, key: feistel(_codes(m, _hex), "secret", key), "ip": _ip, "phone": _phone, "ssn": _ssn, "iso date": _iso_date, "date": _date}
+
+    def settled(name: str) -> Callable[[Column], Column]:
+        return lambda v: F.struct(F.when(v.isNotNull(), F.lit(name.split()[-1])).alias("kind"), F.coalesce(v, m).alias("new"))
+
+    new = None
     for name, (_, form, _) in FORMS.items():
         new = (F if new is None else new).when(m.rlike(f"^(?:{form})$"), let(makers[name](m, key), settled(name)))
-    return new.otherwise(F.array(F.struct(none.alias("kind"), m.alias("new"))))
+    return new.otherwise(_plain_part(m))
+
+
+def others(t: Column, key: str) -> Column:
+    """t as parts (kind, new), in order: what PATTERN finds, and the text between."""
+    between = F.split(t, PATTERN, -1)
+    made = F.transform(F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)), lambda m: pseudonym(m, key))
+    both = F.flatten(F.zip_with(between, made, lambda p, m: F.when(m.isNull(), F.array(_plain_part(p))).otherwise(F.array(_plain_part(p), m))))
+    return F.when(t.rlike(PATTERN), both).otherwise(F.array(_plain_part(t)))
 
 
 def session_key(docs: DataFrame) -> str | None:
@@ -309,7 +371,8 @@ def pseudonymise(docs: DataFrame, key: str | None = None, text: str = "text") ->
 
     Handled: e-mail names, IBAN (mod 97), IPv4 addresses, phone numbers with a country code (8 to 15 digits), US social security numbers,
     calendar dates from 1700 to 2099, card numbers of 13 to 19 digits (Luhn) and quoted hexadecimal secrets. Numbers that fail their
-    check stay as they are; of a run of digits (41 are looked at together) or an IBAN with more behind it, that fails as a whole, the valid parts between separators are replaced, from left to right and the longest first.
+    check stay as they are; IBANs are those of the public registry's countries and lengths. Cards and IBANs are tried at every start of a group of digits or letters, whatever stands before or behind, from left to right and the longest first; a card's groups but the last have four digits or
+    more and one kind of mark between them, or else a run of digits is one as a whole. Where two valid ones overlap, the rest of the later one goes too, as a part of its own.
     key: by default the session's spark.reachway.pii.key; without either this raises, since pseudonyms by a known key can be inverted.
 
     A null text stays null, with no pseudonyms; an empty one stays empty; an empty table gives an empty table. Texts of any length are searched as a whole, in time that grows with their length. Input columns called
@@ -320,14 +383,13 @@ def pseudonymise(docs: DataFrame, key: str | None = None, text: str = "text") ->
     if not key:
         raise ValueError(f"no key: pass one or set {KEY_SETTING}")
     t = F.col(f"`{text}`")
-    found = F.when(t.rlike(_HINT), F.transform(F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)), lambda m: F.transform(pseudonym(m, key), lambda p: F.struct(p["kind"].alias("kind"), p["new"].alias("value")))))
-    empty = F.array().cast("array<array<struct<kind:string,value:string>>>")
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), t.alias("t"), F.coalesce(found, empty).alias("found"))
-    parts = F.split(F.col("t"), PATTERN, -1)
-    joined = F.when(F.size("found") == 0, F.col("t")).otherwise(F.array_join(F.zip_with(parts, F.transform("found", lambda x: F.array_join(F.transform(x, lambda y: y["value"]), "")), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), ""))
+    parts = F.flatten(F.transform(numbers(t, key), lambda p: F.when(p["kind"].isNull(), others(p["new"], key)).otherwise(F.array(p))))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), t.alias("t"), F.when(t.rlike(_HINT), parts).alias("parts"))
+    whole = F.when(F.col("parts").isNull(), F.col("t")).otherwise(F.array_join(F.transform("parts", lambda p: p["new"]), ""))
+    valid = F.transform(F.filter("parts", lambda p: p["kind"].isNotNull()), lambda p: F.struct(p["kind"].alias("kind"), p["new"].alias("value")))
+    valid = F.coalesce(valid, F.array().cast("array<struct<kind:string,value:string>>"))
     names = [c for c in docs.columns if c.lower() not in ("n_pii", "pii")]
-    valid = F.filter(F.flatten("found"), lambda x: x["kind"].isNotNull())
-    return row.select(*[(joined if c == text else F.col(f"row.`{c}`")).alias(c) for c in names], F.size(valid).cast("long").alias("n_pii"), valid.alias("pii"))
+    return row.select(*[(whole if c == text else F.col(f"row.`{c}`")).alias(c) for c in names], F.size(valid).cast("long").alias("n_pii"), valid.alias("pii"))
 
 
 def pii_report(docs: DataFrame) -> DataFrame:

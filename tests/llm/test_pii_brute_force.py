@@ -132,35 +132,52 @@ def email(m):
 MAKERS = {"email": email, "secret": lambda m: network(m, "secret", True), "iban": iban, "ip": ip, "phone": phone, "ssn": ssn, "iso date": iso, "date": date, "card": card}
 
 
-def spans(name, m):
-    if name == "iban":
-        return [(0, e) for e in range(len(m), 14, -1) if m[e : e + 1] == " "]
-    starts = [i for i in range(len(m)) if i == 0 or m[i - 1] in " -"]
-    ends = [i for i in range(1, len(m) + 1) if i == len(m) or m[i] in " -"]
-    good = lambda s: 13 <= len(bare(s)) <= 19 and all(len(g) >= 4 for g in regex.split("[ -]", s)[:-1]) and len(regex.split("[ -]", s)) <= 5
-    return sorted(((a, e) for a in starts for e in ends if 13 <= e - a <= 23 and good(m[a:e])), key=lambda x: (x[0], -x[1]))
+def number_at(text, i):
+    """Length and new value of the longest valid card or IBAN that starts here."""
+    if i and (text[i - 1] in SYMBOLS):
+        return None
+    after = lambda e: text[i + e : i + e + 1] not in tuple(SYMBOLS)
+    if run := regex.match("[0-9](?:[ -]?[0-9])*", text[i : i + 200]):
+        first, plus = not regex.search("[0-9][ -]$", text[:i][-2:]), text[:i].endswith("+")
+        for e in range(len(run[0]), 0, -1):
+            part = run[0][:e]
+            likely = all(len(g) >= 4 for g in regex.split("[ -]", part)[:-1]) and len(regex.split("[ -]", part)) <= 5 and not (" " in part and "-" in part)
+            if part[-1].isdigit() and after(e) and (likely or (first and e == len(run[0]))) and (not plus or len(bare(part)) > 15) and (v := card(part)):
+                return e, "card", v
+    elif run := regex.match("[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9])*", text[i : i + 200]):
+        for e in range(len(run[0]), 0, -1):
+            part = run[0][:e]
+            if after(e) and regex.fullmatch("[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", part) and f"{part[:2]}{len(bare(part))}" in pii.IBAN_LENGTHS.split():
+                return (e, "iban", v) if (v := iban(part)) else (e, None, part)
+    return None
 
 
 def brute(text):
-    found, out, at = [], [], 0
-    for hit in regex.finditer(pii.PATTERN, text):
-        m = hit[0]
-        name = next(k for k, (_, form, _) in pii.FORMS.items() if regex.fullmatch(form, m))
-        parts, new = [], MAKERS[name](m)
-        if new is not None:
-            parts = [(0, len(m), new)]
-        elif name in ("iban", "card"):
-            free = 0
-            for a, e in spans(name, m):
-                if a >= free and (v := MAKERS[name](m[a:e])) is not None:
-                    parts.append((a, e, v))
-                    free = e
-        for a, e, v in parts:
-            out.append(text[at : hit.start() + a])
-            out.append(v)
-            found.append((name.split()[-1], v))
-            at = hit.start() + e
-    return "".join(out) + text[at:], found
+    parts, at = [], 0
+    for i in range(len(text)):
+        if hit := number_at(text, i):
+            end = i + hit[0]
+            if i >= at:
+                parts += [(None, text[at:i]), hit[1:]]
+                at = end
+            elif end > at and hit[1]:
+                parts.append((hit[1], hit[2][at - i :]))
+                at = end
+    out, found = [], []
+    for kind, t in [*parts, (None, text[at:])]:
+        if kind:
+            out.append(t)
+            found.append((kind, t))
+            continue
+        at = 0
+        for m in regex.finditer(pii.PATTERN, t):
+            name = next(k for k, (_, form, _) in pii.FORMS.items() if regex.fullmatch(form, m[0]))
+            if (new := MAKERS[name](m[0])) is not None:
+                out += [t[at : m.start()], new]
+                found.append((name.split()[-1], new))
+                at = m.end()
+        out.append(t[at:])
+    return "".join(out), found
 
 
 def numbers(rnd):
@@ -198,7 +215,17 @@ def test_mixed_lines(spark):
     rnd = random.Random(12)
     pool = numbers(rnd)
     lines = [rnd.choice([" ", ", ", "; ", " "]).join(rnd.choice(pool) for _ in range(rnd.randint(1, 9))) for _ in range(1_500)]
-    assert check(spark, [*pool, *lines]) == {k.split()[-1] for k in pii.FORMS}
+    assert check(spark, [*pool, *lines]) == {"card", "iban", *(k.split()[-1] for k in pii.FORMS)}
+
+
+def test_rows_of_numbers_with_planted_values(spark):
+    """Numbers and codes of all lengths in rows, with valid cards and IBANs among them."""
+    rnd = random.Random(31)
+    pool = [x for x in numbers(rnd) if bare(x) == x.translate({32: None, 45: None}) and len(bare(x)) > 12 and (card(x) if bare(x).isdigit() else iban(x))]
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    codes = lambda: rnd.choice(["REF", "AB12", "DE99", "X1", "WEST", digits(rnd.randint(1, 9)), digits(4), digits(2), digits(rnd.randint(10, 45))])
+    rows = [rnd.choice([" ", " ", "-", ", ", "\n"]).join(rnd.choice(pool) if rnd.random() < 0.15 else codes() for _ in range(rnd.randint(1, 60))) for _ in range(600)]
+    assert check(spark, rows) == {"card", "iban"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")

@@ -23,3 +23,27 @@ def test_cards_and_ibans_with_more_beside_them(spark):
         assert kinds == ["card"] and "".join(c for c in values[0] if c.isdigit()) == want and text == f"pay {b}{values[0]}{a} now"
     first = out[len(cases)]
     assert [o for o in out[len(cases) :]] == [(first[0] + x, ["iban"], first[2]) for x in tails]
+
+
+def test_cards_and_ibans_behind_any_numbers_and_codes(spark):
+    number = "4111 1111 1111 1111"
+    before = ["row " + "123456 " * 6, " ".join(str(10 + i) for i in range(18)) + " ", " ".join(map(str, range(1, 23))) + " ", "9" * 60 + " ", "1234 " * 40, "12-34-56-78-90-12-34-56-78-90-12-34-56-78-90-12-34-56-"]
+    want = card("4111111111111111")
+    for b, (text, kinds, _) in zip(before, masked(spark, [b + number + " end" for b in before]), strict=True):
+        assert number not in text and text.endswith(f"{want[:4]} {want[4:8]} {want[8:12]} {want[12:]} end") and kinds[-1] == "card", b
+    bank = "GB82 WEST 1234 5698 7654 32"
+    before = ["REF AB12 ", "AB12 CD34 ", "X ", "DE89 DE89 DE89 DE89 ", "", "AB12 4111 1111 1111 1111 "]
+    for b, (text, kinds, _) in zip(before, masked(spark, [b + bank + " end" for b in before]), strict=True):
+        assert bank not in text and number not in text and kinds == (["card"] if number in b else []) + ["iban"], b
+
+
+def test_dates_and_ids_beside_cards_are_found(spark):
+    out = masked(spark, ["20240115 123-45-6788 4111 1111 1111 1111 1990-02-28", "+49 30 1234567 4111111111111111"])
+    assert out[0][1] == ["ssn", "card", "date"] and out[1][1] == ["phone", "card"]
+
+
+def test_overlapping_numbers_leave_no_digits(spark):
+    """6789 4111 1111 1111 happens to be valid, too."""
+    ((text, kinds, values),) = masked(spark, ["123-45-6789 4111 1111 1111 1111 end"])
+    want = card("4111111111111111")
+    assert kinds == ["card", "card"] and values[1] == " " + want[12:] and text.endswith(want[12:] + " end")
