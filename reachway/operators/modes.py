@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from reachway import config
 from reachway.functions.geo import GridIndex, utm, utm_epsg
 from reachway.functions.workers import ready
+from reachway.operators.leaves import nearest_by_leaves
 from reachway.operators.ranks import group_medians
 
-#: Target points up to this number (24 bytes each) are broadcast as a grid index; more of them meet by cells in shuffles.
+#: Target points up to this number (24 bytes each) are broadcast as a grid index; more of them are met by leaves in shuffles.
 BROADCAST_POINTS = 2_000_000
 
 
@@ -64,9 +65,8 @@ def nearest_points(points: DataFrame, targets: DataFrame, k: int = 1, skip_self:
     """id, rank (1 .. k), target, dist: the k nearest targets of each point, exactly, with ties to the least id. Both have id (long), x and y (double); rows
     with nulls are left out.
 
-    Up to broadcast_points targets go to all workers as a grid index, and points never move. More of them meet by cells: each round joins the points that
-    are left with the targets of the nine cells around them, accepts distances within one cell (no closer target can lie outside), and
-    doubles the cell for the others.
+    Up to broadcast_points targets go to all workers as a grid index, and points never move. More of them are packed into the leaves of a quadtree (leaves.py), and points meet the leaves that
+    they can have neighbours in.
     """
     spark = ready(points.sparkSession)
     points = points.select(F.col("id").cast("long"), F.col("x").cast("double"), F.col("y").cast("double")).dropna()
@@ -76,34 +76,7 @@ def nearest_points(points: DataFrame, targets: DataFrame, k: int = 1, skip_self:
         t = targets.toPandas()
         shared = spark.sparkContext.broadcast((t["id"].to_numpy(np.int64), t["x"].to_numpy(float), t["y"].to_numpy(float)))
         return points.mapInArrow(_search(shared, k, skip_self), "id long, rank int, target long, dist double")
-    box = targets.agg(*[f(c) for c in "xy" for f in (F.min, F.max)]).first()
-    reach = points.agg(*[f(c) for c in "xy" for f in (F.min, F.max)]).first()
-    x0, y0 = min(box[0], reach[0]), min(box[2], reach[2])
-    extent = max(max(box[1], reach[1]) - x0, max(box[3], reach[3]) - y0, 1e-9)
-    cell, found, left = max(np.sqrt(max(box[1] - box[0], 1e-9) * max(box[3] - box[2], 1e-9) * 2 * k / n), extent / (1 << 20)), None, points
-    while True:
-        last = cell >= extent
-        grid = lambda df, c=cell: df.withColumn("cx", F.floor((F.col("x") - x0) / c)).withColumn("cy", F.floor((F.col("y") - y0) / c))
-        around = grid(left).withColumn("dx", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("dy", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-        around = around.select("id", "x", "y", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-        met = around.join(grid(targets).select(F.col("id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty"), "cx", "cy"), ["cx", "cy"])
-        met = met.filter("id <> target") if skip_self else met
-        d = F.sqrt((F.col("tx") - F.col("x")) * (F.col("tx") - F.col("x")) + (F.col("ty") - F.col("y")) * (F.col("ty") - F.col("y")))
-        if k > 1:  # the rank is limited before the shuffle and after it, so that no point's candidates are gathered
-            met = met.select("id", d.alias("dist"), "target").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("dist", "target"))).filter(F.col("r") <= k)
-            near = met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dist", "target"))).alias("best"))
-        else:
-            near = met.groupBy("id").agg(F.array(F.min(F.struct(d.alias("dist"), "target"))).alias("best"))
-        near = near.checkpoint()
-        sure = near if last else near.filter((F.size("best") == k) & (F.element_at("best", -1)["dist"] < cell))
-        rows = sure.select("id", F.posexplode("best").alias("p", "b")).select("id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.target").alias("target"), F.col("b.dist").alias("dist"))
-        found = rows if found is None else found.unionByName(rows)
-        if last:
-            return found
-        left = left.join(sure.select("id"), "id", "left_anti").checkpoint()
-        if left.isEmpty():
-            return found
-        cell *= 2
+    return nearest_by_leaves(points, targets, n, k, skip_self)
 
 
 def projected(df: DataFrame, zone: DataFrame | None = None) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries of sources and sinks: each writes a fixture in its format to the shared folder, reads it back through its source, and has SQL over the tables that the fixture came from.
 
-Importing this module completes QUERIES and ORACLES. Fixtures in formats that Spark doesn't write are encoded on the driver from the supplier and nation tables.
+Importing this module completes QUERIES and ORACLES.
 """
 
 from __future__ import annotations
@@ -16,10 +16,9 @@ from reachway import config
 from reachway.functions import text
 from reachway.functions.workers import ready
 from reachway.operators import access, graph, modes, population, quality, scenario
-from reachway.plans import encoders
 from reachway.plans.fixtures import fixture
 from reachway.plans.queries import _BEST, _DM, _DRIVABLE, _FACTOR, _HIGHWAY, _IN, _MAXSPEED, _MODES, _RAW, _REPORT, _ROADS, ORACLES, QUERIES, _by, _CATEGORY, _comparison, _matrix, PARTS_SQL, polygon_parts, _points, _query, _raw, _rounded, _sql, _svn
-from reachway.sources import download, files, geoparquet, graphs, osm, shapefile, synthetic
+from reachway.sources import download, files, geoparquet, graphs, osm, overpass, shapefile, synthetic
 from reachway.sources.paths import write_bytes
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -34,12 +33,6 @@ def _plain_csv(df: DataFrame, path: str, sep: str = ",") -> str:
     return path
 
 
-def _shapefile(stem: str, fields: dict[str, int], rows: list[tuple], shapes: list) -> str:
-    for ending, data in encoders.shapefile(fields, [tuple("" if v is None else str(v) for v in r) for r in rows], shapes).items():
-        write_bytes(f"{stem}.{ending}", data)
-    return f"{stem}.shp"
-
-
 # --- the register of facilities and the population table
 
 _CAPACITY = "CAST(CASE categoria " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in config.CAPACITY_BY_CATEGORY.items()) + " ELSE 1 END AS DOUBLE)"
@@ -79,13 +72,20 @@ def source_population_csv(s: SparkSession, d: str) -> DataFrame:
 # --- shapefiles, map extracts, GeoParquet
 
 _KINDS = ["Ciudad", "CASERÍO", "villa", "Pueblo Joven", "otro"]
-_PLACES = {"OBJECTID": 8, "CÓDIGO": 4, "NOM_POBLAD": 40, "DEP": 30, "PROV": 30, "DIST": 20, "CAT_POBLAD": 30, "CATEGORIA": 30}
 
 
-def _places(s: SparkSession, d: str, stem: str) -> str:
-    rows = fixture(s, d, "fx_facility").join(fixture(s, d, "fx_polygon").select("provincia", F.round((F.col("x0") + 81) * 4).cast("long").alias("k")), F.col("facility_id") % 25 == F.col("k")).orderBy("facility_id").collect()
-    fields = [(r.facility_id, None, r.nombre, r.departamento, r.provincia.lower(), "dístrito uno", _KINDS[r.facility_id % 5], "CAPITAL DE DISTRITO" if r.facility_id % 6 == 0 else "CENTRO") for r in rows]
-    return _shapefile(stem, _PLACES, fields, [(r.lon, r.lat) for r in rows])
+def _places(s: SparkSession, d: str, folder: str) -> str:
+    """Suppliers as the point layer, written by tasks."""
+    names = fixture(s, d, "fx_polygon").select("provincia", F.round((F.col("x0") + 81) * 4).cast("long").alias("k"))
+    rows = fixture(s, d, "fx_facility").join(names, F.col("facility_id") % 25 == F.col("k"))
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("facility_id") % 5 + 1).cast("int"))
+    layer = rows.select(
+        F.col("facility_id").alias("OBJECTID"), F.lit(None).cast("string").alias("CÓDIGO"), F.col("nombre").alias("NOM_POBLAD"), F.col("departamento").alias("DEP"), F.lower("provincia").alias("PROV"), F.lit("dístrito uno").alias("DIST"),
+        kind.alias("CAT_POBLAD"), F.when(F.col("facility_id") % 6 == 0, "CAPITAL DE DISTRITO").otherwise("CENTRO").alias("CATEGORIA"), "lon", "lat",
+    )
+    shapefile.register(s)
+    layer.write.format("shapefile").mode("append").save(folder)
+    return folder
 
 
 _PLACED = ", np AS (SELECT provincia, CAST(round((x0 + 81) * 4) AS BIGINT) AS k FROM fx_polygon), pl AS (SELECT fx_facility.*, np.provincia AS prov FROM fx_facility JOIN np ON facility_id % 25 = k)"
@@ -98,15 +98,20 @@ _KIND_SQL = "['" + "', '".join(_KINDS) + "'][CAST(facility_id % 5 + 1 AS INT)]"
 )
 def source_settlements_shp(s: SparkSession, d: str) -> DataFrame:
     shapefile.register(s)
-    raw = s.read.format("shapefile").load(_places(s, d, _folder(s, "places") + "/p"))
+    raw = s.read.format("shapefile").load(_places(s, d, _folder(s, "places")))
     return files.settlements(raw, "asia").filter("codigo_ign IS NULL").drop("codigo_ign")
 
 
-def _areas(s: SparkSession, d: str, stem: str, departments: dict[str, str] | None = None) -> str:
-    rows = fixture(s, d, "fx_polygon").orderBy("provincia").collect()
-    fields = [(f"{i + 1:06d}", (departments or {}).get(r.provincia, "X"), r.provincia, "DISTRITO UNO") for i, r in enumerate(rows)]
-    rings = [[(r.x0, r.y0), (r.x0, r.y1), (r.x1, r.y1), (r.x1, r.y0), (r.x0, r.y0)] for r in rows]
-    return _shapefile(stem, {"IDDIST": 6, "DEPARTAMEN": 30, "PROVINCIA": 30, "DISTRITO": 30}, fields, rings)
+def _areas(s: SparkSession, d: str, folder: str, department: str = "X") -> str:
+    """Provinces as the polygon layer, written by tasks."""
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    ring = F.array(*[corner(x, y) for x, y in (("x0", "y0"), ("x0", "y1"), ("x1", "y1"), ("x1", "y0"), ("x0", "y0"))])
+    rows = fixture(s, d, "fx_polygon")
+    number = rows.alias("a").join(rows.select(F.col("provincia").alias("other")), F.col("other") <= F.col("provincia")).groupBy("provincia").agg(F.count("*").alias("n"))  # 25 provinces
+    layer = rows.join(number, "provincia").select(F.format_string("%06d", "n").alias("IDDIST"), F.lit(department).alias("DEPARTAMEN"), F.col("provincia").alias("PROVINCIA"), F.lit("DISTRITO UNO").alias("DISTRITO"), ring.alias("ring"))
+    shapefile.register(s)
+    layer.write.format("shapefile").mode("append").save(folder)
+    return folder
 
 
 def _extent(ring: str) -> list:
@@ -120,7 +125,7 @@ def _extent(ring: str) -> list:
 )
 def source_districts_shp(s: SparkSession, d: str) -> DataFrame:
     shapefile.register(s)
-    return files.districts(s.read.format("shapefile").load(_areas(s, d, _folder(s, "areas") + "/d")), "x").select("ubigeo", "departamento", "provincia", "distrito", *_extent("ring"))
+    return files.districts(s.read.format("shapefile").load(_areas(s, d, _folder(s, "areas"))), "x").select("ubigeo", "departamento", "provincia", "distrito", *_extent("ring"))
 
 
 @_query(
@@ -154,16 +159,22 @@ def source_polygon_parts(s: SparkSession, d: str) -> DataFrame:
 _ROAD_BOX = {"north": -5.0, "south": -12.0, "east": -72.0, "west": -78.0}
 
 
-def _extract(s: SparkSession, d: str, path: str) -> str:
-    """Suppliers as nodes; a way leads through every ten of them and the next one."""
-    rows = fixture(s, d, "fx_facility").select("facility_id", "lon", "lat").orderBy("facility_id").collect()
-    ids = {r.facility_id for r in rows}
-    ways = []
-    for k in sorted({i // 10 for i in ids}):
-        tags = {"highway": _ROADS[k % 8]} | ({"oneway": "yes"} if k % 3 == 0 else {}) | ({"maxspeed": "50"} if k % 4 == 0 else {"maxspeed": "30 mph"} if k % 4 == 1 else {})
-        ways.append((1000 + k, [i for i in range(10 * k, 10 * k + 11) if i in ids], tags))
-    write_bytes(path, encoders.map_extract([(r.facility_id, r.lon, r.lat) for r in rows], ways))
-    return path
+def _extract(s: SparkSession, d: str, folder: str) -> str:
+    """Suppliers as nodes; a way leads through every ten of them and the next one. Tasks write both."""
+    able = fixture(s, d, "fx_facility").select(F.col("facility_id").alias("id"), "lon", "lat")
+    k = F.floor(F.col("id") / 10)
+    on = able.select("id", F.explode(F.when((F.col("id") % 10 == 0) & (k >= 1), F.array(k, k - 1)).otherwise(F.array(k))).alias("k"))
+    ways = on.groupBy("k").agg(F.array_sort(F.collect_list("id")).alias("refs"))
+    entry = lambda name, value: F.struct(F.lit(name).alias("key"), value.alias("value"))
+    tags = [
+        entry("highway", F.element_at(F.array(*map(F.lit, _ROADS)), (F.col("k") % 8 + 1).cast("int"))), entry("oneway", F.when(F.col("k") % 3 == 0, "yes")),
+        entry("maxspeed", F.when(F.col("k") % 4 == 0, "50").when(F.col("k") % 4 == 1, "30 mph")),
+    ]
+    osm.register(s)
+    able.select(F.col("id").alias("node_id"), F.col("lon").alias("x"), F.col("lat").alias("y")).write.format("osm_nodes").mode("append").save(folder)
+    own = F.map_from_entries(F.filter(F.array(*tags), lambda t: t["value"].isNotNull()))
+    ways.select((F.col("k") + 1000).alias("way_id"), "refs", own.alias("tags")).write.format("osm_ways").mode("append").save(folder)
+    return folder
 
 
 _WAYS = f""", ref AS (SELECT facility_id AS id, facility_id // 10 AS k, lon, lat FROM fx_facility UNION ALL SELECT facility_id, facility_id // 10 - 1, lon, lat FROM fx_facility WHERE facility_id % 10 = 0 AND facility_id // 10 >= 1),
@@ -177,19 +188,42 @@ both_ways AS (SELECT src, dst, k, highway, raw, length FROM seg UNION ALL SELECT
 @_query("source_map_extract", _sql(_WAYS + f" SELECT src, dst, round(length, 3) AS length, round(length / (coalesce({_MAXSPEED}, {_HIGHWAY}, 30e0) * 1000 / 3600), 3) AS travel_time FROM both_ways WHERE highway IN {_DRIVABLE}", "fx_facility"))
 def source_map_extract(s: SparkSession, d: str) -> DataFrame:
     osm.register(s)
-    path = _extract(s, d, _folder(s, "extract") + "/x.osm.pbf")
+    path = _extract(s, d, _folder(s, "extract"))
     nodes, ways = osm.in_extract(*(s.read.format(f).load(path) for f in ("osm_nodes", "osm_ways")), _ROAD_BOX)
     edges = graph.profile_edges(osm.road_edges(nodes, ways), "drive")
     return edges.select("src", "dst", F.round("length", 3).alias("length"), F.round("travel_time", 3).alias("travel_time"))
 
 
+_TILES = 3
+
+
+@_query("source_overpass", ORACLES["source_map_extract"])
+def source_overpass(s: SparkSession, d: str) -> DataFrame:
+    """The same roads from recorded answers of the service by tile: of each tile the ways with a node inside, and all nodes of these."""
+    extract, folder = _extract(s, d, _folder(s, "extract")), _folder(s, "answers")
+    nodes, ways = (s.read.format(f).load(extract) for f in ("osm_nodes", "osm_ways"))
+    boxes = s.createDataFrame([(i, *map(float, t)) for i, t in enumerate(overpass.tiles(_ROAD_BOX, _TILES))], "tile int, south double, west double, north double, east double")
+    refs = ways.select("way_id", F.explode("refs").alias("node_id"))
+    inside = nodes.join(F.broadcast(boxes), F.col("x").between(F.col("west"), F.col("east")) & F.col("y").between(F.col("south"), F.col("north"))).select("tile", "node_id")  # nine tiles
+    seen = refs.join(inside, "node_id").select("tile", "way_id").distinct()
+    way = ways.join(seen, "way_id").select("tile", F.struct(F.lit("way").alias("type"), F.col("way_id").alias("id"), F.col("refs").alias("nodes"), "tags").alias("e")).select("tile", F.to_json("e").alias("e"))
+    of = refs.join(seen, "way_id").select("tile", "node_id").distinct().join(nodes, "node_id")
+    node = of.select("tile", F.to_json(F.struct(F.lit("node").alias("type"), F.col("node_id").alias("id"), F.col("x").alias("lon"), F.col("y").alias("lat"))).alias("e"))
+    answers = way.unionByName(node).select("tile", F.concat(F.lit('{"elements": ['), "e", F.lit("]}")).alias("value"))
+    answers.write.partitionBy("tile").text(folder)
+    edges = graph.profile_edges(osm.road_edges(*overpass.elements(s, _ROAD_BOX, tiles=_TILES, recorded=folder)), "drive")
+    return edges.select("src", "dst", F.round("length", 3).alias("length"), F.round("travel_time", 3).alias("travel_time"))
+
+
 @_query("source_graph_cascade", "WITH n AS (SELECT count(*) AS n FROM nation) SELECT 1 AS paso, 'osm-pbf' AS fuente, n AS n_nodes, 2 * (n - 1) AS n_edges FROM n UNION ALL SELECT 2, 'osm-pbf', n, 2 * (n - 1) FROM n UNION ALL SELECT 3, 'synthetic', 250, 2500")
 def source_graph_cascade(s: SparkSession, d: str) -> DataFrame:
     """A graph from an extract, then from the cache, then the stand-in for an extract that can't be read."""
     folder = _folder(s, "graphs")
-    nations = sorted(r[0] for r in s.read.parquet(f"{d}/nation.parquet").select("n_nationkey").collect())
-    nodes = [(int(k) + 1, -80.6 + 0.01 * k, -4.0 + 0.02 * k) for k in nations]
-    write_bytes(f"{folder}/good.osm.pbf", encoders.map_extract(nodes, [(7, [n[0] for n in nodes], {"highway": "residential"})]))
+    osm.register(s)
+    nodes = s.read.parquet(f"{d}/nation.parquet").select((F.col("n_nationkey").cast("long") + 1).alias("node_id"), (-80.6 + 0.01 * F.col("n_nationkey")).alias("x"), (-4.0 + 0.02 * F.col("n_nationkey")).alias("y"))
+    nodes.write.format("osm_nodes").mode("append").save(f"{folder}/good.osm.pbf")
+    way = nodes.agg(F.array_sort(F.collect_list("node_id")).alias("refs")).select(F.lit(7).cast("long").alias("way_id"), "refs", F.create_map(F.lit("highway"), F.lit("residential")).alias("tags"))
+    way.write.format("osm_ways").mode("append").save(f"{folder}/good.osm.pbf")
     write_bytes(f"{folder}/bad.osm.pbf", b"\0\0\0\3abc")
     out = None
     for step, name in enumerate(("good", "good", "bad"), 1):
@@ -300,20 +334,58 @@ def source_downloads(s: SparkSession, d: str) -> DataFrame:
 # --- synthetic tables
 
 
-@_query("synthetic_departments", " UNION ALL ".join(f"SELECT '{r}' AS rol, '{b['nombre']}' AS departamento, 200 AS n_demanda, 200 AS n_cp, '{r[:3].upper()}-CP-0000' AS primero, true AS poblacion_en_rango, true AS distritos_en_rejilla, true AS pocas_sucias, 20 AS n_establecimientos, true AS categorias_conocidas" for r, b in config.DEPARTMENTS.items()))
+def _pick_sql(values: list[str], salt: str, weights: list[float] | None = None) -> str:
+    total, cases = 0.0, ""
+    for v, w in zip(values[:-1], (weights or [1 / len(values)] * len(values))[:-1], strict=True):
+        total += w
+        cases += f"WHEN {synthetic.unit_sql(42, salt)} < {total!r}e0 THEN '{v}' "
+    return f"CASE {cases}ELSE '{values[-1]}' END"
+
+
+def _soiled_sql(source: str) -> str:
+    """The rows of a table with id, lon and lat, some of them made dirty."""
+    k = f"floor({synthetic.unit_sql(0, 'dirt', 'a.id')} * 48)"
+    places = f"CASE {k} WHEN 0 THEN 0e0 WHEN 1 THEN a.{{}} WHEN 2 THEN coalesce(b.{{}}, a.{{}}) WHEN 3 THEN 10e0 ELSE a.{{}} END"
+    return f"SELECT a.* REPLACE ({places.format('lat', 'lon', 'lon', 'lon')} AS lon, {places.format('lon', 'lat', 'lat', 'lat')} AS lat) FROM {source} a LEFT JOIN {source} b ON b.id + 1 = a.id"
+
+
+def _placed_sql(box: dict, seed: int, source: str) -> str:
+    u = synthetic.unit_sql
+    return f"SELECT id, {box['west']!r}e0 + {u(seed, 'lon')} * ({box['east']!r}e0 - {box['west']!r}e0) AS lon, {box['south']!r}e0 + {u(seed, 'lat')} * ({box['north']!r}e0 - {box['south']!r}e0) AS lat FROM {source}"
+
+
+def _third_sql(value: str, labels: str) -> str:
+    at = f"ceil(({value} - min({value}) OVER ()) / nullif((max({value}) OVER () - min({value}) OVER ()) / 3, 0))"
+    return f"substr('{labels}', CAST(greatest(1, least(3, coalesce({at}, 1))) AS INT), 1)"
+
+
+def _synthetic_sql() -> str:
+    """Each customer and each supplier becomes a point or a facility of the department that its key picks, value by value."""
+    parts, u = [], synthetic.unit_sql
+    for k, (role, box) in enumerate(config.DEPARTMENTS.items()):
+        short, name = box["nombre"][:3], box["nombre"]
+        parts.append(f"""d{k}p AS ({_placed_sql(box, 42, f"(SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 = {k})")}), d{k} AS (SELECT *, '{short}-' || {_third_sql('lat', '123')} || {_third_sql('lon', 'ABC')} AS distrito FROM d{k}p),
+f{k} AS ({_placed_sql(box, 43, f"(SELECT s_suppkey AS id FROM supplier WHERE s_suppkey % 3 = {k})")})""")
+    rows = []
+    for k, (role, box) in enumerate(config.DEPARTMENTS.items()):
+        rows.append(f"""SELECT '{role}' AS rol, '{role[:3].upper()}-CP-' || printf('%04d', id) AS clave, distrito, CAST(20 + floor({u(42, 'pop')} * 4980) AS BIGINT) AS cantidad, round(50 + {u(42, 'alt')} * 4450) AS altitud_m, NULL AS categoria,
+ round(lon, 6) AS lon, round(lat, 6) AS lat FROM ({_soiled_sql(f'd{k}')})""")
+        rows.append(f"""SELECT '{role}', '{role[:3].upper()}-EESS-' || printf('%04d', id), NULL, CAST(1 + floor({u(42, 'cap')} * 19) AS BIGINT), NULL, {_pick_sql(['I-1', 'I-2', 'I-3', 'I-4', *sorted(config.SURGICAL_CATEGORIES)], 'cat')},
+ round(lon, 6), round(lat, 6) FROM ({_soiled_sql(f'f{k}')})""")
+    return f"WITH {', '.join(parts)} {' UNION ALL '.join(rows)}"
+
+
+@_query("synthetic_departments", _synthetic_sql())
 def synthetic_departments(s: SparkSession, d: str) -> DataFrame:
-    """Counts and ranges of the generated tables, whose rows follow this engine's own hashes."""
+    """Departments made of given tables: a point for each customer, a facility for each supplier."""
     out = None
-    for role, box in config.DEPARTMENTS.items():
-        lon, lat = F.col("lon"), F.col("lat")
-        clean = lon.between(box["west"], box["east"]) & lat.between(box["south"], box["north"])
-        people = synthetic.demand(s, role).agg(
-            F.first("rol").alias("rol"), F.first("departamento").alias("departamento"), F.count("*").alias("n_demanda"), F.countDistinct("cp_id").alias("n_cp"), F.min("cp_id").alias("primero"), F.bool_and(F.col("poblacion").between(20, 4999)).alias("poblacion_en_rango"),
-            (F.bool_and(F.col("distrito").rlike(f"^{box['nombre'][:3]}-[123][ABC]$")) & (F.countDistinct("distrito") == 9)).alias("distritos_en_rejilla"), F.count_if(~clean).between(1, 40).alias("pocas_sucias"),
-        )
-        able = synthetic.facilities(s, role).agg(F.count("*").alias("n_establecimientos"), F.bool_and(F.col("categoria").isin("I-1", "I-2", "I-3", "I-4", *config.SURGICAL_CATEGORIES)).alias("categorias_conocidas"))
-        row = people.crossJoin(able)  # single rows
-        out = row if out is None else out.unionByName(row)
+    for k, role in enumerate(config.DEPARTMENTS):
+        base = lambda table, key: s.read.parquet(f"{d}/{table}.parquet").select(F.col(key).cast("long").alias("id")).filter(F.col("id") % 3 == k)  # noqa: B023, E731
+        people, able = synthetic.demand_for(base("customer", "c_custkey"), role), synthetic.facilities_for(base("supplier", "s_suppkey"), role)
+        place = [F.round(c, 6).alias(c) for c in ("lon", "lat")]
+        rows = people.select("rol", F.col("cp_id").alias("clave"), "distrito", F.col("poblacion").alias("cantidad"), "altitud_m", F.lit(None).cast("string").alias("categoria"), *place)
+        more = able.select("rol", F.col("facility_id").alias("clave"), F.lit(None).cast("string").alias("distrito"), F.col("capacidad").alias("cantidad"), F.lit(None).cast("double").alias("altitud_m"), "categoria", *place)
+        out = rows.unionByName(more) if out is None else out.unionByName(rows).unionByName(more)
     return out
 
 
@@ -366,8 +438,7 @@ def real_dataset(s: SparkSession, d: str) -> DataFrame:
     """A department's dataset from the four files, assembled twice: the second time the files are gone and nothing is read again."""
     folder = _folder(s, "real")
     people = fixture(s, d, "fx_demand").select(F.lit("1").alias("UBIGEO_INEI"), F.col("departamento").alias("Departamento"), F.col("provincia").alias("Provincia"), F.lit("DISTRITO UNO").alias("Distrito"), F.col("poblacion").alias("Cantidad"))
-    nations = {r.provincia: "ASIA" for r in fixture(s, d, "fx_polygon").collect()}
-    paths = _register(s, d, f"{folder}/register"), _places(s, d, f"{folder}/places/p"), _areas(s, d, f"{folder}/areas/d", nations), _plain_csv(people, f"{folder}/people")
+    paths = _register(s, d, f"{folder}/register"), _places(s, d, f"{folder}/places"), _areas(s, d, f"{folder}/areas", "ASIA"), _plain_csv(people, f"{folder}/people")
     files.build_real_dataset(s, "asia", *paths, f"{folder}/out", max_points=10**9)
     demand, able, areas = files.build_real_dataset(s, "asia", "gone", "gone", "gone", "gone", f"{folder}/out")
     counts = able.agg(F.count("*").alias("n_facilities")).crossJoin(areas.agg(F.count("*").alias("n_distritos")))  # single rows

@@ -1,4 +1,4 @@
-"""Small files in the formats that the readers read, for fixtures: shapefiles and map extracts, as bytes."""
+"""The bytes of files that the sinks write: shapefiles and map extracts."""
 
 from __future__ import annotations
 
@@ -6,38 +6,54 @@ import struct
 import zlib
 from collections.abc import Mapping, Sequence
 
+from reachway.functions.geo import area, polygon_parts
+
 Ring = Sequence[tuple[float, float]]
 
 
-def _dbf(fields: Mapping[str, int], records: Sequence[Sequence[str]]) -> bytes:
-    width = 1 + sum(fields.values())
-    out = [struct.pack("<4BIHH20x", 3, 125, 1, 1, len(records), 33 + 32 * len(fields), width)]
-    out += [struct.pack("<11sc4xB15x", name.encode(), b"C", size) for name, size in fields.items()]
+def _dbf(names: Sequence[str], records: Sequence[Sequence[str]]) -> bytes:
+    """Character fields, each as wide as its longest value in UTF-8."""
+    rows = [[v.encode() for v in r] for r in records]
+    widths = [max([1, *map(len, column)]) for column in zip(*rows, strict=True)] if rows else [1] * len(names)
+    if max(widths, default=0) > 254 or any(len(n.encode()) > 10 for n in names):
+        raise ValueError("a field of a shapefile has up to 254 bytes, its name up to 10")
+    out = [struct.pack("<4BIHH20x", 3, 125, 1, 1, len(rows), 33 + 32 * len(names), 1 + sum(widths))]
+    out += [struct.pack("<11sc4xB15x", name.encode(), b"C", size) for name, size in zip(names, widths, strict=True)]
     out.append(b"\r")
-    for record in records:
-        out.append(b" " + b"".join(value.encode().ljust(size) for value, size in zip(record, fields.values(), strict=True)))
+    out += [b" " + b"".join(v.ljust(size) for v, size in zip(r, widths, strict=True)) for r in rows]
     return b"".join(out)
 
 
-def _content(shape: tuple[float, float] | Ring) -> bytes:
+def _content(shape: tuple[float, float] | Sequence[Ring] | None) -> bytes:
+    """A point, a polygon (outer rings run clockwise and holes the other way, as the format wants them; rings are closed), or nothing."""
+    if not shape:
+        return struct.pack("<i", 0)
     if isinstance(shape[0], float):
         return struct.pack("<i2d", 1, *shape)
-    xs, ys = zip(*shape, strict=True)
-    return struct.pack("<i4d3i", 5, min(xs), min(ys), max(xs), max(ys), 1, len(shape), 0) + b"".join(struct.pack("<2d", *p) for p in shape)
-
-
-def shapefile(fields: Mapping[str, int], records: Sequence[Sequence[str]], shapes: Sequence) -> dict[str, bytes]:
-    """The files of a shapefile by ending. fields: widths by name; shapes: points or closed rings."""
+    rings = []
+    for outer, *holes in polygon_parts([[*r[:-1]] if len(r) > 1 and r[0] == r[-1] else [*r] for r in shape]):
+        rings.append(outer if area(outer) < 0 else outer[::-1])
+        rings += [h if area(h) > 0 else h[::-1] for h in holes]
+    rings = [[*r, r[0]] for r in rings]
+    xs, ys = zip(*(p for r in rings for p in r), strict=True)
+    starts = [sum(map(len, rings[:i])) for i in range(len(rings))]
+    return struct.pack(f"<i4d2i{len(rings)}i", 5, min(xs), min(ys), max(xs), max(ys), len(rings), len(xs), *starts) + b"".join(struct.pack("<2d", *p) for r in rings for p in r)
+
+
+def shapefile(names: Sequence[str], records: Sequence[Sequence[str]], shapes: Sequence) -> dict[str, bytes]:
+    """The files of a shapefile by ending. shapes: a point (x, y), rings, or None for each record."""
     contents = [_content(s) for s in shapes]
-    kind = struct.unpack("<i", contents[0][:4])[0] if contents else 1
+    kinds = {struct.unpack("<i", c[:4])[0] for c in contents} - {0}
+    if len(kinds) > 1:
+        raise ValueError("points and polygons don't go into one shapefile")
     main, index, place = [], [], 50
     for number, c in enumerate(contents, 1):
         words = len(c) // 2
         main.append(struct.pack(">2i", number, words) + c)
         index.append(struct.pack(">2i", place, words))
         place += 4 + words
-    head = lambda parts: struct.pack(">i20xi", 9994, 50 + sum(map(len, parts)) // 2) + struct.pack("<2i64x", 1000, kind)
-    return {"shp": head(main) + b"".join(main), "shx": head(index) + b"".join(index), "dbf": _dbf(fields, records), "cpg": b"UTF-8"}
+    head = lambda parts: struct.pack(">i20xi", 9994, 50 + sum(map(len, parts)) // 2) + struct.pack("<2i64x", 1000, max(kinds, default=1))
+    return {"shp": head(main) + b"".join(main), "shx": head(index) + b"".join(index), "dbf": _dbf(names, records), "cpg": b"UTF-8"}
 
 
 def _number(n: int) -> bytes:

@@ -66,21 +66,19 @@ def real_dataset(facilities: DataFrame, places: DataFrame, areas: DataFrame, peo
 
 
 def build_real_dataset(spark: SparkSession, department: str, register: str, places: str, areas: str, people: str, out: str, max_points: int = config.MAX_DEMAND_POINTS // len(config.DEPARTMENTS), seed: int = 42, force: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """demand, facilities and districts of a department from the four sources' paths, as Parquet under out. What is there whole is kept: without force nothing is read or written again."""
-    from reachway.sources import shapefile
-
-    def there(name: str) -> bool:
-        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/{name}/_SUCCESS")
-        return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+    """demand, facilities and districts of a department from the four sources' paths, as one set of Parquet tables under out (versions.py): all three count at once or none. What is there is kept: without force nothing is read or written again."""
+    from reachway.sources import shapefile, versions
 
     names = ("demanda", "facilities", "distritos")
-    if force or not all(map(there, names)):
+    found = None if force else versions.read_set(spark, out)
+    if found is None or not set(names) <= set(found):
         shapefile.register(spark)
         layer = spark.read.format("shapefile")
-        tables = real_dataset(read_facilities(spark, register, department), settlements(layer.load(places), department), districts(layer.load(areas), department), read_population(spark, people, [department]), max_points, seed)
-        for name, df in zip(names, tables, strict=True):
-            df.write.mode("overwrite").parquet(f"{out}/{name}")
-    demand, facilities, polygons = (spark.read.parquet(f"{out}/{n}") for n in names)
+        people_of = read_population(spark, people, [department])
+        tables = real_dataset(read_facilities(spark, register, department), settlements(layer.load(places), department), districts(layer.load(areas), department), people_of, max_points, seed)
+        versions.write_set(dict(zip(names, tables, strict=True)), out)
+        found = versions.read_set(spark, out)
+    demand, facilities, polygons = (found[n] for n in names)
     return demand, facilities, polygons
 
 

@@ -1,6 +1,7 @@
 """OpenStreetMap extracts (.osm.pbf) as Spark data sources: `osm_nodes` and `osm_ways`, and road edges made of them.
 
-The file is a chain of blobs that can be read on their own: the driver lists their places, tasks decode them. The decoder reads the parts of the
+A file is a chain of blobs that can be read on their own: the driver lists their places, tasks decode them. A folder of parts (parts.py), which tasks write, is read as one extract: nodes and ways are
+written to the same folder, one after the other, by `df.write.format(...).mode("append")`. The decoder reads the parts of the
 protocol-buffer format that roads need.
 """
 
@@ -12,13 +13,17 @@ from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition
 from pyspark.sql.types import StructType
 
 from reachway.functions.workers import ready
+from reachway.sources import encoders
+from reachway.sources.parts import PartWriter, listed
 from reachway.sources.paths import opened, size
 
 BLOBS_PER_TASK = 16
+#: Nodes or ways of a part that a task writes.
+RECORDS_PER_FILE = 100_000
 
 
 def varint(data: bytes, at: int) -> tuple[int, int]:
@@ -101,12 +106,14 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        every = blobs(self.path)
+        names = listed(self.path)
+        files = [self.path] if names is None else [f"{self.path}/{n}.osm.pbf" for n in names]
+        every = [(f, *b) for f in files for b in blobs(f)]
         return [InputPartition(every[i : i + BLOBS_PER_TASK]) for i in range(0, len(every), BLOBS_PER_TASK)] or [InputPartition([])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for at, length in partition.value:
-            yield from self.rows(*_block(self.path, at, length))
+        for path, at, length in partition.value:
+            yield from self.rows(*_block(path, at, length))
 
     def rows(self, strings, groups, scale, lat0, lon0) -> Iterator[tuple]:
         raise NotImplementedError
@@ -149,6 +156,9 @@ class OsmNodes(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Nodes(self.options["path"])
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return PartWriter(self.options["path"], overwrite, "nodes", ("osm.pbf",), _node_file, RECORDS_PER_FILE)
+
 
 class OsmWays(DataSource):
     @classmethod
@@ -161,6 +171,17 @@ class OsmWays(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Ways(self.options["path"])
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return PartWriter(self.options["path"], overwrite, "ways", ("osm.pbf",), _way_file, RECORDS_PER_FILE)
+
+
+def _node_file(rows: list) -> dict[str, bytes]:
+    return {"osm.pbf": encoders.map_extract([(r["node_id"], r["x"], r["y"]) for r in rows], [])}
+
+
+def _way_file(rows: list) -> dict[str, bytes]:
+    return {"osm.pbf": encoders.map_extract([], [(r["way_id"], r["refs"], r["tags"] or {}) for r in rows])}
+
 
 def register(spark: SparkSession) -> None:
     ready(spark)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import urllib.parse
+import uuid
 
 
 def located(path: str):
@@ -39,3 +40,31 @@ def write_bytes(path: str, data: bytes) -> None:
     system.create_dir(own.rpartition("/")[0], recursive=True)
     with system.open_output_stream(own) as out:
         out.write(data)
+
+
+def replace_bytes(path: str, data: bytes) -> None:
+    """One file that readers see whole or not at all: written beside its place and moved there."""
+    beside = f"{path}.{uuid.uuid4().hex}.tmp"
+    write_bytes(beside, data)
+    system, own = located(path)
+    system.move(located(beside)[1], own)
+
+
+def read_bytes(path: str) -> bytes | None:
+    """A file's content; None where there is none."""
+    if not exists(path):
+        return None
+    with opened(path) as f:
+        return f.read()
+
+
+def delete(path: str) -> None:
+    """A folder or file with all that it holds; nothing where there is none."""
+    from pyarrow.fs import FileType
+
+    system, own = located(path)
+    kind = system.get_file_info(own).type
+    if kind is FileType.Directory:
+        system.delete_dir(own)
+    elif kind is not FileType.NotFound:
+        system.delete_file(own)

@@ -1,7 +1,10 @@
-"""Shapefiles as a Spark data source: `spark.read.format("shapefile").load(path)`.
+"""Shapefiles as a Spark data source: `spark.read.format("shapefile").load(path)` of one file or a folder of parts, and `df.write.format("shapefile").save(folder)`.
 
 A row for each record: the fields of the .dbf beside the .shp, and lon and lat (points) or ring (array of struct x, y: the outer ring of largest area) and rings
 (all rings). Coordinates are taken as they are: the layers used here are in degrees. The .shx index, where there is one, splits the file among tasks.
+
+Tasks write shapefiles of their own, of up to RECORDS_PER_TASK records (parts.py); columns but lon, lat, ring and rings become fields as text. What has rings (or a ring) is a polygon with its holes and parts, what has lon and lat a
+point, else the shape is empty. Nulls are empty fields.
 """
 
 from __future__ import annotations
@@ -10,11 +13,13 @@ import struct
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition
 from pyspark.sql.types import StructType
 
 from reachway.functions.geo import area
 from reachway.functions.workers import ready
+from reachway.sources import encoders
+from reachway.sources.parts import PartWriter, listed
 from reachway.sources.paths import exists, opened, size
 
 RECORDS_PER_TASK = 50_000
@@ -69,22 +74,30 @@ def geometry(content: bytes):
     return None, None, None
 
 
+def _files(path: str) -> list[str]:
+    names = listed(path)
+    return [path] if names is None else [f"{path}/{n}.shp" for n in names]
+
+
 class _Reader(DataSourceReader):
     def __init__(self, path: str, fields: list[str]):
         self.path, self.fields = path, fields
 
     def partitions(self) -> list[InputPartition]:
-        index = _beside(self.path, ".shx")
-        if index is None:
-            return [InputPartition((0, None))]
-        n = ((size(index) or 100) - 100) // 8
-        return [InputPartition((i, min(n, i + RECORDS_PER_TASK))) for i in range(0, n, RECORDS_PER_TASK)] or [InputPartition((0, 0))]
+        out = []
+        for path in _files(self.path):
+            index = _beside(path, ".shx")
+            n = None if index is None else ((size(index) or 100) - 100) // 8
+            out += [InputPartition((path, 0, None))] if n is None else [InputPartition((path, i, min(n, i + RECORDS_PER_TASK))) for i in range(0, n, RECORDS_PER_TASK)]
+        return out or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        first, last = partition.value
-        encoding = _encoding(self.path)
-        index, table = _beside(self.path, ".shx"), _beside(self.path, ".dbf")
-        with opened(self.path) as shp, opened(table) as dbf:
+        if partition.value is None:
+            return
+        path, first, last = partition.value
+        encoding = _encoding(path)
+        index, table = _beside(path, ".shx"), _beside(path, ".dbf")
+        with opened(path) as shp, opened(table) as dbf:
             fields, count, header, width = dbf_fields(dbf)
             at = 100
             if index and first:
@@ -117,7 +130,9 @@ class ShapefileSource(DataSource):
         return "shapefile"
 
     def _names(self) -> list[str]:
-        path = self.options["path"]
+        path = next(iter(_files(self.options["path"])), None)
+        if path is None:
+            return []
         with opened(_beside(path, ".dbf")) as f:
             return [_text(n, _encoding(path)) for n, _, _ in dbf_fields(f)[0]]
 
@@ -128,6 +143,22 @@ class ShapefileSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self.options["path"], schema.fieldNames())
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return PartWriter(self.options["path"], overwrite, "layer", ("shp", "shx", "dbf", "cpg"), _encoder(schema.fieldNames()), RECORDS_PER_TASK)
+
+
+def _encoder(columns: list[str]):
+    names = [c for c in columns if c not in ("lon", "lat", "ring", "rings")]
+
+    def shape(row):
+        get = lambda c: row[c] if c in columns else None
+        rings = get("rings") or (get("ring") and [get("ring")])
+        if rings:
+            return [[(float(p["x"]), float(p["y"])) for p in r] for r in rings if r]
+        return None if get("lon") is None or get("lat") is None else (float(get("lon")), float(get("lat")))
+
+    return lambda rows: encoders.shapefile(names, [["" if r[n] is None else str(r[n]) for n in names] for r in rows], [shape(r) for r in rows])
+
 
 def register(spark: SparkSession) -> None:
     ready(spark)

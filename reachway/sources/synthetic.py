@@ -1,6 +1,7 @@
-"""Synthetic departments: points, facilities, dirty records and road graphs, from hashes of row numbers.
+"""Synthetic departments: points, facilities, dirty records and road graphs, by counter-based random numbers.
 
-The same seed gives the same rows on any cluster; the sequence is this engine's own.
+A number is the SHA-256 of seed, name and row id, so that each row's numbers follow from its id alone: the same on any cluster, in any order, and in any engine that has that hash. Rows come
+from a given table with ids, or from a range of them; the sequence is this engine's own.
 """
 
 from __future__ import annotations
@@ -16,8 +17,14 @@ from reachway.operators.modes import nearest_points, projected
 
 
 def unit(seed: int, salt: str) -> Column:
-    """A number in [0, 1) from the row's id."""
-    return F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(salt)), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    """A number in [0, 1), a multiple of 2**-32, from the row's id."""
+    said = F.sha2(F.concat_ws(":", F.lit(seed), F.lit(salt), F.col("id").cast("string")), 256)
+    return F.conv(F.substring(said, 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def unit_sql(seed: int, salt: str, key: str = "id") -> str:
+    """The same number in SQL."""
+    return f"(CAST('0x' || substr(sha256('{seed}:{salt}:' || {key}), 1, 8) AS BIGINT) / 4294967296e0)"
 
 
 def _pick(values: list, seed: int, salt: str, weights: list[float] | None = None) -> Column:
@@ -37,7 +44,7 @@ def _placed(df: DataFrame, box: Mapping, seed: int) -> DataFrame:
 def soiled(df: DataFrame, kind: Column | None = None) -> DataFrame:
     """df (with id, lon, lat) with about a twelfth of its rows made dirty, in equal parts: (0, 0), swapped, the place of the row before, far outside. kind: 0 to 3 picks one of these for a
     row, anything else none; by default it is drawn from the id."""
-    k = F.pmod(F.xxhash64("id", F.lit("dirt")), F.lit(48)) if kind is None else kind
+    k = F.floor(unit(0, "dirt") * 48) if kind is None else kind
     before = df.select((F.col("id") + 1).alias("id"), F.col("lon").alias("__lon"), F.col("lat").alias("__lat"))
     both = df.join(before, "id", "left")
     lon = F.when(k == 0, 0.0).when(k == 1, F.col("lat")).when(k == 2, F.coalesce("__lon", "lon")).when(k == 3, 10.0).otherwise(F.col("lon"))
@@ -46,9 +53,14 @@ def soiled(df: DataFrame, kind: Column | None = None) -> DataFrame:
 
 
 def demand(spark: SparkSession, role: str, n: int = 200, seed: int = 42) -> DataFrame:
+    return demand_for(spark.range(n), role, seed)
+
+
+def demand_for(base: DataFrame, role: str, seed: int = 42) -> DataFrame:
+    """Demand points of a department, one for each row of base (id: long, unique): what is drawn depends on the id and the seed alone."""
     box = config.DEPARTMENTS[role]
     short = box["nombre"][:3].upper()
-    rows = _placed(spark.range(n), box, seed)
+    rows = _placed(base.select("id"), box, seed)
     rows = thirds(thirds(rows, "lat", ["1", "2", "3"], "fila"), "lon", ["A", "B", "C"], "columna")
     rows = rows.select(
         "id", F.concat(F.lit(f"{role[:3].upper()}-CP-"), F.format_string("%04d", "id")).alias("cp_id"), F.concat(F.lit("Centro Poblado "), "id").alias("nombre"), (20 + F.floor(unit(seed, "pop") * 4980)).cast("long").alias("poblacion"), F.lit(box["nombre"]).alias("departamento"),
@@ -58,8 +70,13 @@ def demand(spark: SparkSession, role: str, n: int = 200, seed: int = 42) -> Data
 
 
 def facilities(spark: SparkSession, role: str, n: int = 20, seed: int = 42) -> DataFrame:
+    return facilities_for(spark.range(n), role, seed)
+
+
+def facilities_for(base: DataFrame, role: str, seed: int = 42) -> DataFrame:
+    """Facilities of a department, one for each row of base (id: long, unique)."""
     box = config.DEPARTMENTS[role]
-    rows = _placed(spark.range(n), box, seed + 1)
+    rows = _placed(base.select("id"), box, seed + 1)
     rows = rows.select(
         "id", F.concat(F.lit(f"{role[:3].upper()}-EESS-"), F.format_string("%04d", "id")).alias("facility_id"), F.concat(F.lit("Establecimiento "), "id").alias("nombre"), _pick(["I-1", "I-2", "I-3", "I-4", *sorted(config.SURGICAL_CATEGORIES)], seed, "cat").alias("categoria"),
         _pick(["MINSA", "ESSALUD", "PRIVADO"], seed, "ins", [0.7, 0.2, 0.1]).alias("institucion"), _pick([True, True, True, False], seed, "act").alias("activo"), (1 + F.floor(unit(seed, "cap") * 19)).cast("long").alias("capacidad"), F.lit(box["nombre"]).alias("departamento"), "lon", "lat", F.lit(role).alias("rol"),

@@ -141,3 +141,122 @@ def test_graphs_fall_back_and_are_cached(spark, tmp_path):
     assert source == "synthetic" and nodes.count() == 250 and edges.count() == 2 * 5 * 250
     again = graphs.get_graph(spark, "costa", "walk", str(tmp_path / "c"), str(bad))
     assert again[2] == "synthetic" and sorted(again[1].collect()) == sorted(edges.collect())
+
+
+def test_layers_written_by_tasks(spark, tmp_path):
+    """Points, polygons with holes and parts, and empty shapes, by several tasks; a second write replaces the first, files of no manifest are not read."""
+    shapefile.register(spark)
+    folder = str(tmp_path / "layer")
+    points = spark.createDataFrame([(i, f"ñandú {i}" if i % 3 else None, float(i), -float(i) if i % 5 else None) for i in range(200)], "id long, nombre string, lon double, lat double")
+    points.repartition(4).write.format("shapefile").mode("append").save(folder)
+    (tmp_path / "layer" / "layer-lost.shp").write_bytes(b"half")
+    back = spark.read.format("shapefile").load(folder)
+    assert sorted((int(r.id), r.nombre, r.lon, r.lat) for r in back.collect()) == sorted((r.id, r.nombre, r.lon if r.lat is not None else None, r.lat) for r in points.collect())
+    assert len(list((tmp_path / "layer").glob("*.dbf"))) == 4
+    points.limit(3).coalesce(1).write.format("shapefile").mode("overwrite").save(folder)
+    assert spark.read.format("shapefile").load(folder).count() == 3 and len(list((tmp_path / "layer").glob("*.dbf"))) == 1
+    box = lambda x0, x1: [{"x": float(x), "y": float(y)} for x, y in ((x0, x0), (x1, x0), (x1, x1), (x0, x1))]
+    shapes = spark.createDataFrame([("a", [box(0, 10), box(2, 4), box(20, 22)]), ("b", [box(0, 1)]), ("c", None)], "IDDIST string, rings array<array<struct<x:double,y:double>>>")
+    shapes.write.format("shapefile").mode("append").save(str(tmp_path / "areas"))
+    got = {r.IDDIST: r.rings for r in spark.read.format("shapefile").load(str(tmp_path / "areas")).collect()}
+    assert {k: len(v or ()) for k, v in got.items()} == {"a": 3, "b": 1, "c": 0}
+    turns = [sum((q.x - p.x) * (q.y + p.y) for p, q in zip(r, r[1:])) > 0 for r in got["a"]]
+    assert turns == [True, False, True]  # outer rings run clockwise, holes the other way
+
+
+def test_a_failed_write_leaves_what_was_there(spark, tmp_path):
+    shapefile.register(spark)
+    folder = str(tmp_path / "layer")
+    good = spark.createDataFrame([(1, 1.0, 2.0)], "id long, lon double, lat double")
+    good.write.format("shapefile").mode("append").save(folder)
+    bad = spark.createDataFrame([("x" * 300, 1.0, 2.0)], "id string, lon double, lat double")
+    with pytest.raises(Exception, match="254"):
+        good.withColumn("id", F.col("id").cast("string")).unionByName(bad).write.format("shapefile").mode("overwrite").save(folder)
+    assert [r.id for r in spark.read.format("shapefile").load(folder).collect()] == ["1"]
+
+
+def test_extracts_written_by_tasks(spark, tmp_path):
+    osm.register(spark)
+    folder = str(tmp_path / "x")
+    nodes = spark.createDataFrame([(i, -80 + i / 1000, i / 2000) for i in range(500)], "node_id long, x double, y double")
+    ways = spark.createDataFrame([(i, [i, i + 1, i + 2], {"highway": "residential", "name": f"ñ{i}"} if i % 7 else {}) for i in range(400)] + [(999, [], None)], "way_id long, refs array<long>, tags map<string,string>")
+    nodes.repartition(3).write.format("osm_nodes").mode("append").save(folder)
+    ways.repartition(2).write.format("osm_ways").mode("append").save(folder)
+    n, w = (spark.read.format(f).load(folder) for f in ("osm_nodes", "osm_ways"))
+    assert sorted((r.node_id, round(r.x, 6), round(r.y, 6)) for r in n.collect()) == sorted((r.node_id, round(r.x, 6), round(r.y, 6)) for r in nodes.collect())
+    assert sorted((r.way_id, r.refs, sorted(r.tags.items())) for r in w.collect()) == sorted((r.way_id, r.refs, sorted((r.tags or {}).items())) for r in ways.collect())
+
+
+def test_tables_of_a_set_change_together(spark, tmp_path, monkeypatch):
+    from reachway.sources import versions
+
+    path = str(tmp_path / "set")
+    table = lambda v: spark.createDataFrame([(v,)], "v int")
+    assert versions.read_set(spark, path) is None
+    versions.write_set({"a": table(1), "b": table(1)}, path)
+    broken = table(2).select(F.raise_error(F.lit("stopped")).cast("int").alias("v"))
+    with pytest.raises(Exception, match="stopped"):
+        versions.write_set({"a": table(2), "b": broken}, path)
+    values = lambda: {n: df.first().v for n, df in versions.read_set(spark, path).items()}
+    assert values() == {"a": 1, "b": 1}
+    # a writer that dies before the manifest: its tables are whole, and still don't count
+    with monkeypatch.context() as m:
+        m.setattr(versions, "replace_bytes", lambda *_: (_ for _ in ()).throw(OSError("dead")))
+        with pytest.raises(OSError):
+            versions.write_set({"a": table(3), "b": table(3)}, path)
+    assert values() == {"a": 1, "b": 1}
+    old = versions.read_set(spark, path)
+    versions.write_set({"a": table(4), "b": table(4)}, path)
+    assert values() == {"a": 4, "b": 4} and old["a"].first().v == 1  # who has opened the old set still reads it
+    for v in (5, 6):
+        versions.write_set({"a": table(v), "b": table(v)}, path)
+    assert values() == {"a": 6, "b": 6} and len(list((tmp_path / "set").glob("set-*"))) == 3  # two that count, or did, and the dead writer's
+
+
+def test_overpass_by_tiles(spark):
+    """A service that is busy at first, stops half-way once, and gives roads on borders to both tiles."""
+    import http.server
+    import json
+    import threading
+    import urllib.parse
+
+    from reachway.sources import overpass
+
+    places = {i: (-80 + i * 0.1, 1 + (i % 5) * 0.3) for i in range(21)}
+    roads = {100 + k: [k, k + 1, k + 2] for k in range(19)}
+    seen, lock = {}, threading.Lock()
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            query = urllib.parse.parse_qs(self.rfile.read(int(self.headers["Content-Length"])).decode())["data"][0]
+            s, w, n, e = map(float, query.split("way[highway](")[1].split(")")[0].split(","))
+            with lock:
+                seen[query] = tries = seen.get(query, 0) + 1
+            if tries == 1:
+                return self.send_error(429)
+            ways = {k: v for k, v in roads.items() if any(w <= places[i][0] <= e and s <= places[i][1] <= n for i in v)}
+            found = [{"type": "way", "id": k, "nodes": v, "tags": {"highway": "residential"}} for k, v in ways.items()]
+            found += [{"type": "node", "id": i, "lon": places[i][0], "lat": places[i][1]} for i in {i for v in ways.values() for i in v}]
+            body = json.dumps({"elements": found[:1], "remark": "runtime error: timed out"} if tries == 2 else {"elements": found}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/"
+    try:
+        box = {"south": 0.0, "west": -81.0, "north": 3.0, "east": -77.0}
+        nodes, ways = overpass.elements(spark, box, tiles=3, url=url, pause=0.01, timeout=20)
+        assert {r.node_id: (r.x, r.y) for r in nodes.collect()} == places and nodes.count() == len(places)
+        assert {r.way_id: r.refs for r in ways.collect()} == roads and ways.count() == len(roads)
+        assert len(seen) == 9 and set(seen.values()) == {3}  # read once, whatever is done with the tables
+        with pytest.raises(RuntimeError, match="2 attempts"):
+            overpass.asked(url, (0.0, 0.0, 0.5, 0.5), 20, 2, 0.01)
+    finally:
+        server.shutdown()
+    cuts = overpass.tiles({"south": -1, "west": 0, "north": 1, "east": 9}, 3)
+    assert cuts[0][:2] == (-1, 0) and cuts[-1][2:] == (1, 9) and cuts[0][3] == cuts[1][1]
