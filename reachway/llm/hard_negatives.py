@@ -29,14 +29,15 @@ CHUNK = 256
 #: Scores and bounds stay under this, so that sums of doubles are exact and a score and a place fit into 64 bits.
 LIMIT = float(1 << 50)
 NONE = np.iinfo(np.int64).min
-_PACKED = "top double, width int, ids binary, labels binary, vectors binary, norms binary, others binary, scores binary"
-_PACKED_ARROW = pa.schema([("top", pa.float64()), ("width", pa.int32()), *[(n, pa.binary()) for n in ("ids", "labels", "vectors", "norms", "others", "scores")]])
+_PACKED = "top double, width int, ids binary, labels binary, vectors binary, norms binary, scores binary, least binary"
+_PACKED_ARROW = pa.schema([("top", pa.float64()), ("width", pa.int32()), *[(n, pa.binary()) for n in ("ids", "labels", "vectors", "norms", "scores", "least")]])
 _FOUND = "anchor_id long, j int, other_id long, score long"
 _FOUND_ARROW = pa.schema([("anchor_id", pa.int64()), ("j", pa.int32()), ("other_id", pa.int64()), ("score", pa.int64())])
 
 
-def _packed(size: int, others: int):
-    """Rows (id, label, vector[, others: their ids and scores]) to rows of up to `size` of them, in the order in which they come and by id inside; vectors are whole numbers."""
+def _packed(size: int, windows: int):
+    """Rows (id, label, vector[, scores of positives, least scores worth finding]) to rows of up to `size` of them, in the order in which they come and by id inside; vectors become whole numbers.
+    windows: scores and least scores of a row, NONE where there are fewer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -45,21 +46,21 @@ def _packed(size: int, others: int):
             rows.sort(key=lambda r: r[0])
             width = max(len(r[2]) for r in rows)
             v = np.zeros((len(rows), width))
-            ids, scores = (np.full((len(rows), others), NONE, np.int64) for _ in range(2))
+            scores, least = (np.full((len(rows), windows), NONE, np.int64) for _ in range(2))
             for i, r in enumerate(rows):
                 v[i, : len(r[2])] = np.floor(SCALE * r[2])
-                if others:
-                    ids[i, : len(r[3])], scores[i, : len(r[4])] = r[3], r[4]
+                for into, given in zip((scores, least), r[3:], strict=False):
+                    into[i, : len(given)] = given
             norms = np.sqrt((v * v).sum(1))
             if norms.max(initial=0) >= LIMIT:
                 raise ValueError("a vector's components are too large for exact scores")
             small = np.abs(v).max(initial=0) < 1 << 15
-            one = [norms.max(initial=0), width, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), v.astype(np.int16) if small else v, norms, ids, scores]
+            one = [norms.max(initial=0), width, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), v.astype(np.int16) if small else v, norms, scores, least]
             return pa.RecordBatch.from_arrays([pa.array([x.tobytes() if isinstance(x, np.ndarray) else x], f.type) for x, f in zip(one, _PACKED_ARROW, strict=True)], schema=_PACKED_ARROW)
 
         for b in batches:
             vectors = [np.array(x, np.float64) for x in b.column(2).to_pylist()]
-            more = [c.to_pylist() for c in b.columns[3:]]
+            more = [[[NONE if v is None else v for v in x or ()] for x in c.to_pylist()] for c in b.columns[3:]]
             for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), vectors, *more, strict=True):
                 rows.append(row)
                 if len(rows) >= size:
@@ -74,12 +75,12 @@ def _packed(size: int, others: int):
 class Packed:
     """The arrays of a packed row."""
 
-    def __init__(self, width: int, ids: bytes, labels: bytes, vectors: bytes, norms: bytes, others: bytes, scores: bytes):
+    def __init__(self, width: int, ids: bytes, labels: bytes, vectors: bytes, norms: bytes, scores: bytes, least: bytes):
         self.ids, self.labels, self.norms = np.frombuffer(ids, np.int64), np.frombuffer(labels, np.int64), np.frombuffer(norms)
         n = len(self.ids)
         kind = np.int16 if len(vectors) == 2 * n * width and width else np.float64
         self.vectors = np.frombuffer(vectors, kind).astype(np.float64).reshape(n, width)
-        self.others, self.scores = (np.frombuffer(x, np.int64).reshape(n, -1) for x in (others, scores))
+        self.scores, self.least = (np.frombuffer(x, np.int64).reshape(n, -1) for x in (scores, least))
 
 
 def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,7 +123,7 @@ class Search:
 
     def need(self) -> np.ndarray:
         """The least score that each anchor and window still takes; infinite for empty windows."""
-        return np.where(self.low > self.high, np.inf, np.maximum(self.low, self.scores[:, :, -1]))
+        return np.where(self.low > self.high, np.inf, np.maximum(np.maximum(self.low, self.block.least), self.scores[:, :, -1]))
 
     def add(self, bucket: Packed, top: float) -> None:
         need = self.need()
@@ -164,28 +165,48 @@ def _searched(k: int, windows: tuple[int, int] | None):
     return run
 
 
-def _blocks(anchors: DataFrame, n: int, others: int) -> DataFrame:
-    """anchors packed in blocks, with their numbers."""
+def _blocks(anchors: DataFrame, n: int, windows: int) -> DataFrame:
+    """anchors (id, label, vector, scores, least) packed in blocks, with their numbers."""
     parts = max(1, -(-n // BLOCK))
-    names = ["id", "label", "vector", *(["others", "scores"] if others else [])]
-    packed = anchors.select(*names).repartitionByRange(parts, "id").mapInArrow(_packed(BLOCK, others), _PACKED)
+    packed = anchors.select("id", "label", "vector", "scores", "least").repartitionByRange(parts, "id").mapInArrow(_packed(BLOCK, windows), _PACKED)
     return packed.withColumn("number", F.monotonically_increasing_id()).checkpoint()
 
 
-def _search(buckets: DataFrame, blocks: DataFrame, k: int, windows: tuple[int, int] | None) -> DataFrame:
+def _wave(buckets: DataFrame, blocks: DataFrame, k: int, windows: tuple[int, int] | None) -> DataFrame:
     """anchor_id, j, other_id, score: what each task finds, in rounds. The query set meets all buckets in blocks; a block's vectors are serialised once a bucket, which is
     little beside the products of both."""
     numbers = [r[0] for r in blocks.select("number").orderBy("number").collect()]
     out, step = None, max(1, ROUND // BLOCK)
     for i in range(0, len(numbers), step):
         own = blocks.filter(F.col("number").between(numbers[i], numbers[min(i + step, len(numbers)) - 1]))
-        asked = F.broadcast(own.select("number", *[F.col(c).alias(f"q_{c}") for c in ("width", "ids", "labels", "vectors", "norms", "others", "scores")]))
+        asked = F.broadcast(own.select("number", *[F.col(c).alias(f"q_{c}") for c in ("width", "ids", "labels", "vectors", "norms", "scores", "least")]))
         met = buckets.select("top", "width", "ids", "labels", "vectors", "norms").crossJoin(asked).mapInArrow(_searched(k, windows), _FOUND)
         met = met if len(numbers) <= step else met.checkpoint()
         out = met if out is None else out.unionByName(met)
     return out if out is not None else buckets.sparkSession.createDataFrame([], _FOUND)
 
 
+def _search(buckets: DataFrame, anchors: DataFrame, n: int, k: int, windows: tuple[int, int] | None, width: int) -> DataFrame:
+    """anchor_id, j, other_id, score, rank: the k best of each anchor (id, label, vector, scores) and window; width: windows of an anchor.
+
+    A task would give k of each window, however many tasks there are. So every so many-th task's buckets are searched first: their k-th score is what the others must reach. With a wave of the
+    root of all tasks both waves give about the root times k of each window.
+    """
+    none = F.array().cast("array<long>")
+    blank = anchors.withColumn("least", none)
+    blank = blank if "scores" in anchors.columns else blank.withColumn("scores", none)
+    step = int(np.sqrt(buckets.rdd.getNumPartitions()))
+    if step < 3:
+        return _first(_wave(buckets, _blocks(blank, n, width), k, windows), k)
+    dealt = buckets.withColumn("part", F.spark_partition_id())
+    some = _first(_wave(dealt.filter(F.col("part") % step == 0), _blocks(blank, n, width), k, windows), k).checkpoint()
+    least = some.filter(F.col("rank") == k).groupBy("anchor_id").agg(F.map_from_entries(F.collect_list(F.struct("j", "score"))).alias("m"))
+    least = least.select("anchor_id", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.col("m")[j]).alias("found"))
+    told = blank.join(least, F.col("id") == F.col("anchor_id"), "left").select("id", "label", "vector", "scores", F.coalesce("found", none).alias("least"))
+    rest = _wave(dealt.filter(F.col("part") % step != 0), _blocks(told, n, width), k, windows)
+    return _first(some.drop("rank").unionByName(rest), k)
+
+
 def _first(found: DataFrame, k: int) -> DataFrame:
     """The k best of each anchor and window, with their rank. A task gives k of a window at most; these are cut again before they move."""
     order = Window.partitionBy("anchor_id", "j").orderBy(F.desc("score"), "other_id")
@@ -215,10 +236,10 @@ def hard_negatives(vectors: DataFrame, anchor: Column, positives: int = POSITIVE
     top = buckets.agg(F.max("top")).first()[0] or 0.0
     if top * top >= LIMIT:
         raise ValueError("vectors are too long for exact scores")
-    near = _first(_search(buckets, _blocks(anchors, n, 0), positives, None), positives).select("anchor_id", F.col("rank").alias("p"), F.col("other_id").alias("positive_id"), F.col("score").alias("positive_score")).checkpoint()
-    listed = near.groupBy("anchor_id").agg(F.array_sort(F.collect_list(F.struct("p", "positive_id", "positive_score"))).alias("all"))
-    asked = anchors.join(listed, F.col("id") == F.col("anchor_id")).select("id", "label", "vector", F.col("all.positive_id").alias("others"), F.col("all.positive_score").alias("scores"))
-    found = _first(_search(buckets, _blocks(asked, n, positives), negatives, (low, high)), negatives)
+    near = _search(buckets, anchors, n, positives, None, 1).select("anchor_id", F.col("rank").alias("p"), F.col("other_id").alias("positive_id"), F.col("score").alias("positive_score")).checkpoint()
+    listed = near.groupBy("anchor_id").agg(F.array_sort(F.collect_list(F.struct("p", "positive_score"))).alias("all"))
+    asked = anchors.join(listed, F.col("id") == F.col("anchor_id")).select("id", "label", "vector", F.col("all.positive_score").alias("scores"))
+    found = _search(buckets, asked, n, negatives, (low, high), positives)
     named = found.join(near.withColumn("j", F.col("p") - 1), ["anchor_id", "j"])
     return named.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("other_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 

@@ -67,6 +67,22 @@ def test_skew_ties_and_odd_rows(spark, monkeypatch):
     assert run(spark, rows) == brute(padded)
 
 
+def test_waves(spark, monkeypatch):
+    """Many tasks: the first wave's scores bound what the second gives."""
+    monkeypatch.setattr(H, "BUCKET", 20)
+    rows = vectors(900, 8, 12)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "25")
+    given = []
+    monkeypatch.setattr(H, "_wave", lambda *a, own=H._wave: given.append(own(*a).checkpoint()) or given[-1])
+    try:
+        want = brute(rows, every=60)
+        assert run(spark, rows, every=60) == want and want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(given) == 4 and given[2].count() + given[3].count() < 0.7 * 25 * 15 * 5 * 10
+
+
 def test_options(spark):
     rows = vectors(400, 6, 8)
     want = brute(rows, every=50, positives=2, negatives=3, low=10, high=60)
@@ -86,7 +102,8 @@ def test_pruned_buckets_are_not_multiplied(monkeypatch):
     def pack(n, scale, first):
         v = np.floor(256 * rnd.normal(0.5, 0.1, (n, 4)) * scale).astype(np.int16)
         norms = np.sqrt((v.astype(float) ** 2).sum(1))
-        return H.Packed(4, (first + np.arange(n)).tobytes(), np.zeros(n, np.int64).tobytes(), v.tobytes(), norms.tobytes(), b"", b""), norms.max()
+        none = np.full(n, H.NONE, np.int64).tobytes()
+        return H.Packed(4, (first + np.arange(n)).tobytes(), np.zeros(n, np.int64).tobytes(), v.tobytes(), norms.tobytes(), none, none), norms.max()
 
     block, _ = pack(3, 1.0, 0)
     search = H.Search(block, 5, None)
