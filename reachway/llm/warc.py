@@ -27,6 +27,8 @@ from reachway.llm.common import prepare, remove, shared_dir
 
 #: Bytes at which an archive is closed.
 ARCHIVE_BYTES = 16 << 20
+#: Digests of several rows that are broadcast at most (some 60 bytes each), and rows of a digest from which on it counts as hot beyond that.
+BROADCAST_DIGESTS, HOT_ROWS = 500_000, 100_000
 #: Byte that ends a file of members: gzip readers skip zero padding. Plain records end with two line ends anyway.
 GZIP_END, PLAIN_END = "\x00", "\r\n\r\n"
 MAGIC = b"\x1f\x8b\x08"
@@ -100,19 +102,35 @@ def archives(compress: bool, limit: int):
     return run
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, compress: bool = True, archive_bytes: int = ARCHIVE_BYTES) -> str:
+def _with_first(slim: DataFrame, min_bytes: int, broadcast_digests: int, hot_rows: int) -> DataFrame:
+    """slim (page_id, url, payload, sha) with first: the largest page_id of rows that share a payload, null for payloads of one row or of too few bytes.
+
+    Payloads are never dealt by their digest. Up to broadcast_digests shared digests go to all executors, and rows don't move at all. More of them are joined to page ids alone, digests of over hot_rows rows (few, by
+    their very number) by a broadcast, and rows find what they refer to by their own id.
+    """
+    light = slim.filter(F.length("payload") >= min_bytes).select("page_id", "sha")
+    shared = light.groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").checkpoint()
+    if shared.count() <= broadcast_digests:
+        return slim.join(F.broadcast(shared.select("sha", "first")), "sha", "left")
+    hot = light.join(F.broadcast(shared.filter(F.col("n") > hot_rows).select("sha", "first")), "sha")
+    rest = light.join(F.broadcast(shared.filter(F.col("n") > hot_rows).select("sha")), "sha", "left_anti").join(shared.filter(F.col("n") <= hot_rows).select("sha", "first"), "sha")
+    own = hot.unionByName(rest).select(F.col("page_id").alias("own"), F.col("sha").alias("own_sha"), "first").distinct()
+    return slim.join(own, F.col("page_id").eqNullSafe(F.col("own")) & (F.col("sha") == F.col("own_sha")), "left").drop("own", "own_sha")
+
+
+def write_archives(
+    pages: DataFrame, path: str, min_bytes: int = 0, compress: bool = True, archive_bytes: int = ARCHIVE_BYTES, broadcast_digests: int = BROADCAST_DIGESTS, hot_rows: int = HOT_ROWS
+) -> str:
     """Writes a record for each row of pages (page_id, url, html) to archives under path.
 
     Of rows with equal payloads of at least min_bytes bytes, those with the largest page_id are responses and the others revisits of it; a null
     page_id is less than any other. A null html is an empty payload, a null url leaves its header out; an empty table gives no records; url and html may have any
-    length that a row of Spark has (2 GB); other columns, whatever their names, are ignored. Rows are
-    never joined by a payload itself: its SHA-1 is, after counting (pre-aggregated), and only digests that more than one row has.
+    length that a row of Spark has (2 GB); other columns, whatever their names, are ignored. Payloads are compared by their SHA-1, and don't move for that (_with_first).
     """
     prepare(pages.sparkSession)
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha"))
-    shared = slim.filter(F.length("payload") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "first")
-    both = slim.join(shared, "sha", "left")
+    both = _with_first(slim, min_bytes, broadcast_digests, hot_rows)
     revisit = F.coalesce(F.col("first").isNotNull() & (F.length("payload") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
     rows = both.select("page_id", "url", "payload", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
     whole = rows.mapInArrow(archives(compress, archive_bytes), "archive binary")

@@ -4,6 +4,7 @@ import glob
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from reachway.llm import warc
 
@@ -94,3 +95,16 @@ def test_gaps_are_logged(spark, tmp_path):
     out = warc.read_archives(spark, str(tmp_path))
     log = warc.gaps(out).collect()
     assert len(log) == 1 and log[0].end - log[0].start == 6 and out.filter("problem IS NULL").count() == 2
+
+
+def test_shared_digests_without_a_broadcast(spark, tmp_path):
+    """More shared digests than are broadcast, hot ones among them: the same records."""
+    html = ["hot"] * 40 + [f"pair {i // 2}" for i in range(30)] + [f"own {i}" for i in range(20)] + ["", None, "hot"]
+    rows = [(i, f"u{i}", h) for i, h in enumerate(html)] + [(None, "n", "hot"), (None, "n", "none"), (5, "u5", "hot"), (200, "a", "x"), (200, "b", "x"), (200, "c", "y"), (201, "d", "y")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    read = lambda path: sorted(((r.page_id, r.url, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archives(spark, path).filter("page_id IS NOT NULL OR url IS NOT NULL").collect()), key=str)
+    one = read(warc.write_archives(df, str(tmp_path / "a")))
+    two = read(warc.write_archives(df, str(tmp_path / "b"), broadcast_digests=0, hot_rows=5))
+    assert one == two and len(one) == len(rows)
+    plan = warc._with_first(df.select("page_id", "url", F.col("html").cast("binary").alias("payload"), F.sha1(F.col("html").cast("binary")).alias("sha")), 0, 10**6, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(sha" not in plan
